@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .ngram_join import op3_tiled_jaccard
 from .packing import op2_min_bin_slack
 from .sharding import op1_consistent_ring
 
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
     "op2_min_bin_slack": op2_min_bin_slack,
+    "op3_tiled_jaccard": op3_tiled_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
