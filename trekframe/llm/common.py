@@ -59,6 +59,37 @@ def class_rank(df: DataFrame, classes: list[str], order: list[str], salts: int =
     )
 
 
+def fold(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text modulo n; null for a null id."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
+
+
+def text_hash() -> Column:
+    """A hash of the column text, to tell rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def without(documents: DataFrame, fates: DataFrame) -> DataFrame:
+    """documents without the rows that fates (doc_id, text_hash, kept; a written table) drops; all columns.
+
+    Only rows that hit a bitmap of the dropped ones go through the exact join, so most texts are not shuffled.  Of
+    rows that repeat both id and text, of which one is kept and others are not, one stays.
+    """
+    keys = ["doc_id", "text_hash"]
+    dropped = fates.filter(~F.col("kept")).select(F.xxhash64(*keys).alias("_key"), *keys).distinct()
+    named = documents.select("*", text_hash().alias("_hash")).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_hash"))
+    hit = passes(documents.sparkSession, id_filter(dropped, "_key"), "_key")
+    split = fates.filter("kept").select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"))
+    gone = dropped.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k")) & (F.col("_hash") == F.col("h"))
+    maybe = named.filter(hit)
+    out = named.filter(~hit).union(maybe.join(gone, same, "left_anti"))
+    both = gone.intersect(split)
+    if not both.isEmpty():
+        out = out.union(maybe.join(both, same, "left_semi").dropDuplicates(["doc_id", "_hash"]))
+    return out.select(*documents.columns)
+
+
 def id_filter(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:
     """A bitmap of hashed ids: bits / 8 bytes whatever the number of ids, to leave most other rows out of a shuffle.
 

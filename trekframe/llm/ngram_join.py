@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_filter, mix, slices, word_hashes, written
+from .common import id_filter, mix, passes, slices, word_hashes, written
 from .components import connected_components
 
 #: A tile with more components than this is put off to a round with its shingle last.
@@ -339,9 +339,22 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5) -> D
     return Join(documents, percent, size).components()
 
 
+def one_of_each(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """documents without all but the smallest id of each component; rows with a null id stay; all columns.
+
+    Only rows that hit a bitmap of the dropped ids go through the exact join, so most texts are not shuffled.
+    """
+    found = near_duplicates(documents, percent, size).filter("doc_id <> component_id")
+    gone = written(found.select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    hit = passes(documents.sparkSession, id_filter(gone, "_id"), "_doc")
+    named = documents.withColumn("_doc", F.col("doc_id").cast("long"))
+    kept = named.filter(~hit).union(named.filter(hit).join(gone, F.col("_doc") == F.col("_id"), "left_anti"))
+    return kept.select(*documents.columns)
+
+
 def op3_tiled_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that share 80 % of their five-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-__all__ = ["Rule", "bitmap", "near_duplicates", "op3_tiled_jaccard", "overlap_bound", "shingle_sets"]
+__all__ = ["Rule", "bitmap", "near_duplicates", "one_of_each", "op3_tiled_jaccard", "overlap_bound", "shingle_sets"]

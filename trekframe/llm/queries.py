@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP6_SQL, op6_patricia_owners
+from .language_id import op5_nearest_centroid
+from .mixing import op8_entropy_balance
 from .ngram_join import op3_tiled_jaccard
 from .packing import op2_min_bin_slack
 from .sharding import op1_consistent_ring
@@ -10,6 +13,9 @@ QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
     "op2_min_bin_slack": op2_min_bin_slack,
     "op3_tiled_jaccard": op3_tiled_jaccard,
+    "op5_nearest_centroid": op5_nearest_centroid,
+    "op6_patricia_owners": op6_patricia_owners,
+    "op8_entropy_balance": op8_entropy_balance,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_patricia_owners": OP6_SQL}
