@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text is the vector of its character 1-, 2- and 3-grams, hashed to ``DIMENSIONS`` places, with logarithmic term
+A text is the vector of its character 1-, 2- and 3-grams (lower case, all but letters as gaps), hashed to ``DIMENSIONS`` places, with logarithmic term
 frequencies times inverse document frequencies, of length 1.  A language is several centroids, found by spherical
 k-means over its training texts; a text has the language of the centroid with the largest cosine.  It is rejected if it
 has no letter or lies further from its centroid than the language's texts do: its cosine is under ``REJECT_SHARE`` of
@@ -35,9 +35,23 @@ REJECT_SHARE = 0.5
 _PIECE = 1 << 18
 
 
-def gram_counts(text: str) -> np.ndarray:
-    """How often each hashed character 1-, 2- or 3-gram of the lower-cased text occurs."""
+_letters: list[np.ndarray] = []
+
+
+def letter_points(text: str) -> np.ndarray:
+    """Code points of the lower-cased text; each run of other characters than letters is one space."""
+    if not _letters:
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    letter = _letters[0][points]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return np.where(letter, points, np.uint32(32))[keep]
+
+
+def gram_counts(text: str) -> np.ndarray:
+    """How often each hashed character 1-, 2- or 3-gram of the text's letters and gaps occurs."""
+    points = letter_points(text)
     out = np.zeros(DIMENSIONS, dtype=np.int64)
     shift = np.uint32(32 - int(math.log2(DIMENSIONS)))
     for start in range(0, len(points), _PIECE):
