@@ -6,16 +6,20 @@ from .exact_dedup import OP6_SQL, op6_patricia_owners
 from .language_id import op5_nearest_centroid
 from .mixing import op8_entropy_balance
 from .ngram_join import op3_tiled_jaccard
+from .quality_rules import op4_decision_list
 from .packing import op2_min_bin_slack
 from .sharding import op1_consistent_ring
+from .toxicity import op10_boosted_trees
 
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
     "op2_min_bin_slack": op2_min_bin_slack,
     "op3_tiled_jaccard": op3_tiled_jaccard,
+    "op4_decision_list": op4_decision_list,
     "op5_nearest_centroid": op5_nearest_centroid,
     "op6_patricia_owners": op6_patricia_owners,
     "op8_entropy_balance": op8_entropy_balance,
+    "op10_boosted_trees": op10_boosted_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_patricia_owners": OP6_SQL}
