@@ -90,13 +90,13 @@ def length_counts(pieces: DataFrame) -> dict[int, int]:
 
 
 def pack(
-    documents: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int = 1, keep_ids: bool = False
+    documents: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int = 1, id_bytes: int = 0
 ) -> DataFrame:
-    """Every piece of every document with its sequence_id and offset; with keep_ids also its token ids."""
-    pieces = written(token_pieces(documents, tokenizer, max_tokens, end_id, keep_ids), "pack-pieces")
+    """Every piece of every document with its sequence_id and offset; with id_bytes 2 or 4 also its token ids."""
+    pieces = written(token_pieces(documents, tokenizer, max_tokens, end_id, id_bytes), "pack-pieces")
     placed = place(pieces, slack_plan(length_counts(pieces), max_tokens))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return placed.select(*columns, *(["ids"] if keep_ids else []))
+    return placed.select(*columns, *(["ids"] if id_bytes else []))
 
 
 def op2_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,10 @@ from .common import slices
 #: Fixed value: the splitting pattern for which chunks can be encoded apart.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose lower case, class and normal form are the same in every library.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-MAX_CHUNKS, MAX_PIECES = 200_000, 300_000
+_PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
+#: Chunks, and pieces of them, that a worker keeps; a call that would exceed them starts anew.
+MAX_CHUNKS = 400_000
 
 
 class Encoder:
@@ -62,47 +63,58 @@ class Encoder:
     def _add_pieces(self, new: list[str]) -> None:
         """Each piece ends with the one token of its own that carries the end-of-word mark."""
         ids = np.array(self.words.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-        data, start = ids.tobytes(), 0
-        stops = np.flatnonzero(self.ends[ids]) + 1
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(stops) != len(new):
             raise ValueError("the tokenizer marks other word ends than expected")
-        for piece, stop in zip(new, stops.tolist(), strict=True):
-            self.pieces[piece] = data[4 * start : 4 * stop]
-            start = stop
-
-    def _add_chunks(self, new: set[bytes]) -> None:
-        if len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
-        if len(self.pieces) > MAX_PIECES:
+        data, bounds = ids.tobytes(), [0, *stops.tolist()]
+        self.pieces.update(zip(new, [data[i:j] for i, j in zip(bounds, bounds[1:])], strict=True))
+
+    def _add_plain(self, chunks: list[bytes], text: str) -> None:
+        """Adds chunks whose text, joined by spaces, is given; only pieces not met before go through the library."""
+        pieces = _PIECES.findall(text.lower())
+        met = set(pieces)
+        met.discard(" ")
+        unseen = met.difference(self.pieces)
+        if len(self.pieces) + len(unseen) > MAX_CHUNKS:
             self.pieces.clear()
-        plain, other, unseen = [], [], set()
-        for chunk in new:
-            text = chunk.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text):
-                parts = _PIECES.findall(text.lower())
-                plain.append((chunk, parts))
-                unseen.update(p for p in parts if p not in self.pieces)
-            else:
-                other.append((chunk, text))
+            unseen = met
         if unseen:
-            self._add_pieces(sorted(unseen))
-        for chunk, parts in plain:
-            self.chunks[chunk] = self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[p] for p in parts])
-        if other:
-            for (chunk, _), ids in zip(other, self._encode_whole([t for _, t in other]), strict=True):
-                self.chunks[chunk] = ids
+            self._add_pieces(list(unseen))
+        self.pieces[" "] = b""
+        parts = list(map(self.pieces.__getitem__, pieces))
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        edges = np.flatnonzero(lengths == 0)  # no piece is without ids
+        ends = np.cumsum(lengths)
+        bounds = [0, *ends[edges].tolist(), int(ends[-1])]
+        data = b"".join(parts)
+        self.chunks.update(zip(chunks, [data[i:j] for i, j in zip(bounds, bounds[1:])], strict=True))
+
+    def _add_chunks(self, new: list[bytes]) -> None:
+        if len(self.chunks) + len(new) > MAX_CHUNKS:
+            self.chunks.clear()
+        text = b" ".join(new).decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text):
+            self._add_plain(new, text)
+            return
+        named = list(zip(new, text.split(" "), strict=True))
+        plain = [x for x in named if _PLAIN.fullmatch(x[1])]
+        other = [x for x in named if not _PLAIN.fullmatch(x[1])]
+        if plain:
+            self._add_plain([c for c, _ in plain], " ".join([t for _, t in plain]))
+        for (chunk, _), ids in zip(other, self._encode_whole([t for _, t in other]), strict=True):
+            self.chunks[chunk] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._encode_whole(texts)
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*split).difference(self.chunks)
-        known = self.chunks
-        if len(known) > MAX_CHUNKS:  # cleared on the next addition: everything of this call is new then
-            new = set().union(*split)
+        split = [t.encode("utf-8", "replace").lower().split() for t in texts]  # A-Z alone
+        met = set().union(*split)
+        new = met.difference(self.chunks)
+        if len(self.chunks) + len(new) > MAX_CHUNKS:  # cleared on addition: everything of this call is new then
+            new = met
         if new:
-            self._add_chunks(new)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            self._add_chunks(list(new))
+        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -115,11 +127,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def token_pieces(documents: DataFrame, tokenizer: str, max_tokens: int, end_id: int, keep_ids: bool) -> DataFrame:
+def token_pieces(documents: DataFrame, tokenizer: str, max_tokens: int, end_id: int, id_bytes: int = 0) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A document's ids are its text's and end_id (null counts as empty).  Only longer ones are cut, every max_tokens.
-    ids: binary, little-endian unsigned 32-bit.
+    id_bytes: 0 for no ids, 4 or 2 for little-endian unsigned 32-bit or 16-bit ids (binary).  ids_crc32 is of 32-bit ids.
     """
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
@@ -134,12 +146,14 @@ def token_pieces(documents: DataFrame, tokenizer: str, max_tokens: int, end_id:
                     for k in range(0, len(data), width):
                         part = data[k : k + width]
                         rows.append((i, k // width, k // 4, len(part) // 4, zlib.crc32(part)))
+                        if id_bytes == 2:
+                            part = np.frombuffer(part, "<u4").astype("<u2").tobytes()
                         out.append(part)
                 at, piece, start, length, crc = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
                 columns = [ids.take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
+                if id_bytes:
                     columns, names = [*columns, pa.array(out, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(pieces, schema + ", ids binary" * keep_ids)
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(pieces, schema + ", ids binary" * bool(id_bytes))
