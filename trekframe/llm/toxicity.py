@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The features of a whole text are densities of a learned lexicon (plain and after undoing obfuscation), its nearness to
-second-person words, capitals, punctuation, and rates of obfuscated spellings.  The lexicon holds the words that mark
-labelled toxic texts; its features are crossed in training (a text's come from the lexicon of the other half of the
-training texts), so trees do not trust words that mark single texts.  Trees learn from two thirds of the training
+second-person words, capitals, punctuation, and rates of obfuscated spellings.  The lexicon holds the words and
+word stems that mark labelled toxic texts; its features are crossed in training (a text's come from the lexicon of the
+folds it is not in), so trees do not trust words that mark single texts.  Trees learn from two thirds of the training
 texts and the calibration from the others.
 
 Lexicon, trees and calibration are fitted on a hashed sample of at most about ``SAMPLE`` training texts of each label
@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 from .common import fold, written
 
 #: Most training texts of a label, about.
-SAMPLE = 5000
-LEXICON_WORDS = 200
+SAMPLE = 3000
+LEXICON_WORDS = 300
+FOLDS, STEMS = 4, (4, 5, 6, 7)
+LEAST_TEXTS, LEAST_ODDS = 3, 2.0
 TREES, DEPTH = 16, 3
 NEAR = 6
 #: Fixed value: second-person words of English, German, French and Spanish.
@@ -63,7 +65,7 @@ class WordKinds(dict):
             self.clear()
         bare = _EDGES.sub("", word)
         low, out = bare.lower(), 0
-        if low in self.lexicon:
+        if low in self.lexicon or any(low[:k] + "~" in self.lexicon for k in STEMS if len(low) > k):
             out |= _HIT
         elif not low.isalpha():
             plain = low.translate(_STAND_INS)
@@ -129,17 +131,36 @@ def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
     return named.mapInArrow(run, named.drop("lexicon", "text").schema.add("features", T.ArrayType(T.DoubleType())))
 
 
-def lexicon(rows: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The words of rows (label, text) that mark label 1: in three of its texts at least, and far more often there."""
+def lexicons(rows: DataFrame, folds: int = FOLDS, most: int = LEXICON_WORDS) -> list[list[str]]:
+    """Lexicons of rows (label, fold, text): one without each fold, then one of all rows.
+
+    A term is a word or a stem, its first 4 to 7 letters and a tilde.  A lexicon holds those that mark label 1: in
+    three of its texts at least and far more often there.
+    """
     bare = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), 0)
-    words = rows.select("label", F.explode(F.array_distinct(bare)).alias("word"))
-    sums = words.groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    all_p, all_n = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    if not all_p or not all_n:
-        return []
-    odds = F.log((F.col("p") + 0.5) / (all_p + 1.0)) - F.log((F.col("n") + 0.5) / (all_n + 1.0))
-    found = sums.filter("p >= 3").withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("p")), "word").limit(most)
-    return [r["word"] for r in found.collect()]
+    stem = lambda w, k: F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("~")))
+    terms = F.flatten(F.transform(F.array_distinct(bare), lambda w: F.array(w, *(stem(w, k) for k in STEMS))))
+    met = rows.select("label", "fold", F.explode(F.array_distinct(F.array_compact(terms))).alias("term"))
+    keys = [(label, fold) for label in (1, 0) for fold in range(folds)]
+    is_key = lambda label, fold: (F.col("label") == label) & (F.col("fold") == fold)
+    all_sums = rows.agg(*(F.count(F.when(is_key(*k), 1)).alias(f"x{k[0]}{k[1]}") for k in keys)).first()
+    sums = met.groupBy("term").agg(*(F.count(F.when(is_key(*k), 1)).alias(f"x{k[0]}{k[1]}") for k in keys))
+    p, n = (sum((F.col(f"x{label}{f}") for f in range(folds)), F.lit(0)) for label in (1, 0))
+    # Terms that can mark label 1 without some fold do so nearly as well with all; the others need not be fetched.
+    likely = sums.filter((p >= LEAST_TEXTS) & (p > n)).orderBy((p - n).desc(), "term").limit(50 * most).collect()
+
+    def chosen(without: int) -> list[str]:
+        count = lambda row, label: sum(row[f"x{label}{f}"] for f in range(folds) if f != without)
+        all_p, all_n = count(all_sums, 1), count(all_sums, 0)
+        found = []
+        for row in likely:
+            p, n = count(row, 1), count(row, 0)
+            odds = math.log((p + 0.5) / (all_p + 1)) - math.log((n + 0.5) / (all_n + 1))
+            if p >= LEAST_TEXTS and odds > LEAST_ODDS:
+                found.append((-odds * math.sqrt(p), row["term"]))
+        return [term for _, term in sorted(found)[:most]]
+
+    return [chosen(f) for f in range(folds + 1)]
 
 
 class Toxicity:
@@ -152,14 +173,15 @@ class Toxicity:
         """documents with column score in the place of text."""
         if self.trees is None:
             return documents.drop("text").withColumn("score", F.lit(self.rate))
-        kept = [c for c in documents.columns if c not in ("text", "score")]
-        rows = with_features(documents.select(*kept, "text", F.lit(0).alias("lexicon")), [self.words])
-        return _calibrated(rows, self.trees, self.curve).select(*kept, "score")
+        kept = [c for c in documents.columns if c.lower() not in ("text", "score")]
+        row = F.struct(*kept).alias("_row")  # out of the way of the columns that the models add
+        rows = with_features(documents.select(row, "text", F.lit(0).alias("lexicon")), [self.words])
+        return _calibrated(rows, self.trees, self.curve).select("_row.*", "score")
 
 
 def _raw(rows: DataFrame, trees) -> DataFrame:
     found = trees.transform(rows.withColumn("_vector", array_to_vector("features")))
-    return found.withColumn("_raw", vector_to_array("_probability")[1])
+    return found.withColumn("_raw", vector_to_array("probability")[1])
 
 
 def _calibrated(rows: DataFrame, trees, curve) -> DataFrame:
@@ -179,12 +201,11 @@ def fit(documents: DataFrame, labels: DataFrame, learns: Column, sample: int = S
         return Toxicity(rate, [])
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = named.filter(draw < F.when(F.col("label") == 1, sample / positive).otherwise(sample / negative))
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    cross = F.pmod(F.xxhash64(F.lit("cross"), "doc_id"), F.lit(FOLDS)).cast("int")
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # 2 * sample rows
-    rows = written(texts.select("doc_id", "label", half.alias("half"), F.coalesce("text", F.lit("")).alias("text")), "toxicity-texts")
-    words = [lexicon(rows.filter(F.col("half") == h)) for h in (0, 1)]
-    whole = lexicon(rows)
-    crossed = with_features(rows.select("doc_id", "label", "text", (1 - F.col("half")).alias("lexicon")), words)
+    rows = written(texts.select("doc_id", "label", cross.alias("fold"), F.coalesce("text", F.lit("")).alias("text")), "toxicity-texts")
+    *crossing, whole = lexicons(rows)
+    crossed = with_features(rows.select("doc_id", "label", "text", F.col("fold").alias("lexicon")), crossing)
     weight = F.when(F.col("label") == 1, max(1.0, positive / sample)).otherwise(max(1.0, negative / sample))
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3))
     ready = written(
@@ -192,13 +213,12 @@ def fit(documents: DataFrame, labels: DataFrame, learns: Column, sample: int = S
         "toxicity-features",
     )
     booster = GBTClassifier(
-        featuresCol="_vector", labelCol="label", weightCol="weight", predictionCol="_class", probabilityCol="_probability",
-        rawPredictionCol="_margin", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, checkpointInterval=-1,
+        featuresCol="_vector", labelCol="label", weightCol="weight", predictionCol="_class", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, checkpointInterval=-1,
     )
     trees = booster.fit(ready.filter("part < 2"))
-    scored = trees.transform(ready.filter("part = 2")).withColumn("_raw", vector_to_array("_probability")[1])
+    scored = trees.transform(ready.filter("part = 2")).withColumn("_raw", vector_to_array("probability")[1])
     if scored.isEmpty():
-        scored = trees.transform(ready).withColumn("_raw", vector_to_array("_probability")[1])
+        scored = trees.transform(ready).withColumn("_raw", vector_to_array("probability")[1])
     curve = IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight", predictionCol="_fitted").fit(scored)
     return Toxicity(rate, whole, trees, curve)
 
