@@ -153,20 +153,31 @@ def _counts(rows: DataFrame, names: list[str]) -> dict[str, list[tuple[int, int,
     return {a: sorted(found) for a, found in out.items()}
 
 
-def _best(counts: dict, edges: dict[str, list[float]]) -> tuple[float, Condition | None, int, int]:
-    """The condition with the largest gain: (gain, condition, bad rows, good rows)."""
-    best = (0.0, None, 0, 0)
+def _best(counts: dict, edges: dict[str, list[float]]) -> tuple[Condition | None, int, int]:
+    """The condition with the largest gain, its bad rows and good rows; of equal thresholds the middle one."""
+    tied: list[tuple] = []
+    best = 1e-12
     for a, found in sorted(counts.items()):
         all_p, all_n = sum(p for _, p, _ in found), sum(n for _, _, n in found)
+        by_bin = {b: (p, n) for b, p, n in found}
         p = n = 0
-        for b, more_p, more_n in found:  # bin b: over edges[b - 1], up to edges[b]
-            p, n = p + more_p, n + more_n
-            if b >= len(edges[a]) or not all_p:
-                break
+        for b, edge in enumerate(edges[a]):  # bin b: over edges[b - 1], up to edges[b]
+            p, n = p + by_bin.get(b, (0, 0))[0], n + by_bin.get(b, (0, 0))[1]
             for above, x, y in ((False, p, n), (True, all_p - p, all_n - n)):
-                if (gain := _gain(x, y, all_p, all_n)) > best[0] + 1e-12:
-                    best = (gain, Condition(a, above, edges[a][b]), x, y)
-    return best
+                gain = _gain(x, y, all_p, all_n)
+                if gain > best + 1e-9:
+                    best, tied = gain, []
+                if gain > best - 1e-9 and (not tied or tied[0][:2] == (a, above)):
+                    tied.append((a, above, edge, x, y))
+    if not tied:
+        return None, 0, 0
+    a, above, edge, p, n = tied[len(tied) // 2]
+    return Condition(a, above, edge), p, n
+
+
+def _with_middles(edges: list[float]) -> list[float]:
+    """Thresholds between quantiles too, so that one may lie in the gap that parts good from bad."""
+    return sorted({*edges, *(x + (y - x) * i / 4 for x, y in zip(edges, edges[1:]) for i in (1, 2, 3))})
 
 
 def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
@@ -185,8 +196,8 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
         *(F.percentile_approx(F.col(a), places, 10_000).alias(f"all_{a}") for a in names),
         *(F.percentile_approx(F.when(F.col("bad") == 1, F.col(a)), places, 10_000).alias(f"bad_{a}") for a in names),
     ).first()
-    edges = {a: sorted({*(first[f"all_{a}"] or []), *(first[f"bad_{a}"] or [])}) for a in names}
-    over = lambda a: F.size(F.filter(F.array(*map(F.lit, edges[a])), lambda t, x=F.col(a): x > t)) if edges[a] else F.lit(0)
+    edges = {a: _with_middles(sorted({*(first[f"all_{a}"] or []), *(first[f"bad_{a}"] or [])})) for a in names}
+    over = lambda a: F.size(F.filter(F.array(*map(F.lit, edges[a])), lambda t: F.col(a) > t)) if edges[a] else F.lit(0)
     rows = written(rows.withColumns({f"bin_{a}": over(a) for a in names}), "rule-bins")
     by_name = {a: F.col(a) for a in names}
     left, rules = F.lit(True), []
@@ -194,7 +205,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
         rule: list[Condition] = []
         while len(rule) < MOST_CONDITIONS:
             inside = rows.filter(left & ~F.col("prunes") & holds(rule, by_name))
-            gain, condition, p, n = _best(_counts(inside, names), edges)
+            condition, p, n = _best(_counts(inside, names), edges)
             if condition is None or p < LEAST_ROWS:
                 break
             rule.append(condition)

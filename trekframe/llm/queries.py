@@ -6,9 +6,10 @@ from .exact_dedup import OP6_SQL, op6_patricia_owners
 from .language_id import op5_nearest_centroid
 from .mixing import op8_entropy_balance
 from .ngram_join import op3_tiled_jaccard
-from .quality_rules import op4_decision_list
 from .packing import op2_min_bin_slack
+from .quality_rules import op4_decision_list
 from .sharding import op1_consistent_ring
+from .token_matrix import op7_best_fit_matrix
 from .toxicity import op10_boosted_trees
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_decision_list": op4_decision_list,
     "op5_nearest_centroid": op5_nearest_centroid,
     "op6_patricia_owners": op6_patricia_owners,
+    "op7_best_fit_matrix": op7_best_fit_matrix,
     "op8_entropy_balance": op8_entropy_balance,
     "op10_boosted_trees": op10_boosted_trees,
 }
