@@ -90,12 +90,13 @@ def without(documents: DataFrame, fates: DataFrame) -> DataFrame:
     return out.select(*documents.columns)
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = 1 << 23) -> bytes:
+def id_filter(ids: DataFrame, column: str, bits: int = 1 << 23, hashed: bool = False) -> bytes:
     """A bitmap of hashed ids: bits / 8 bytes whatever the number of ids, to leave most other rows out of a shuffle.
 
     It passes every id of the set, and others at the rate at which bits are set; the exact join follows it.
+    hashed: the column has places of bits already.
     """
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    place = F.col(column) if hashed else F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     parts = (
         ids.select(place.alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("bucket"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_patricia_owners
 from .language_id import op5_nearest_centroid
+from .lm_scoring import OP9_SQL, op9_stupid_backoff
 from .mixing import op8_entropy_balance
 from .ngram_join import op3_tiled_jaccard
 from .packing import op2_min_bin_slack
@@ -21,7 +22,8 @@ QUERIES = {
     "op6_patricia_owners": op6_patricia_owners,
     "op7_best_fit_matrix": op7_best_fit_matrix,
     "op8_entropy_balance": op8_entropy_balance,
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_boosted_trees": op10_boosted_trees,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_patricia_owners": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_patricia_owners": OP6_SQL, "op9_stupid_backoff": OP9_SQL}
