@@ -26,9 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets no batch of rows that goes to Python exceed some megabytes, however long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, allows column pruning."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -98,14 +104,14 @@ def id_filter(ids: DataFrame, column: str, bits: int = 1 << 23, hashed: bool = F
     """
     place = F.col(column) if hashed else F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     parts = (
-        ids.select(place.alias("p"))
+        ids.select((place + 1).alias("p"))  # the bitmap functions count from 1
         .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
         .collect()
     )
     size = len(parts[0]["bitmap"]) if parts else 4096
     out = bytearray(bits // 8 + 2 * size)
-    for row in parts:  # bucket numbers start at 1
+    for row in parts:
         at = (row["bucket"] - 1) * size
         out[at : at + size] = row["bitmap"]
     return bytes(out)
@@ -168,8 +174,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of some texts, and where each text's words start (with the end at last).
+def word_places(texts: list[str | None], lower: bool = True) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes (A-Z lower-cased), starts, ends and 64-bit hashes of their words, and where each text's words
+    start (with the end at last).
 
     A word's hash depends on its bytes alone, so equal words of different tasks have equal hashes.
     """
@@ -187,4 +194,9 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
     words = (sums[ends] - sums[starts]) * _power_table("inverse", _INVERSE, len(a))[starts]
     words = mix(words ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
     offsets = np.cumsum([0, *(len(x) + 1 for x in raw)])
-    return words, np.searchsorted(starts, offsets)
+    return data, starts, ends, words, np.searchsorted(starts, offsets)
+
+
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and where each text's words start; see word_places()."""
+    return word_places(texts, lower)[3:]

@@ -144,7 +144,7 @@ def token_matrix(
     needs it; past n_tokens ids are pad_id and positions 0.  pieces and starts say which part of its document a
     segment is.
     """
-    size = max(encoder(tokenizer).whole.get_vocab_size(), end_id + 1, pad_id + 1, max_tokens)
+    size = max(encoder(tokenizer).size, end_id + 1, pad_id + 1, max_tokens)
     id_bytes = 2 if size <= 1 << 16 else 4
     pieces = written(token_pieces(documents, tokenizer, max_tokens, end_id, id_bytes), "matrix-pieces")
     placed = place(pieces, best_fit_plan(length_counts(pieces), max_tokens))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, word_places
 
 #: Fixed value: the splitting pattern for which chunks can be encoded apart.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -24,7 +24,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
 #: Chunks, and pieces of them, that a worker keeps; a call that would exceed them starts anew.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 200_000
 
 
 class Encoder:
@@ -33,9 +33,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        steps = json.loads(self.whole.to_str())
+        self.path, self._whole = path, None
+        whole = Tokenizer.from_file(path)
+        self.size = whole.get_vocab_size()
+        steps = json.loads(whole.to_str())
         pre = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x.get("type") for x in (steps.get("normalizer") or {}).get("normalizers", [])]
         self.by_chunk = (
@@ -44,20 +45,25 @@ class Encoder:
             and steps["model"].get("end_of_word_suffix") == "</w>"
         )
         if self.by_chunk:
-            self.words = Tokenizer.from_file(path)
+            self.words = whole
             self.words.encode_special_tokens = True
             self.words.normalizer = normalizers.Sequence([])
             self.words.pre_tokenizer = pre_tokenizers.Sequence(
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
             )
-            vocabulary = self.whole.get_vocab()
+            vocabulary = whole.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
             self.chunks: dict[bytes, bytes] = {}
             self.pieces: dict[str, bytes] = {}
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
+        if self._whole is None:  # few workers need it
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = True
+        found = self._whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _add_pieces(self, new: list[str]) -> None:
@@ -107,14 +113,25 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._encode_whole(texts)
-        split = [t.encode("utf-8", "replace").lower().split() for t in texts]  # A-Z alone
-        met = set().union(*split)
-        new = met.difference(self.chunks)
+        data, starts, ends, hashes, bounds = word_places(texts)
+        if not len(starts):
+            return [b""] * len(texts)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        met = [data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = [c for c in met if c not in self.chunks]
         if len(self.chunks) + len(new) > MAX_CHUNKS:  # cleared on addition: everything of this call is new then
             new = met
         if new:
-            self._add_chunks(list(new))
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+            self._add_chunks(new)
+        ids = list(map(self.chunks.__getitem__, met))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        # The ids of every word in turn: where its chunk's begin, and so many from there.
+        each = size[which]
+        stops = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.arange(stops[-1]) + np.repeat((np.cumsum(size) - size)[which] - stops[:-1], each)]
+        at = stops[bounds].tolist()
+        return [out[i:j].tobytes() for i, j in zip(at, at[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
