@@ -2,7 +2,8 @@
 
 Encoding a corpus repeats the same words over and over, and tokenizers of this kind never let a token cross white
 space.  So the ids of each white-space separated chunk are kept by the worker in a bounded cache, and only new chunks
-go through the library.  A tokenizer whose steps are others than the expected ones encodes whole texts instead.
+are encoded: plain ones all at once by the vocabulary's own merges, others by the tokenizer itself.  A tokenizer whose
+steps are others than the expected ones encodes whole texts instead.
 """
 
 from __future__ import annotations
@@ -13,86 +14,93 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import slices, word_places
+from .common import lean, slices, word_places
 
 #: Fixed value: the splitting pattern for which chunks can be encoded apart.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose lower case, class and normal form are the same in every library.
 _PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
-#: Chunks, and pieces of them, that a worker keeps; a call that would exceed them starts anew.
-MAX_CHUNKS = 200_000
+_END = "</w>"
+#: Chunks that a worker keeps; a call that would exceed them starts anew.
+MAX_CHUNKS = 150_000
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _word_encoding(model: dict) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The merges of a vocabulary with word ends as an encoding of words that end in a zero byte, and its ids.
+
+    A merge's rank is its place among the merges; letters join their word's end before anything else.
+    """
+    letters, vocabulary = _byte_letters(), model["vocab"]
+    ranks, ids = {bytes([b]): b for b in range(256)}, [0] * 256
+    for letter, b in letters.items():
+        ids[b] = vocabulary[letter]
+        if b:
+            ranks[bytes([b, 0])] = len(ids)
+            ids.append(vocabulary[letter + _END])
+    for first, second in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+        token = first + second
+        core = bytes(letters[c] for c in token.removesuffix(_END))
+        if 0 not in core and (key := core + b"\0" * token.endswith(_END)) not in ranks:
+            ranks[key] = len(ids)
+            ids.append(vocabulary[token])
+    found = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+    return found, np.array(ids, dtype="<u4")
 
 
 class Encoder:
     """encode(texts): for each text its ids as bytes, little-endian unsigned 32-bit."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.path, self._whole = path, None
-        whole = Tokenizer.from_file(path)
-        self.size = whole.get_vocab_size()
-        steps = json.loads(whole.to_str())
+        self.path, self.whole = path, None
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        model = steps["model"]
+        self.size = 1 + max([*model["vocab"].values(), *(x["id"] for x in steps.get("added_tokens", []))])
         pre = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x.get("type") for x in (steps.get("normalizer") or {}).get("normalizers", [])]
         self.by_chunk = (
             pre[0].get("pattern") == {"Regex": _SPLIT}
             and kinds == ["NFC", "Replace", "Lowercase"]
-            and steps["model"].get("end_of_word_suffix") == "</w>"
+            and model.get("end_of_word_suffix") == _END
+            and not (model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"))
         )
         if self.by_chunk:
-            self.words = whole
-            self.words.encode_special_tokens = True
-            self.words.normalizer = normalizers.Sequence([])
-            self.words.pre_tokenizer = pre_tokenizers.Sequence(
-                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-            )
-            vocabulary = whole.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-            self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+            self.words, self.ids = _word_encoding(model)
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+            self.ends[[i for w, i in model["vocab"].items() if w.endswith(_END)]] = True
             self.chunks: dict[bytes, bytes] = {}
-            self.pieces: dict[str, bytes] = {}
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        if self._whole is None:  # few workers need it
-            from tokenizers import Tokenizer
-
-            self._whole = Tokenizer.from_file(self.path)
-            self._whole.encode_special_tokens = True
-        found = self._whole.encode_batch_fast(texts, add_special_tokens=False)
+        if self.whole is None:  # takes memory that few workers need
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _add_pieces(self, new: list[str]) -> None:
-        """Each piece ends with the one token of its own that carries the end-of-word mark."""
-        ids = np.array(self.words.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(stops) != len(new):
-            raise ValueError("the tokenizer marks other word ends than expected")
-        data, bounds = ids.tobytes(), [0, *stops.tolist()]
-        self.pieces.update(zip(new, [data[i:j] for i, j in zip(bounds, bounds[1:])], strict=True))
-
     def _add_plain(self, chunks: list[bytes], text: str) -> None:
-        """Adds chunks whose text, joined by spaces, is given; only pieces not met before go through the library."""
+        """Adds chunks whose text, joined by spaces, is given.  Each piece ends with the one token of its own that
+        carries the end-of-word mark."""
         pieces = _PIECES.findall(text.lower())
-        met = set(pieces)
-        met.discard(" ")
-        unseen = met.difference(self.pieces)
-        if len(self.pieces) + len(unseen) > MAX_CHUNKS:
-            self.pieces.clear()
-            unseen = met
-        if unseen:
-            self._add_pieces(list(unseen))
-        self.pieces[" "] = b""
-        parts = list(map(self.pieces.__getitem__, pieces))
-        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        edges = np.flatnonzero(lengths == 0)  # no piece is without ids
-        ends = np.cumsum(lengths)
-        bounds = [0, *ends[edges].tolist(), int(ends[-1])]
-        data = b"".join(parts)
+        ids = self.ids[self.words.encode_to_numpy("\0".join(pieces).replace("\0 \0", "\0") + "\0", disallowed_special=())]
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        edges = np.flatnonzero(np.array([p == " " for p in pieces] + [True]))
+        last = edges - np.arange(len(edges)) - 1  # the last piece of each chunk, counted without the spaces
+        if len(stops) != len(pieces) + 1 - len(edges) or len(edges) != len(chunks):
+            raise ValueError("the tokenizer marks other word ends than expected")
+        data, bounds = ids.tobytes(), [0, *(4 * stops[last]).tolist()]
         self.chunks.update(zip(chunks, [data[i:j] for i, j in zip(bounds, bounds[1:])], strict=True))
 
     def _add_chunks(self, new: list[bytes]) -> None:
@@ -134,6 +142,12 @@ class Encoder:
         return [out[i:j].tobytes() for i, j in zip(at, at[1:])]
 
 
+    def forget(self) -> None:
+        """Drops what has been kept of the texts so far."""
+        if self.by_chunk:
+            self.chunks.clear()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -172,5 +186,6 @@ def token_pieces(documents: DataFrame, tokenizer: str, max_tokens: int, end_id:
                 if id_bytes:
                     columns, names = [*columns, pa.array(out, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        enc.forget()
 
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(pieces, schema + ", ids binary" * bool(id_bytes))
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(pieces), schema + ", ids binary" * bool(id_bytes))
