@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -118,11 +122,33 @@ def id_filter(ids: DataFrame, column: str, bits: int = 1 << 23, hashed: bool = F
 
 
 def passes(spark: SparkSession, bitmap: bytes, column: str, bits: int = 1 << 23) -> Column:
-    """Whether the hashed value of a column is in a bitmap of id_filter()."""
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
-    byte = F.substring(F.lit(bytearray(bitmap)), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.getbit(value, F.pmod(place, F.lit(8)).cast("int")) == 1
+    """Whether the hashed value of a column is in a bitmap of id_filter().
+
+    The bitmap is a broadcast of fixed size; only the places go to Python, not the rows.
+    """
+    held = spark.sparkContext.broadcast(np.frombuffer(bitmap, dtype=np.uint8))
+
+    @F.pandas_udf("boolean")
+    def hit(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return hit(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)))
+
+
+def lean(run):
+    """A function over batches that gives freed memory back when a task is over, as workers outlive their tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def slices(texts: pa.Array, max_bytes: int = 1 << 20):
@@ -162,7 +188,7 @@ def _power_table(name: str, base: int, n: int) -> np.ndarray:
             take = min(done, size - done)
             kept[done : done + take] = kept[:take] * step
             done += take
-        if size <= 1 << 21:
+        if size <= 1 << 20:
             _powers[name] = kept
     return kept
 

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, slices, text_hash, without, written
+from .common import SPACE_CHARS, lean, slices, text_hash, without, written
 
 _SPACES = SPACE_CHARS.encode()
 #: Bytes of text that a task's trie may hold at the edge of a run.
-TRIE_BYTES = 32 << 20
+TRIE_BYTES = 8 << 20
 
 
 class _Node:
@@ -116,7 +116,7 @@ def _merge_blocks(batches):
     """Copies inside a block become one row: length, hash, string and entry."""
     for batch in batches:
         ids, chars, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())
-        for first, last in slices(texts, 16 << 20):
+        for first, last in slices(texts, 4 << 20):
             found: dict[bytes, list] = {}
             for i, n, t in zip(ids[first:last].to_pylist(), chars[first:last].to_pylist(), texts[first:last].to_pylist(), strict=True):
                 key = (t or b"").translate(None, _SPACES)
@@ -162,7 +162,7 @@ def _digests(batches):
     for batch in batches:
         texts = batch.column(3).cast(pa.binary())
         out = []
-        for first, last in slices(texts, 16 << 20):
+        for first, last in slices(texts, 4 << 20):
             out += [hashlib.sha256((t or b"").translate(None, _SPACES)).digest() for t in texts[first:last].to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "chars", "text_hash", "sha"]
@@ -176,13 +176,13 @@ def owners(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long"), F.length(text).cast("long").alias("chars"), text_hash().alias("text_hash"), text.alias("text")
     )
     blocks = named.select("doc_id", "chars", "text").mapInArrow(
-        _merge_blocks, "bytes long, hash long, key binary, chars long, id long, n long, ties long"
+        lean(_merge_blocks), "bytes long, hash long, key binary, chars long, id long, n long, ties long"
     )
     dealt = blocks.repartition("bytes", "hash").sortWithinPartitions("bytes", "hash")
     found = written(
-        dealt.mapInArrow(_trie_owners, "sha binary, best_chars long, keep_id long, group_size long, ties long"), "dedup-owners"
+        dealt.mapInArrow(lean(_trie_owners), "sha binary, best_chars long, keep_id long, group_size long, ties long"), "dedup-owners"
     )
-    digests = named.mapInArrow(_digests, "doc_id long, chars long, text_hash long, sha binary")
+    digests = named.mapInArrow(lean(_digests), "doc_id long, chars long, text_hash long, sha binary")
     digests = written(digests.withColumn("row", F.monotonically_increasing_id()), "dedup-digests")
     groups = found.filter("group_size > 1")
     rows = digests.join(groups, "sha", "left").withColumn(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import fold, lean, written
 
 DIMENSIONS = 4096
 #: Most training texts of a language, about.
@@ -139,7 +139,7 @@ def fit(documents: DataFrame, learns: Column, sample: int = SAMPLE, centroids: i
             )
 
     rows = _sampled(training, sample).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    vectors = written(rows.mapInArrow(counted, "lang string, places array<int>, counts array<int>"), "language-vectors")
+    vectors = written(rows.mapInArrow(lean(counted), "lang string, places array<int>, counts array<int>"), "language-vectors")
     n = vectors.count()
     idf = np.full(DIMENSIONS, math.log(1 + n) + 1, dtype=np.float32)
     for row in vectors.select(F.explode("places").alias("place")).groupBy("place").count().collect():
@@ -180,7 +180,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     named = documents.select(*kept, F.col("text").cast("string").alias("_text"))
     schema = named.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return named.mapInArrow(rows, schema)
+    return named.mapInArrow(lean(rows), schema)
 
 
 def recognised(documents: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_filter, mix, slices, text_hash, word_hashes, written
+from .common import id_filter, lean, mix, slices, text_hash, word_hashes, written
 
 BACKOFF = 0.4
 MOST_WORDS = 1 << 18
@@ -266,7 +266,7 @@ def scores(documents: DataFrame) -> DataFrame:
     # Rows are told apart by a hash of id and text; those that repeat both have the same score.
     named = documents.select("doc_id", F.xxhash64("doc_id", text_hash()).alias("row"), F.col("text").cast("string").alias("text"))
     texts = named.select("text")
-    counted = texts.mapInArrow(_counter(), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(lean(_counter()), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counts = written(counted, "lm-counts")
     words = counts.filter("kind = 0")
     total = float(words.agg(F.sum("n")).first()[0] or 1)
@@ -274,15 +274,15 @@ def scores(documents: DataFrame) -> DataFrame:
     pair_table = (np.empty(0, np.uint64), np.empty(0))
     candidates, _ = _table(counts.filter("kind = 1"), MOST_PAIRS)
     if len(candidates):
-        exact = texts.mapInArrow(_counter(spark.sparkContext.broadcast(candidates)), "kind int, h long, n long")
+        exact = texts.mapInArrow(lean(_counter(spark.sparkContext.broadcast(candidates))), "kind int, h long, n long")
         pair_table = _table(exact.filter("kind = 1").groupBy("h").agg(F.sum("n").alias("n")), MOST_PAIRS)
     held = spark.sparkContext.broadcast(
         ((word_table[0], np.log(word_table[1])), (pair_table[0], np.log(pair_table[1])), _bitmap_of(words.filter("n > 1")), total)
     )
-    rows = named.select("row", "text").mapInArrow(_explode(held), "key long, row long, packed long, more binary")
+    rows = named.select("row", "text").mapInArrow(lean(_explode(held)), "key long, row long, packed long, more binary")
     # Sums that are ready have key 0; they are dealt by row.
     dealt = rows.repartition(F.when(F.col("key") == 0, F.col("row")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    parts = written(dealt.mapInArrow(_joined(total), "row long, value double, tally long, word long"), "lm-parts")
+    parts = written(dealt.mapInArrow(lean(_joined(total)), "row long, value double, tally long, word long"), "lm-parts")
     due = parts.filter("word is not null").join(words.select(F.col("h").alias("word"), "n"), "word")
     due = due.select("row", (F.col("value") * F.log("n")).alias("value"), "tally")
     summed = parts.filter("word is null").select("row", "value", "tally").union(due).groupBy("row")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_filter, mix, passes, slices, word_hashes, written
+from .common import id_filter, lean, mix, passes, slices, word_hashes, written
 from .components import connected_components
 
 #: A tile with more components than this is put off to a round with its shingle last.
@@ -136,7 +136,7 @@ def describe(documents: DataFrame, size: int, rule: Rule) -> DataFrame:
                 )
 
     read = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return read.mapInArrow(rows, schema)
+    return read.mapInArrow(lean(rows), schema)
 
 
 def tiles(rows: DataFrame, rule: Rule, large: int | None) -> DataFrame:
@@ -195,7 +195,7 @@ def tiles(rows: DataFrame, rule: Rule, large: int | None) -> DataFrame:
         if len(held) and (out := done(held)):
             yield batch_of(out)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "key long, a long, b long")
 
 
 def moved_prefixes(texts: DataFrame, size: int, rule: Rule, moved: np.ndarray) -> DataFrame:
@@ -218,7 +218,7 @@ def moved_prefixes(texts: DataFrame, size: int, rule: Rule, moved: np.ndarray) -
                     ["rep", "n", "prefix"],
                 )
 
-    return texts.mapInArrow(rows, "rep long, n long, prefix array<long>")
+    return texts.mapInArrow(lean(rows), "rep long, n long, prefix array<long>")
 
 
 class Join:
@@ -235,17 +235,8 @@ class Join:
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """(rep, text) of the given ids; few other texts get into the shuffle."""
-        bits, width = id_filter(ids, "rep"), 1 << 23
-        held = self.spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-
-        def keep(batches):
-            for batch in batches:
-                at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield batch.filter(pa.array(held.value[at] == 1)).select([0, 1])
-
-        place = F.pmod(F.xxhash64("rep"), F.lit(width))
         named = self.documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-        some = named.withColumn("p", place).mapInArrow(keep, "rep long, text string")
+        some = named.filter(passes(self.spark, id_filter(ids, "rep"), "rep"))
         return some.join(ids.select("rep"), "rep", "left_semi")
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -263,7 +254,7 @@ class Join:
 
         left = bits.toDF("a", "n", "x")
         right = bits.toDF("b", "m", "y")
-        passed = pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long")
+        passed = pairs.join(left, "a").join(right, "b").mapInPandas(lean(bounded), "a long, b long")
         passed = written(passed.distinct(), f"{name}-bounded")
         ids = passed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         texts = self.texts(ids)
@@ -284,7 +275,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
         whole = passed.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        return written(whole.mapInArrow(exact, "a long, b long"), f"{name}-links")
+        return written(whole.mapInArrow(lean(exact), "a long, b long"), f"{name}-links")
 
     def star_pairs(self) -> DataFrame:
         """(a, b): the smallest class that has a minimum, and each other class that has it."""
@@ -305,10 +296,10 @@ class Join:
             out = written(tiles(rows, self.rule, large), f"tiles-{turn}")
             found.append(out.filter("b is not null").select("a", "b"))
             put_off = out.filter("b is null")
-            often = put_off.groupBy("key").count().orderBy(F.desc("count"), "key").limit(MOST_MOVED).collect()
-            if not often:
+            often = put_off.groupBy("key").count().orderBy(F.desc("count"), "key").limit(MOST_MOVED).select("key").toArrow()
+            if not often.num_rows:
                 break
-            keys = np.array([r["key"] for r in often], dtype=np.int64).view(np.uint64)
+            keys = often.column("key").to_numpy().view(np.uint64)
             moved = np.union1d(moved, keys)
             touched = written(put_off.select(F.col("a").alias("rep")).distinct(), "touched")
             prefixes = moved_prefixes(self.texts(touched), self.size, self.rule, moved)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .packing import TOKENIZER, length_counts, place
 from .tokens import encoder, token_pieces
 
@@ -154,7 +154,7 @@ def token_matrix(
         f"row long, n_tokens long, cu_seqlens array<int>, doc_ids array<{kind}>, pieces array<int>, starts array<long>, "
         "ids binary, positions binary"
     )
-    return dealt.sortWithinPartitions("sequence_id", "offset").mapInArrow(_matrix_rows(max_tokens, id_bytes, pad_id), schema)
+    return dealt.sortWithinPartitions("sequence_id", "offset").mapInArrow(lean(_matrix_rows(max_tokens, id_bytes, pad_id)), schema)
 
 
 def write_matrices(matrix: DataFrame, path: str) -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, written
+from .common import fold, lean, written
 
 #: Most training texts of a label, about.
 SAMPLE = 3000
@@ -128,7 +128,7 @@ def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
                 [*(batch.column(i) for i in range(len(kept))), pa.array(found, pa.list_(pa.float64()))], [*kept, "features"]
             )
 
-    return named.mapInArrow(run, named.drop("lexicon", "text").schema.add("features", T.ArrayType(T.DoubleType())))
+    return named.mapInArrow(lean(run), named.drop("lexicon", "text").schema.add("features", T.ArrayType(T.DoubleType())))
 
 
 def lexicons(rows: DataFrame, folds: int = FOLDS, most: int = LEXICON_WORDS) -> list[list[str]]:
