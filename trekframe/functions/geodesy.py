@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The ellipsoid, the mean Earth radius, and the limits of the iterations.
 SEMI_MAJOR = 6_378_137.0
@@ -118,17 +119,21 @@ def direct_arrays(lat, lon, bearing, metres) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok, np.where(still, lat, to_lat), np.nan), np.where(ok, np.where(still, lon, to_lon), np.nan)
 
 
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
 def _nullable(x: np.ndarray) -> pd.Series:
     return pd.Series(x).astype("Float64").mask(np.isnan(x)) if np.isnan(x).any() else pd.Series(x)
 
 
-@F.pandas_udf("distance double, initial_bearing double, final_bearing double")
+@F.pandas_udf(_doubles("distance", "initial_bearing", "final_bearing"))
 def _inverse(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
     names = ("distance", "initial_bearing", "final_bearing")
     return pd.DataFrame({k: _nullable(v) for k, v in zip(names, inverse_arrays(lat1, lon1, lat2, lon2), strict=True)})
 
 
-@F.pandas_udf("lat double, lon double")
+@F.pandas_udf(_doubles("lat", "lon"))
 def _direct(lat: pd.Series, lon: pd.Series, bearing: pd.Series, metres: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: _nullable(v) for k, v in zip(("lat", "lon"), direct_arrays(lat, lon, bearing, metres), strict=True)})
 

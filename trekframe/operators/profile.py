@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gradient_band
-from .tracks import TRACK, located
+from .tracks import in_track, located
 
 
 def profile(points: DataFrame, samples: int = 240) -> DataFrame:
@@ -19,13 +19,13 @@ def profile(points: DataFrame, samples: int = 240) -> DataFrame:
     if samples < 2:
         raise ValueError("a profile needs two samples at least")
     on_axis = located(points)
-    grows = F.lag("cum_end_m").over(TRACK)
-    knots = on_axis.withColumn("_before", grows).filter("_before is null or cum_end_m > _before")
+    first = F.row_number().over(in_track()) == 1
+    knots = on_axis.withColumn("_first", first).filter("_first or leg_m > 0")
     whole = Window.partitionBy("track_id")
     knots = knots.select(
         "track_id", "segment_idx", "ele", F.col("cum_end_m").alias("d"),
-        F.lead("cum_end_m").over(TRACK).alias("next_d"),
-        F.lead("ele").over(TRACK).alias("next_ele"),
+        F.lead("cum_end_m").over(in_track()).alias("next_d"),
+        F.lead("ele").over(in_track()).alias("next_ele"),
         F.max("cum_end_m").over(whole).alias("total"),
     )
     last = samples - 1
@@ -33,7 +33,9 @@ def profile(points: DataFrame, samples: int = 240) -> DataFrame:
     first_k = F.greatest(F.lit(0), F.floor(F.col("d") / step).cast("int") - 1)
     last_k = F.when(F.col("next_d").isNull(), F.lit(last)).otherwise(F.least(F.lit(last), F.ceil(F.col("next_d") / step).cast("int") + 1))
     numbers = F.when(F.col("total") > 0, F.sequence(first_k, last_k)).otherwise(F.array(F.lit(0)))
-    at = knots.withColumn("sample_idx", F.explode(numbers)).withColumn("distance_m", F.col("total") * F.col("sample_idx") / last)
+    at = knots.withColumn("sample_idx", F.explode(numbers)).withColumn(
+        "distance_m", F.when(F.col("sample_idx") == last, F.col("total")).otherwise(F.col("total") * F.col("sample_idx") / last)
+    )
     at = at.filter("distance_m >= d and (next_d is null or distance_m < next_d)")
     along = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("distance_m") - F.col("d")) / (F.col("next_d") - F.col("d"))))
     linear = F.col("ele") + (F.col("next_ele") - F.col("ele")) * along

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import interpolate, inverse
-from .tracks import TRACK, located
+from .tracks import in_track, located
 
 
 def stretches(points: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def stretches(points: DataFrame) -> DataFrame:
     before = ("lat", "lon", "ele")
     gaps = on_axis.select(
         "*",
-        *(F.lag(c).over(TRACK).alias(f"last_{c}") for c in before),
-        F.lag("segment_idx").over(TRACK).alias("last_segment"),
-        F.lead("segment_idx").over(TRACK).alias("next_segment"),
+        *(F.lag(c).over(in_track()).alias(f"last_{c}") for c in before),
+        F.lag("segment_idx").over(in_track()).alias("last_segment"),
+        F.lead("segment_idx").over(in_track()).alias("next_segment"),
         F.sum("leg_m").over(Window.partitionBy("track_id", "segment_idx")).alias("segment_m"),
     )
     opens = F.col("prev_lat").isNull() & F.col("last_segment").isNotNull()
     gaps = gaps.withColumn("_gap", F.when(opens, inverse("last_lat", "last_lon", "lat", "lon")))
     gaps = gaps.withColumn("gap_m", F.coalesce("_gap.distance", F.lit(0.0)))
-    flown = gaps.withColumn("gaps_m", F.sum("gap_m").over(TRACK))
+    flown = gaps.withColumn("gaps_m", F.sum("gap_m").over(in_track()))
+    flown = flown.withColumn("gaps_before_m", F.coalesce(F.lag("gaps_m").over(in_track()), F.lit(0.0)))
     whole = Window.partitionBy("track_id")
     flown = flown.withColumns(
         {"total_walk_m": F.max("cum_end_m").over(whole), "total_flight_m": F.max(F.col("cum_end_m") + F.col("gaps_m")).over(whole)}
@@ -49,7 +50,7 @@ def stretches(points: DataFrame) -> DataFrame:
     walk, gaps_m = F.col("cum_start_m"), F.col("gaps_m")
     leg = row("leg", walk, walk + gaps_m, F.col("leg_m"), previous, F.col("bearing"), F.col("segment_idx"))
     still = row("leg", walk, walk + gaps_m, F.lit(0.0), here, F.lit(0.0), F.col("segment_idx"))
-    gap = row("gap", walk, walk + gaps_m - F.col("gap_m"), F.col("gap_m"), last, F.col("_gap.initial_bearing"), F.col("last_segment"))
+    gap = row("gap", walk, walk + F.col("gaps_before_m"), F.col("gap_m"), last, F.col("_gap.initial_bearing"), F.col("last_segment"))
     moves, first = F.col("segment_m") > 0, F.col("prev_lat").isNull()
     rows = F.array_compact(F.array(F.when(opens, gap), F.when(~first & moves, leg), F.when(first & ~moves, still)))
     return flown.select("track_id", "point_idx", "total_walk_m", "total_flight_m", F.explode(rows).alias("s")).select(

@@ -7,6 +7,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import METRES_PER_MILE, gradient_band, hiking_seconds
 from .tracks import located
@@ -43,7 +44,8 @@ def committed(on_axis: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*kept, "gain", "loss"])
 
     ordered = on_axis.select(*kept).repartition("track_id").sortWithinPartitions("track_id", "segment_idx", "point_idx")
-    return ordered.mapInArrow(run, ordered.schema.add("gain", "double").add("loss", "double"))
+    grown = T.StructType([*ordered.schema.fields, T.StructField("gain", T.DoubleType()), T.StructField("loss", T.DoubleType())])
+    return ordered.mapInArrow(run, grown)
 
 
 def splits(points: DataFrame, length_m: float = KILOMETRE, threshold: float = 3.0, attribution: str = "proportional") -> DataFrame:

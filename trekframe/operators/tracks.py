@@ -6,15 +6,21 @@ A track is worked on by one task, so its points must fit there (a window spills
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import inverse, is_valid
 from ..functions.scalars import difficulty, finite, gradient_band, hiking_seconds
 
-SEGMENT = Window.partitionBy("track_id", "segment_idx").orderBy("point_idx")
-TRACK = Window.partitionBy("track_id").orderBy("segment_idx", "point_idx")
-BEFORE = TRACK.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_segment() -> WindowSpec:
+    """The points of a segment in order."""
+    return Window.partitionBy("track_id", "segment_idx").orderBy("point_idx")
+
+
+def in_track() -> WindowSpec:
+    """The points of a track in order."""
+    return Window.partitionBy("track_id").orderBy("segment_idx", "point_idx")
 
 
 def valid_points(points: DataFrame) -> DataFrame:
@@ -27,13 +33,13 @@ def located(points: DataFrame) -> DataFrame:
     start), leg_m (0 there), bearing, and cum_start_m, cum_end_m on the walking axis, which runs through a whole track
     and does not count the gaps between segments."""
     before = points.repartition("track_id").select(
-        "*", *(F.lag(c).over(SEGMENT).alias(f"prev_{c}") for c in ("lat", "lon", "ele", "time_ms"))
+        "*", *(F.lag(c).over(in_segment()).alias(f"prev_{c}") for c in ("lat", "lon", "ele", "time_ms"))
     )
     leg = before.withColumn("_leg", inverse(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")))
     measured = leg.select(
         *before.columns, F.coalesce("_leg.distance", F.lit(0.0)).alias("leg_m"), F.col("_leg.initial_bearing").alias("bearing")
     )
-    start = F.coalesce(F.sum("leg_m").over(BEFORE), F.lit(0.0))
+    start = F.coalesce(F.sum("leg_m").over(in_track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return measured.withColumn("cum_start_m", start).withColumn("cum_end_m", F.col("cum_start_m") + F.col("leg_m"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import direct_arrays, interpolate, inverse_arrays
-from .tracks import SEGMENT, located
+from .tracks import in_segment, located
 
 POINT_COLUMNS = ["track_id", "segment_idx", "point_idx", "lat", "lon", "ele", "time_ms", "hacc_m"]
 
@@ -82,7 +82,7 @@ def thin(points: DataFrame, spacing_m: float = 30.0) -> DataFrame:
     spacing.  Rows flow by in order; only a running distance is held."""
     if spacing_m <= 0:
         raise ValueError("the spacing must be positive")
-    marked = located(points).withColumn("_last", F.lead("point_idx").over(SEGMENT).isNull())
+    marked = located(points).withColumn("_last", F.lead("point_idx").over(in_segment()).isNull())
     ordered = marked.repartition("track_id").sortWithinPartitions("track_id", "segment_idx", "point_idx")
 
     def run(batches):

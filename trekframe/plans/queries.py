@@ -106,10 +106,10 @@ PROFILE_SQL = f"""
 knots AS (
   SELECT track_id, segment_idx, ele, cum_end_m AS d, max(cum_end_m) OVER (PARTITION BY track_id) AS total,
          lead(cum_end_m) OVER w AS next_d, lead(ele) OVER w AS next_ele
-  FROM (SELECT *, lag(cum_end_m) OVER (PARTITION BY track_id ORDER BY segment_idx, point_idx) AS b FROM axis) WHERE b IS NULL OR cum_end_m > b
+  FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY segment_idx, point_idx) AS n FROM axis) WHERE n = 1 OR leg_m > 0
   WINDOW w AS (PARTITION BY track_id ORDER BY segment_idx, point_idx)),
 asked AS (
-  SELECT track_id, k AS sample_idx, total * k / 239 AS distance_m
+  SELECT track_id, k AS sample_idx, CASE WHEN k = 239 THEN total ELSE total * k / 239 END AS distance_m
   FROM (SELECT track_id, max(total) AS total FROM knots GROUP BY track_id), range(240) AS x(k) WHERE total > 0 OR k = 0),
 met AS (
   SELECT a.*, k.segment_idx, k.d, k.next_d,
@@ -124,9 +124,9 @@ profile AS (
 WITH_PROFILE = f"WITH {sql.LEGS}, {PROFILE_SQL}"
 
 
-@query("elevation_profile", f"{WITH_PROFILE} SELECT track_id, sample_idx, {r('distance_m', 'ele', 'gradient_pct')}, is_across_gap FROM profile")
+@query("elevation_profile", f"{WITH_PROFILE} SELECT track_id, sample_idx, {r('distance_m', 'ele', 'gradient_pct', places=3)}, is_across_gap FROM profile")
 def _profile(points: DataFrame) -> DataFrame:
-    return rounded(prof.profile(points))
+    return rounded(prof.profile(points), 3)
 
 
 @query(
@@ -251,3 +251,6 @@ def _fastest(points: DataFrame) -> DataFrame:
 def _table(points: DataFrame) -> DataFrame:
     steady = rounded(cuts.splits(points))
     return cuts.split_table(steady, F.lit(1_700_000_000_000)).select("track_id", "split_idx", "arrival_ms", "band")
+
+
+from . import more_queries  # noqa: E402, F401  registers the other half

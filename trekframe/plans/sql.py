@@ -29,13 +29,13 @@ def inverse(source: str, name: str, lat1: str, lon1: str, lat2: str, lon2: str,
     """CTEs that add distance and bearing to the rows of source: a fixed number of steps of the iteration, enough for
     points that are not nearly opposite."""
     out = [
-        f"""{name}_0 AS (
+        f"""{name}_0 AS MATERIALIZED (
   SELECT *, atan((1 - {_F}) * tan(radians({lat1}))) AS u1, atan((1 - {_F}) * tan(radians({lat2}))) AS u2,
          radians({lon2} - {lon1}) AS span, radians({lon2} - {lon1}) AS lam
   FROM {source})"""
     ]
     for k in range(steps):
-        out.append(f"""{name}_{k + 1} AS (
+        out.append(f"""{name}_{k + 1} AS MATERIALIZED (
   SELECT * EXCLUDE (lam, east, north, cos_s, sin_s, sigma, sin_a, cos_sq, cos_2m, c),
          span + (1 - c) * {_F} * sin_a * (sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m * cos_2m - 1))) AS lam
   FROM (SELECT *, {_F} / 16 * cos_sq * (4 + {_F} * (4 - 3 * cos_sq)) AS c FROM (

@@ -6,8 +6,13 @@ the events' order and numbers.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.dem import TILE
 
 DAY_MS, START_MS = 86_400_000, 1_704_067_200_000
 
@@ -36,3 +41,14 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(START_MS) + F.expr(f"(ms - {START_MS}L) div 600")).alias("time_ms"),
         F.lit(None).cast("double").alias("hacc_m"),
     )
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _surface(x: pd.Series, y: pd.Series) -> pd.Series:
+    down, across = np.divmod(np.arange(TILE * TILE, dtype=np.int64), TILE)
+    return pd.Series([(32768 + 800 + ((i * TILE + across) * 3 + (j * TILE + down) * 7) % 97).astype(np.int32) * 256 for i, j in zip(x, y, strict=True)])
+
+
+def surface_tiles(needed: DataFrame) -> DataFrame:
+    """dem_tiles of a terrain by formula, for distinct (zoom, x, y): 800 m and a ripple of 97 steps."""
+    return needed.select("zoom", "x", "y", _surface("x", "y").alias("pixels"))
