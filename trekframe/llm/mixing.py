@@ -105,16 +105,25 @@ def tilts(counts: DataFrame, goals: DataFrame, most: float) -> DataFrame:
     return state.select("src", "source_size", "n", "target", "mean", F.round("tilt", 9).alias("tilt"))
 
 
-def _round_cell(cell: pd.DataFrame) -> pd.DataFrame:
-    cell = cell.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], kind="stable")
-    copies, owed = [], 0.0
-    for size, rate in zip(cell["size"].tolist(), cell["rate"].tolist(), strict=True):
-        least = math.floor(rate)
-        owed += rate * size
-        more = rate > least and owed - least * size > size / 2
-        copies.append(least + more)
-        owed -= size * (least + more)
-    return cell.assign(copies=copies)[["doc_id", "text_hash", "src", "size", "copies"]]
+def _rounder(most: float):
+    def rounded(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], kind="stable")
+        sizes, copies, owed = cell["size"].tolist(), [], 0.0
+        for size, rate in zip(sizes, cell["rate"].tolist(), strict=True):
+            least = math.floor(rate)
+            owed += rate * size
+            more = rate > least and owed - least * size > size / 2
+            copies.append(least + more)
+            owed -= size * (least + more)
+        # What long documents leave that the others' rates could not take up: one copy more or less where it fits.
+        for i, size in enumerate(sizes):
+            if 0 < size <= owed and copies[i] + 1 <= most:
+                copies[i], owed = copies[i] + 1, owed - size
+            elif 0 < size <= -owed and copies[i]:
+                copies[i], owed = copies[i] - 1, owed + size
+        return cell.assign(copies=copies)[["doc_id", "text_hash", "src", "size", "copies"]]
+
+    return rounded
 
 
 def mix(
@@ -136,7 +145,7 @@ def mix(
         "doc_id", "text_hash", "src", "size", _rate(most).alias("rate"), F.pmod(F.xxhash64("doc_id", "text_hash"), cells).alias("cell")
     )
     schema = "doc_id long, text_hash long, src string, size long, copies long"
-    rounded = rated.groupBy("src", "cell").applyInPandas(_round_cell, schema)
+    rounded = rated.groupBy("src", "cell").applyInPandas(_rounder(most), schema)
     goals = solved.select(F.col("src").alias("s"), "source_size", "target")
     return rounded.join(goals, F.col("src").eqNullSafe(F.col("s"))).select(
         "doc_id", "text_hash", F.col("src").alias("source"), "size", "source_size", "target", "copies"

@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences: minimum bin slack over the lengths at hand.
 
 For each bin a bitset subset-sum programme over the available lengths (with their multiplicities) finds the fullest
-feasible combination, which is removed.  As the programme sees lengths and not rows, it runs over the histogram of
+feasible combination around the longest piece left, which is removed.  As the programme sees lengths and not rows, it runs over the histogram of
 lengths: ``max_tokens`` counts at most, however many documents there are.  A combination is taken as often as its
 lengths last, so every round uses up a length and there are at most ``max_tokens`` rounds.  Rows then find their
 sequence and place from their rank among the pieces of the same length.
@@ -23,20 +23,26 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
-    """(length, times) of a fullest combination: a bitset of reachable sums for each length from the longest, then
-    the way back.  Multiplicities are split into powers of two."""
+    """(length, times) of a fullest combination that holds the longest piece left: a bitset of reachable sums for each
+    length from the longest, then the way back.  Multiplicities are split into powers of two.
+
+    Without the longest piece in every bin, early bins use up the short pieces and long ones are left to bins of their
+    own.
+    """
+    seed = max(counts)
+    room = capacity - seed
     reach, trail = 1, []
-    mask = (1 << (capacity + 1)) - 1
-    for length in sorted(counts, reverse=True):
-        left, step = min(counts[length], capacity // length), 1
+    mask = (1 << (room + 1)) - 1
+    for length in sorted((k for k in counts if k <= room), reverse=True):
+        left, step = min(counts[length] - (length == seed), room // length), 1
         while left > 0:
             take = min(step, left)
             trail.append((length, take, reach))
             reach |= (reach << (length * take)) & mask
             left, step = left - take, step * 2
-        if reach >> capacity & 1:
+        if reach >> room & 1:
             break
-    total, used = reach.bit_length() - 1, {}
+    total, used = reach.bit_length() - 1, {seed: 1}
     for length, take, before in reversed(trail):
         if not before >> total & 1:
             total -= length * take
