@@ -150,3 +150,12 @@ def format_time(millis: Column) -> Column:
     at = F.timestamp_millis(millis)
     whole, part = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.pmod(millis, F.lit(1000))
     return F.when(part == 0, F.concat(whole, F.lit("Z"))).otherwise(F.concat(whole, F.format_string(".%03dZ", part)))
+
+
+def format_clock(millis: Column, pattern: str = "HH:mm") -> Column:
+    """A time of day in the session's zone, by an explicit pattern instead of a device's habits."""
+    return F.date_format(F.timestamp_millis(millis), pattern)
+
+
+def format_date(millis: Column, pattern: str = "d MMM yyyy") -> Column:
+    return F.date_format(F.timestamp_millis(millis), pattern)

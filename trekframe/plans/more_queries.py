@@ -403,7 +403,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(sc.lerp_angle(F.lit(350.0), turn, t), 6).alias("angle"),
         F.round(sc.ease_out_cubic(t), 6).alias("ease_out"),
         F.round(sc.ease_in_out_cubic(t), 6).alias("ease_in_out"),
-        F.round(sc.catmull_rom(F.lit(0.0), metres, turn, F.lit(1.0), t), 6).alias("spline"),
+        F.round(sc.catmull_rom(F.lit(0.0), metres, turn, F.lit(1.0), t), 8).alias("spline"),
         F.round(sc.pseudo_random(F.lit(1.0), quarter), 4).alias("random"),
         sc.format_duration(metres).alias("duration"),
     )
@@ -421,7 +421,7 @@ ORACLE_SQL["scalar_functions"] = f"""SELECT l_orderkey, l_linenumber, round(grea
   round(CASE WHEN {_TURN} > -180 AND {_TURN} <= 180 THEN {_TURN} ELSE 180 - {_MOD.format(x=f'(180 - {_TURN})')} END, 6) AS longitude,
   round({_ANGLE}, 6) AS angle, round(1 - power(1 - least(1, greatest(0, {_T})), 3), 6) AS ease_out,
   round(CASE WHEN {_T} < 0.5 THEN 4 * power(greatest(0, {_T}), 3) ELSE 1 - power(2 - 2 * least(1, {_T}), 3) / 2 END, 6) AS ease_in_out,
-  round(0.5 * (2 * {_P} + {_TURN} * {_T} + (-5 * {_P} + 4 * {_TURN} - 1) * {_T} * {_T} + (3 * {_P} - 3 * {_TURN} + 1) * {_T} * {_T} * {_T}), 6) AS spline,
+  round(0.5 * (2 * {_P} + {_TURN} * {_T} + (-5 * {_P} + 4 * {_TURN} - 1) * {_T} * {_T} + (3 * {_P} - 3 * {_TURN} + 1) * {_T} * {_T} * {_T}), 8) AS spline,
   round({_WAVE} - floor({_WAVE}), 4) AS random,
   CASE WHEN {_P} >= 3600 THEN CAST(floor({_P} / 3600) AS BIGINT) || 'h ' || CAST(floor({_P} / 60) AS BIGINT) % 60 || 'm' ELSE CAST(floor({_P} / 60) AS BIGINT) || 'm' END AS duration
   FROM lineitem"""
