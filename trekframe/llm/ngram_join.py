@@ -10,7 +10,8 @@ Exact and without all pairs:
    sizes lie within the band of the threshold and the places of the shared shingle leave enough overlap.
    Tiles with very many components (a passage that many documents share) are put off: their shingles move to the end
    of the order for the classes they touch, which meet again in tiles of rarer shingles.  Two classes that only meet
-   in such a tile are both touched, so no link is lost.  What is still large after the last round is compared in full.
+   in such a tile are both touched, so no link is lost.  Tiles that are still large after the last round bring their
+   bitmaps along, and only pairs whose bound allows a link leave them, each from one tile.
 4. Hashed bitmaps of the candidates bound their overlap from above: a bit of one that the other lacks stands for a
    shingle outside the overlap.
 5. Remaining pairs are decided by intersecting the sorted shingle arrays of their whole texts.
@@ -85,8 +86,8 @@ class Rule:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Which of 2 or more bits a shingle are hit; widths are powers of two, so a wide one folds to a narrow one."""
-    width = max(64, 1 << (2 * len(values) - 1).bit_length())
+    """Which of 4 or more bits a shingle are hit; widths are powers of two, so a wide one folds to a narrow one."""
+    width = max(64, 1 << (4 * len(values) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[((values >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -139,7 +140,7 @@ def describe(documents: DataFrame, size: int, rule: Rule) -> DataFrame:
     return read.mapInArrow(lean(rows), schema)
 
 
-def tiles(rows: DataFrame, rule: Rule, large: int | None) -> DataFrame:
+def tiles(rows: DataFrame, rule: Rule, large: int) -> DataFrame:
     """Candidate pairs (a, b) of tile rows (key, rep, comp, n, pos); of put-off tiles their rows (key, a, null)."""
 
     def pairs_of(t: np.ndarray, out: list) -> None:
@@ -148,7 +149,7 @@ def tiles(rows: DataFrame, rule: Rule, large: int | None) -> DataFrame:
         comps = len(np.unique(t["comp"]))
         if comps < 2:
             return
-        if large and comps > large:
+        if comps > large:
             out.append(np.stack([np.full(len(t), t["key"][0]), t["rep"], np.full(len(t), -1)]))
             return
         n, pos = t["n"], t["pos"]
@@ -198,6 +199,60 @@ def tiles(rows: DataFrame, rule: Rule, large: int | None) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "key long, a long, b long")
 
 
+def _dense_pairs(reps: np.ndarray, comps: np.ndarray, n: np.ndarray, bits: list[bytes], rule: Rule):
+    """Pairs of places (i, j) of different components whose sizes and bitmaps allow a link; n ascends, so widths do.
+
+    Sizes in the band differ by a quarter at most, so a wider bitmap is at most four times as wide and is folded.
+    """
+    sizes = np.array([len(b) for b in bits])
+    for width in np.unique(sizes).tolist():
+        first, last = np.searchsorted(sizes, width), np.searchsorted(sizes, width, side="right")
+        end = np.searchsorted(n, 100 * n[last - 1] // rule.percent, side="right")
+        folded = np.empty((end - first, width), dtype=np.uint8)
+        for k in range(first, end):
+            own = np.frombuffer(bits[k], dtype=np.uint8)
+            folded[k - first] = own if len(own) == width else np.bitwise_or.reduce(own.reshape(-1, width))
+        words = folded.view(np.uint64)
+        full = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        for i in range(first, last):
+            stop = np.searchsorted(n, 100 * n[i] // rule.percent, side="right")
+            if stop <= i + 1:
+                continue
+            both = np.bitwise_count(words[i + 1 - first : stop - first] & words[i - first]).sum(axis=1, dtype=np.int64)
+            m = n[i + 1 : stop]
+            bound = np.minimum(n[i] - (full[i - first] - both), m - (full[i + 1 - first : stop - first] - both))
+            ok = (bound >= rule.needed(n[i], m)) & (comps[i + 1 : stop] != comps[i])
+            yield from ((i, int(j)) for j in np.flatnonzero(ok) + i + 1)
+
+
+def dense_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs (a, b) of crowded tiles, rows (key, rep, comp, n, bits, keys): every pair in the band whose
+    bitmaps allow a link, in the first of the crowded tiles (keys) that both are in."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def done(tile):
+            tile.sort(key=lambda r: (r[3], r[1]))
+            key, reps, comps, n = tile[0][0], *(np.array([r[k] for r in tile], dtype=np.int64) for k in (1, 2, 3))
+            keys = [frozenset(r[5]) for r in tile]
+            pairs = [(i, j) for i, j in _dense_pairs(reps, comps, n, [r[4] for r in tile], rule) if min(keys[i] & keys[j]) == key]
+            a, b = reps[[i for i, _ in pairs]], reps[[j for _, j in pairs]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    dealt = rows.select("key", "rep", "comp", "n", "bits", "keys").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lean(run), "a long, b long")
+
+
 def moved_prefixes(texts: DataFrame, size: int, rule: Rule, moved: np.ndarray) -> DataFrame:
     """rep, n, prefix of texts in the order that has the moved shingles (ascending) last."""
     last_ones = texts.sparkSession.sparkContext.broadcast(moved)
@@ -292,10 +347,16 @@ class Join:
             whole = prefixes.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
             rows = whole.select("rep", "comp", "n", F.posexplode("prefix").alias("pos", "key"))
             rows = rows.select("key", "rep", "comp", "n", F.col("pos").cast("long"))
-            large = LARGE_TILE if turn < ROUNDS - 1 else None
-            out = written(tiles(rows, self.rule, large), f"tiles-{turn}")
+            out = written(tiles(rows, self.rule, LARGE_TILE), f"tiles-{turn}")
             found.append(out.filter("b is not null").select("a", "b"))
             put_off = out.filter("b is null")
+            if turn == ROUNDS - 1:
+                crowded = written(put_off.select("key", F.col("a").alias("rep")).distinct(), "crowded")
+                keys = crowded.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+                bits = self.reps.select("rep", "n", "bits").join(keys, "rep").join(named, "rep", "left")
+                bits = bits.withColumn("comp", F.coalesce("comp", "rep"))
+                found.append(written(dense_tiles(crowded.join(bits, "rep"), self.rule), "tiles-crowded"))
+                break
             often = put_off.groupBy("key").count().orderBy(F.desc("count"), "key").limit(MOST_MOVED).select("key").toArrow()
             if not often.num_rows:
                 break
