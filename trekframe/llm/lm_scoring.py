@@ -18,18 +18,25 @@ counted and scored each; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_filter, lean, mix, slices, text_hash, word_hashes, written
+from .common import id_filter, lean, mix, slices, word_hashes, written
 
 BACKOFF = 0.4
 MOST_WORDS = 1 << 18
 MOST_PAIRS = 1 << 18
 #: A pair is a candidate for the broadcast table if one task meets it so often.
 CANDIDATE = 6
+#: Hash ranges by which exploded pairs are dealt: so many, or more of about so many words each.
+LEAST_BUCKETS, BUCKET_WORDS = 64, 1_000_000
 _BITS = 1 << 26
 _HELD = 1 << 20
 
@@ -110,32 +117,61 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarra
     return np.where(hashes[at] == keys, values[at], np.nan)
 
 
-def _explode(held):
-    """From (row, text) to rows (key, row, packed, more), of three kinds.
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, first those of all highest places: like ones lie together and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-    more null: a pair (key), packed: the sum of its words' log counts (32-bit float) and how often it is met.
-    more of 16 bytes: the same, with the hashes of words whose counts are not known (0: known).
-    more of 8 bytes: key a word whose log count is due as often as packed says; or key 0, more the text's sum as far as
-    it is known and packed one text (shifted by 40) and its number of words.
-    """
 
-    def packed(logs: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return (logs.astype(np.float32).view(np.int32).astype(np.int64) << 32) | times
+def _from_planes(data: bytes, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+#: What a block of exploded pairs holds of each: hash (as steps), document (from the block's first), the sum of its
+#: words' log counts and how often it is met; and the words whose counts are not known (0: known).
+_FIELDS = (("key", "<u8"), ("doc", "<u4"), ("logs", "<f4"), ("times", "<u4"), ("first", "<u8"), ("second", "<u8"))
+
+
+def _packed(base: int, columns: dict[str, np.ndarray]) -> bytes:
+    n = len(columns["key"])
+    columns = columns | {"key": np.diff(columns["key"], prepend=np.uint64(0))}
+    return struct.pack("<qq", base, n) + zlib.compress(b"".join(_planes(columns[k].astype(t)) for k, t in _FIELDS), 1)
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    base, n = struct.unpack_from("<qq", data)
+    raw, at, out = zlib.decompress(data[16:]), 0, {}
+    for name, kind in _FIELDS:
+        size = n * np.dtype(kind).itemsize
+        out[name] = _from_planes(raw[at : at + size], kind, n)
+        at += size
+    return out | {"key": np.cumsum(out["key"], dtype=np.uint64), "row": base + out["doc"].astype(np.int64)}
+
 
-    def batch_of(key, row, pack, more=None):
-        more = pa.nulls(len(key), pa.binary()) if more is None else pa.array(more, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(row), pa.array(pack), more], ["key", "row", "packed", "more"])
+def _explode(held, buckets: int):
+    """From (doc_id, text) to rows (bucket, row, doc_id, value, tally, word, data).
+
+    A document's row number is its task's and its place there, so it is the same if the task runs again.  data: packed
+    pairs of a bucket, a range of hashes.  Else the row is a contribution: of a document its sum as far as it is known
+    with tally (words) and doc_id, or of a word whose log count is due value times.
+    """
+    names = ["bucket", "row", "doc_id", "value", "tally", "word", "data"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch_of(n: int, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
 
     def run(batches):
         words_table, pairs_table, repeated, total = held.value
         constant = np.log(total) - np.log(BACKOFF)
+        seen = TaskContext.get().partitionId() << 36
         for batch in batches:
-            rows, texts = batch.column(0).to_numpy(), batch.column(1)
-            for begin, end in slices(texts, 1 << 20):
+            ids, texts = batch.column(0), batch.column(1)
+            for begin, end in slices(texts, 2 << 20):
+                base, size = seen + begin, end - begin
                 words, starts = word_hashes(texts[begin:end].to_pylist())
-                if not len(words):
-                    continue
-                text = np.repeat(np.arange(end - begin), np.diff(starts))
+                lengths = np.diff(starts)
+                text = np.repeat(np.arange(size), lengths)
                 logs = _lookup(words_table, words)
                 unknown = np.flatnonzero(np.isnan(logs))
                 place = (_spark_hash(words[unknown]) % np.uint64(_BITS)).astype(np.int64)
@@ -145,106 +181,95 @@ def _explode(held):
                 single[unknown[once]] = True
                 unknown = unknown[~once]
                 # Every word as if backed off (the first of a text without the factor) ...
-                sums = np.bincount(text, weights=np.nan_to_num(logs), minlength=end - begin)
-                sums -= np.bincount(text, minlength=end - begin) * constant
-                has = np.diff(starts) > 0
-                sums[has] -= np.log(BACKOFF)
+                sums = np.bincount(text, weights=np.nan_to_num(logs), minlength=size) - lengths * constant
+                sums[lengths > 0] -= np.log(BACKOFF)
                 # ... and what kept pairs add: log count(pair) - log count(first) - log count(second) + constant.
                 at, pairs = pair_hashes(words, starts)
                 both = logs[at - 1] + logs[at]
                 common = _lookup(pairs_table, pairs)
                 ready = ~np.isnan(common) & ~np.isnan(both)
-                sums += np.bincount(text[at[ready]], weights=common[ready] - both[ready] + constant, minlength=end - begin)
-                tally = (1 << 40) + np.diff(starts)[has].astype(np.int64)
-                yield batch_of(np.zeros(len(tally), np.uint64), rows[begin:end][has], tally, [x.tobytes() for x in sums[has]])
+                sums += np.bincount(text[at[ready]], weights=common[ready] - both[ready] + constant, minlength=size)
+                rows = base + np.arange(size)
+                yield batch_of(size, bucket=(rows % buckets).astype(np.int32), row=rows, doc_id=ids[begin:end], value=sums, tally=lengths)
                 if len(unknown):
                     due, times = np.unique(np.stack([words[unknown], text[unknown].astype(np.uint64)]), axis=1, return_counts=True)
-                    yield batch_of(due[0].copy(), rows[begin:end][due[1].astype(np.int64)], times.astype(np.int64), [bytes(8)] * len(times))
+                    rows = base + due[1].astype(np.int64)
+                    yield batch_of(len(rows), bucket=(rows % buckets).astype(np.int32), row=rows, value=times.astype(np.float64), word=due[0].copy().view(np.int64))
                 left = np.flatnonzero(~ready & ~single[at] & ~single[at - 1])  # pairs of single words are single
                 left = left[np.argsort(pairs[left], kind="stable")]
                 key, of = pairs[left], text[at[left]]
                 new = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(of, prepend=-1) != 0))
                 times = np.diff(np.append(new, len(left)))
                 key, of, left = key[new], of[new], left[new]
-                known = ~np.isnan(both[left])
-                yield batch_of(key[known], rows[begin:end][of[known]], packed(both[left][known], times[known]))
-                if not known.all():
-                    rest = at[left][~known]
-                    pair_logs = np.stack([logs[rest - 1], logs[rest]])
-                    names = np.where(np.isnan(pair_logs), np.stack([words[rest - 1], words[rest]]), np.uint64(0))
-                    more = [x.tobytes() for x in np.ascontiguousarray(names.T)]
-                    yield batch_of(key[~known], rows[begin:end][of[~known]], packed(np.nan_to_num(pair_logs).sum(axis=0), times[~known]), more)
+                ends = np.stack([at[left] - 1, at[left]])
+                known = ~np.isnan(logs[ends])
+                names_due = np.where(known, np.uint64(0), words[ends])
+                columns = {"key": key, "doc": of, "logs": np.nan_to_num(logs[ends]).sum(axis=0), "times": times, "first": names_due[0], "second": names_due[1]}
+                edges = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1)).tolist()
+                parts = [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+                data = [_packed(base, {name: c[i:j] for name, c in columns.items()}) for _, i, j in parts]
+                yield batch_of(len(parts), bucket=[k for k, _, _ in parts], data=data)
+            seen += batch.num_rows
 
     return run
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes, numbered; ascends with the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _spark_hash(x: np.ndarray) -> np.ndarray:
     """A second hash for the bitmap; _bitmap_of uses the same."""
     return mix(x ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def _joined(total: float):
-    """Rows of _explode, ascending by key, in; (row, value, tally, word) out: value counts log count(word) times."""
+    """Rows of _explode, bucket by bucket, in; contributions (row, doc_id, value, tally, word) out.
+
+    The counts of a bucket's pairs are the sums over its own rows; each row then takes its pair's.
+    """
     constant = np.log(total) - np.log(BACKOFF)
+    names = ["row", "doc_id", "value", "tally", "word"]
+
+    def done(blocks: list[bytes]):
+        found = [_unpacked(x) for x in blocks]
+        columns = {k: np.concatenate([f[k] for f in found]) for k in ("key", "row", "logs", "times", "first", "second")}
+        order = np.argsort(columns["key"], kind="stable")
+        columns = {k: v[order] for k, v in columns.items()}
+        times = columns["times"].astype(np.float64)
+        run = np.cumsum(np.diff(columns["key"], prepend=~columns["key"][:1]) != 0)
+        count = np.bincount(run, weights=times)[run]
+        kept = count >= 2
+        row, times, count = columns["row"][kept], times[kept], count[kept]
+        value = times * (np.log(count) - columns["logs"][kept].astype(np.float64) + constant)
+        rows, which = np.unique(row, return_inverse=True)
+        sums = np.bincount(which, weights=value, minlength=len(rows))
+        out = [(rows, sums, np.zeros(len(rows), dtype=np.uint64))]
+        for side in ("first", "second"):
+            word = columns[side][kept]
+            due = word != 0
+            out.append((row[due], -times[due], word[due]))
+        row, value, word = (np.concatenate(x) for x in zip(*out, strict=True))
+        words = pa.array(word.view(np.int64), mask=word == 0)
+        nothing = pa.nulls(len(row), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(row), nothing, pa.array(value), nothing, words], names)
 
     def run(batches):
-        held: list = []
-        sums: list = []
-        size = 0
-
-        names = ["row", "value", "tally", "word"]
-
-        def merged():
-            rows, values, tallies = (np.concatenate(x) for x in zip(*sums, strict=True))
-            found, at = np.unique(rows, return_inverse=True)
-            tally = np.bincount(at, weights=tallies, minlength=len(found)).astype(np.int64)
-            value = np.bincount(at, weights=values, minlength=len(found))
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(value), pa.array(tally), pa.nulls(len(found), pa.int64())], names)
-
-        def done(key, row, pack, more):
-            """Whole runs of keys: sums by row, and the words still due."""
-            width = np.array([0 if m is None else len(m) for m in more])
-            flat = np.flatnonzero(width == 8)
-            zero = flat[key[flat] == 0]
-            if len(zero):
-                sums.append((row[zero], np.frombuffer(b"".join([more[i] for i in zero]), dtype=np.float64), pack[zero]))
-            due = flat[key[flat] != 0]
-            rows, values, words = [row[due]], [pack[due].astype(np.float64)], [key[due]]
-            pairs = np.flatnonzero(width != 8)
-            times = (pack[pairs] & 0xFFFFFFFF).astype(np.float64)
-            logs = (pack[pairs] >> 32).astype(np.int32).view(np.float32).astype(np.float64)
-            new = np.diff(key[pairs], prepend=~key[pairs][:1]) != 0  # keys ascend
-            count = np.bincount(np.cumsum(new), weights=times)[np.cumsum(new)] if len(pairs) else times
-            kept = count >= 2
-            found = times[kept] * (np.log(count[kept]) - logs[kept] + constant)
-            sums.append((row[pairs][kept], found, np.zeros(len(found), dtype=np.int64)))
-            for i in np.flatnonzero(kept & (width[pairs] == 16)):
-                for word in np.frombuffer(more[pairs[i]], dtype=np.int64):
-                    if word:
-                        rows.append(row[pairs[i : i + 1]]), values.append(-times[i : i + 1]), words.append(np.array([word]))
-            rows, values, words = np.concatenate(rows), np.concatenate(values), np.concatenate(words)
-            if len(rows):
-                return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(values), pa.nulls(len(rows), pa.int64()), pa.array(words)], names)
-            return None
-
+        bucket, blocks = None, []
         for batch in batches:
-            new = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(4)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last run may go on
-            if cut < 50_000:
-                continue
-            out = done(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-            if out:
-                yield out
-            size += cut
-            if size > 2 * _HELD:
-                yield merged()
-                sums, size = [], 0
-        if held and len(held[0]) and (out := done(*held)):
-            yield out
-        if sums:
-            yield merged()
+            passing = batch.filter(pc.is_null(batch.column("data")))
+            if passing.num_rows:
+                yield pa.RecordBatch.from_arrays([passing.column(k) for k in names], names)
+            packed = batch.filter(pc.is_valid(batch.column("data")))
+            for k, data in zip(packed.column("bucket").to_pylist(), packed.column("data").to_pylist(), strict=True):
+                if k != bucket and blocks:
+                    yield done(blocks)
+                    blocks = []
+                bucket = k
+                blocks.append(data)
+        if blocks:
+            yield done(blocks)
 
     return run
 
@@ -263,8 +288,7 @@ def _bitmap_of(words: DataFrame) -> np.ndarray:
 def scores(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, score (sum of natural logarithms) and mean (by word) for every row of documents."""
     spark = documents.sparkSession
-    # Rows are told apart by a hash of id and text; those that repeat both have the same score.
-    named = documents.select("doc_id", F.xxhash64("doc_id", text_hash()).alias("row"), F.col("text").cast("string").alias("text"))
+    named = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     texts = named.select("text")
     counted = texts.mapInArrow(lean(_counter()), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counts = written(counted, "lm-counts")
@@ -279,22 +303,16 @@ def scores(documents: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast(
         ((word_table[0], np.log(word_table[1])), (pair_table[0], np.log(pair_table[1])), _bitmap_of(words.filter("n > 1")), total)
     )
-    rows = named.select("row", "text").mapInArrow(lean(_explode(held)), "key long, row long, packed long, more binary")
-    # Sums that are ready have key 0; they are dealt by row.
-    dealt = rows.repartition(F.when(F.col("key") == 0, F.col("row")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    parts = written(dealt.mapInArrow(lean(_joined(total)), "row long, value double, tally long, word long"), "lm-parts")
+    buckets = max(LEAST_BUCKETS, int(total / BUCKET_WORDS))
+    schema = "bucket int, row long, doc_id long, value double, tally long, word long, data binary"
+    rows = named.mapInArrow(lean(_explode(held, buckets)), schema).repartition("bucket").sortWithinPartitions("bucket")
+    parts = written(rows.mapInArrow(lean(_joined(total)), "row long, doc_id long, value double, tally long, word long"), "lm-parts")
     due = parts.filter("word is not null").join(words.select(F.col("h").alias("word"), "n"), "word")
-    due = due.select("row", (F.col("value") * F.log("n")).alias("value"), "tally")
-    summed = parts.filter("word is null").select("row", "value", "tally").union(due).groupBy("row")
-    summed = summed.agg(F.sum("value").alias("value"), F.sum("tally").alias("tally"))
-    copies = F.shiftright("tally", 40)
-    n_words = (F.col("tally").bitwiseAND(F.lit((1 << 40) - 1)) / copies).cast("long")
-    found = summed.select("row", n_words.alias("n_words"), (F.col("value") / copies).alias("score"))
-    out = named.select("doc_id", "row").join(found, "row", "left")
-    return out.select(
-        "doc_id", F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"),
-        (F.col("score") / F.col("n_words")).alias("mean"),
-    )
+    due = due.select("row", "doc_id", (F.col("value") * F.log("n")).alias("value"), "tally")
+    summed = parts.filter("word is null").select("row", "doc_id", "value", "tally").union(due).groupBy("row")
+    summed = summed.agg(F.max("doc_id").alias("doc_id"), F.sum("tally").alias("n_words"), F.sum("value").alias("score"))
+    score = F.when(F.col("n_words") > 0, F.col("score"))
+    return summed.select("doc_id", "n_words", F.coalesce(score, F.lit(0.0)).alias("score"), (score / F.col("n_words")).alias("mean"))
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
