@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,33 +116,64 @@ def _deviations(lat, lon, ele, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     return aside, np.nan_to_num(np.abs(ele[inner] - (ele[a] + (ele[b] - ele[a]) * along)))
 
 
+def _kept(lat: np.ndarray, lon: np.ndarray, ele: np.ndarray, horizontal_m: float, vertical_m: float) -> np.ndarray:
+    """Which points of a segment Douglas-Peucker keeps."""
+    ratio = lambda d, most: d / most if most > 0 else np.where(d > 0, np.finfo(float).max, 0.0)
+    keep = np.zeros(len(lat), dtype=bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(lat) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        aside, above = _deviations(lat, lon, ele, a, b)
+        score = np.maximum(ratio(aside, horizontal_m), ratio(above, vertical_m))
+        worst = int(score.argmax())
+        if score[worst] > 1:
+            at = a + 1 + worst
+            keep[at] = True
+            todo += [(a, at), (at, b)]
+    return keep
+
+
 def simplify(points: DataFrame, horizontal_m: float = 5.0, vertical_m: float = 3.0) -> DataFrame:
     """Douglas-Peucker in three dimensions by segment: a point stays if it is further from the line than a tolerance,
-    aside or in height (points without height: aside only).  A segment is one group and must fit in a task."""
+    aside or in height (points without height: aside only).  Segments flow by in order; one at a time is held."""
     if horizontal_m < 0 or vertical_m < 0:
         raise ValueError("tolerances must not be negative")
-    ratio = lambda d, most: d / most if most > 0 else np.where(d > 0, np.finfo(float).max, 0.0)
+    keys = ["track_id", "segment_idx"]
 
-    def kept(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("point_idx")
-        lat, lon, ele = (group[c].to_numpy(dtype=float, na_value=np.nan) for c in ("lat", "lon", "ele"))
-        keep = np.zeros(len(group), dtype=bool)
-        keep[[0, -1]] = True
-        todo = [(0, len(group) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
+    def run(batches):
+        held: pa.Table | None = None
+
+        def ends(table: pa.Table) -> list[int]:
+            """The rows at which segments start, and the end."""
+            changed = np.zeros(len(table), dtype=bool)
+            changed[0] = True
+            for k in keys:
+                column = table.column(k).combine_chunks()
+                changed[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+            return [*np.flatnonzero(changed).tolist(), len(table)]
+
+        def done(table: pa.Table, edges: list[int]):
+            lat, lon, ele = (pc.fill_null(table.column(c).combine_chunks(), np.nan).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "ele"))
+            keep = [_kept(lat[i:j], lon[i:j], ele[i:j], horizontal_m, vertical_m) for i, j in zip(edges, edges[1:])]
+            return table.slice(0, edges[-1]).filter(pa.array(np.concatenate(keep))).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            aside, above = _deviations(lat, lon, ele, a, b)
-            score = np.maximum(ratio(aside, horizontal_m), ratio(above, vertical_m))
-            worst = int(score.argmax())
-            if score[worst] > 1:
-                at = a + 1 + worst
-                keep[at] = True
-                todo += [(a, at), (at, b)]
-        return group[keep]
-
-    return points.groupBy("track_id", "segment_idx").applyInPandas(kept, points.schema)
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            edges = ends(held)
+            if len(edges) > 2:  # the last segment may go on
+                yield from done(held, edges[:-1])
+                held = held.slice(edges[-2])
+        if held is not None:
+            yield from done(held, ends(held))
+
+    ordered = points.repartition(*keys).sortWithinPartitions(*keys, "point_idx")
+    return ordered.mapInArrow(run, points.schema)
 
 
 def loops(requests: DataFrame) -> DataFrame:
