@@ -36,7 +36,7 @@ MOST_PAIRS = 1 << 18
 #: A pair is a candidate for the broadcast table if one task meets it so often.
 CANDIDATE = 6
 #: Hash ranges by which exploded pairs are dealt: so many, or more of about so many words each.
-LEAST_BUCKETS, BUCKET_WORDS = 64, 1_000_000
+LEAST_BUCKETS, BUCKET_WORDS = 64, 4_000_000
 _BITS = 1 << 26
 _HELD = 1 << 20
 

@@ -106,7 +106,8 @@ def shard(
 ) -> DataFrame:
     """rows with columns shard (int) and slot (long, gapless from 0 in each shard).
 
-    keys: columns whose hash is a row's place on the ring.  slack: 0 for equal counts, else the part by which a shard
+    keys: columns whose hash is a row's place on the ring; they should tell rows apart, as the rows of one key are
+    ranked in one task.  slack: 0 for equal counts, else the part by which a shard
     may exceed the mean; more slack means fewer rows that move when the number of shards changes.
     """
     spark: SparkSession = rows.sparkSession
