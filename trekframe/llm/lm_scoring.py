@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import id_filter, lean, mix, slices, word_hashes, written
 
 BACKOFF = 0.4
-MOST_WORDS = 1 << 18
-MOST_PAIRS = 1 << 18
+MOST_WORDS = 1 << 20
+MOST_PAIRS = 1 << 20
 #: A pair is a candidate for the broadcast table if one task meets it so often.
-CANDIDATE = 6
+CANDIDATE = 4
 #: Hash ranges by which exploded pairs are dealt: so many, or more of about so many words each.
 LEAST_BUCKETS, BUCKET_WORDS = 64, 4_000_000
 _BITS = 1 << 26
@@ -152,8 +152,8 @@ def _explode(held, buckets: int):
     """From (doc_id, text) to rows (bucket, row, doc_id, value, tally, word, data).
 
     A document's row number is its task's and its place there, so it is the same if the task runs again.  data: packed
-    pairs of a bucket, a range of hashes.  Else the row is a contribution: of a document its sum as far as it is known
-    with tally (words) and doc_id, or of a word whose log count is due value times.
+    pairs of a bucket, a range of hashes; with word, packed words whose log counts are due so many times.  Else the row
+    is a document's: its sum as far as it is known, its tally (words) and its doc_id.
     """
     names = ["bucket", "row", "doc_id", "value", "tally", "word", "data"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()]
@@ -193,8 +193,9 @@ def _explode(held, buckets: int):
                 yield batch_of(size, bucket=(rows % buckets).astype(np.int32), row=rows, doc_id=ids[begin:end], value=sums, tally=lengths)
                 if len(unknown):
                     due, times = np.unique(np.stack([words[unknown], text[unknown].astype(np.uint64)]), axis=1, return_counts=True)
-                    rows = base + due[1].astype(np.int64)
-                    yield batch_of(len(rows), bucket=(rows % buckets).astype(np.int32), row=rows, value=times.astype(np.float64), word=due[0].copy().view(np.int64))
+                    nothing = np.zeros(len(times), dtype=np.uint64)
+                    columns = {"key": due[0], "doc": due[1], "logs": nothing, "times": times, "first": nothing, "second": nothing}
+                    yield batch_of(1, bucket=[base % buckets], word=[1], data=[_packed(base, columns)])
                 left = np.flatnonzero(~ready & ~single[at] & ~single[at - 1])  # pairs of single words are single
                 left = left[np.argsort(pairs[left], kind="stable")]
                 key, of = pairs[left], text[at[left]]
@@ -255,6 +256,12 @@ def _joined(total: float):
         nothing = pa.nulls(len(row), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(row), nothing, pa.array(value), nothing, words], names)
 
+    def due_words(data: bytes):
+        found = _unpacked(data)
+        n = len(found["key"])
+        value = pa.array(found["times"].astype(np.float64))
+        return pa.RecordBatch.from_arrays([pa.array(found["row"]), pa.nulls(n, pa.int64()), value, pa.nulls(n, pa.int64()), pa.array(found["key"].view(np.int64))], names)
+
     def run(batches):
         bucket, blocks = None, []
         for batch in batches:
@@ -262,7 +269,10 @@ def _joined(total: float):
             if passing.num_rows:
                 yield pa.RecordBatch.from_arrays([passing.column(k) for k in names], names)
             packed = batch.filter(pc.is_valid(batch.column("data")))
-            for k, data in zip(packed.column("bucket").to_pylist(), packed.column("data").to_pylist(), strict=True):
+            for k, word, data in zip(*(packed.column(c).to_pylist() for c in ("bucket", "word", "data")), strict=True):
+                if word is not None:
+                    yield due_words(data)
+                    continue
                 if k != bucket and blocks:
                     yield done(blocks)
                     blocks = []
