@@ -1,0 +1,54 @@
+import math
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from trekframe.llm import whole_backoff
+
+FOLDER = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_scores(rows, order):
+    lower = {i: i + 32 for i in range(65, 91)}
+    texts = [WORD.findall((t or "").translate(lower)) for _, t, *_ in rows]
+    counts = Counter(tuple(t[i : i + n]) for t in texts for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    total = sum(map(len, texts))
+    out = []
+    for (i, *_), t in zip(rows, texts, strict=True):
+        score = 0.0
+        for j in range(len(t)):
+            gram = tuple(t[max(0, j - order + 1) : j + 1])
+            score += math.log(counts[gram] / (counts[gram[:-1]] if gram[1:] else total))
+        out.append((str(i), len(t), round(score, 6)))
+    return sorted(out)
+
+
+def same(found, wanted):
+    assert [x[:2] for x in found] == [x[:2] for x in wanted]
+    assert [x[2] for x in found] == pytest.approx([x[2] for x in wanted], abs=1e-4)
+
+
+@pytest.mark.parametrize("most", [1 << 18, 4, 0])
+def test_pairs_seen_once_count(documents, rows, monkeypatch, most):
+    monkeypatch.setattr(whole_backoff, "MOST", most)
+    found = whole_backoff.whole_scores(documents).collect()
+    same(sorted((str(r.doc_id), r.n_words, round(r.score, 6)) for r in found), brute_scores(rows, 2))
+
+
+def test_no_text_to_score(nothing, spark):
+    assert whole_backoff.whole_scores(nothing).count() == 0
+    silent = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert [(r.n_words, r.score, r["mean"]) for r in whole_backoff.whole_scores(silent).collect()] == [(0, 0.0, None)] * 2
+
+
+@pytest.mark.parametrize("name", ["op9_whole_backoff"])
+def test_sql_agrees(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    found = con.sql(__spark_entry__.oracle_sql()[name])
+    mine = __spark_entry__.queries()[name](spark, FOLDER).select(*found.columns)
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in mine.collect())

@@ -132,16 +132,16 @@ def _from_planes(data: bytes, kind: str, n: int) -> np.ndarray:
 _FIELDS = (("key", "<u8"), ("doc", "<u4"), ("logs", "<f4"), ("times", "<u4"), ("first", "<u8"), ("second", "<u8"))
 
 
-def _packed(base: int, columns: dict[str, np.ndarray]) -> bytes:
+def _packed(base: int, columns: dict[str, np.ndarray], fields=_FIELDS) -> bytes:
     n = len(columns["key"])
     columns = columns | {"key": np.diff(columns["key"], prepend=np.uint64(0))}
-    return struct.pack("<qq", base, n) + zlib.compress(b"".join(_planes(columns[k].astype(t)) for k, t in _FIELDS), 1)
+    return struct.pack("<qq", base, n) + zlib.compress(b"".join(_planes(columns[k].astype(t)) for k, t in fields), 1)
 
 
-def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+def _unpacked(data: bytes, fields=_FIELDS) -> dict[str, np.ndarray]:
     base, n = struct.unpack_from("<qq", data)
     raw, at, out = zlib.decompress(data[16:]), 0, {}
-    for name, kind in _FIELDS:
+    for name, kind in fields:
         size = n * np.dtype(kind).itemsize
         out[name] = _from_planes(raw[at : at + size], kind, n)
         at += size

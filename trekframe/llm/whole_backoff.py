@@ -1,0 +1,266 @@
+"""Language-model scoring with every count kept: stupid backoff of any order over the corpus itself.
+
+A word scores ``count(gram) / count(context)``: its gram is the word with the ``order - 1`` words before it (or as many as
+its text has), its context those words alone; the first word of a text scores ``count(word) / words``.  Every gram of a
+scored text is in the model, as no count is dropped, so the backed-off score of unseen grams is never called for.
+
+How it is computed: words and grams are 64-bit hashes.  The first ``order - 1`` words of a text together score
+``count(them) / words``, so only grams and contexts of full length are counted.  Exact counts of the ``MOST`` commonest
+contexts and grams are broadcast, which keeps hot ones out of the shuffle.  Each other gram goes to its context's range
+of hashes, or to its own if the context's count is known; a context at the end of a text goes there too.  So a range
+holds all grams of its contexts, and both counts are sums over its rows.  Rows are packed by lm_scoring's codec.
+Values are summed by document.  Texts shorter than a context are joined with the counts of the runs that equal them.
+
+Defined results: as in lm_scoring.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import id_filter, lean, mix, slices, word_hashes, written
+from .lm_scoring import _HELD, BUCKET_WORDS, CANDIDATE, LEAST_BUCKETS, _bucket, _count_batch, _lookup, _packed, _Sums, _table, _unpacked
+
+MOST = 1 << 20
+_TOTAL, _CONTEXT, _GRAM, _SHORT = range(4)
+_BITS = 1 << 23
+#: sub of a packed row: a gram under its own hash, a context at a text's end, a text's first context; else the gram.
+_ALONE, _END, _HEAD, _LEAST_SUB = 0, 1, 2, 1 << 47
+_FIELDS = (("key", "<u8"), ("low", "<u4"), ("high", "<u2"), ("doc", "<u4"))
+
+
+def gram_hashes(words: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first places of runs of so many words inside texts, and the runs' hashes."""
+    n = max(len(words) - order + 1, 0)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    k = words[:n]
+    for j in range(1, order):
+        k = mix(k * np.uint64(31) + words[j : j + n])
+    at = np.flatnonzero(text[:n] == text[len(words) - n :])
+    return at, k[at]
+
+
+def _short_hashes(words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """gram_hashes, told apart by length."""
+    at, k = gram_hashes(words, starts, length)
+    return at, mix(k + np.uint64(length))
+
+
+def _hit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = (mix(keys) % np.uint64(_BITS)).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _counter(order: int, exactly=None):
+    """Rows (kind, h, n): the number of words, often met contexts and grams, texts shorter than a context; with exactly
+    (a broadcast: contexts, grams, bitmap of short texts) the counts of those."""
+
+    def run(batches):
+        sums, total = {kind: _Sums() for kind in (_CONTEXT, _GRAM, _SHORT)}, 0
+        least = {_CONTEXT: CANDIDATE, _GRAM: CANDIDATE, _SHORT: 1} if exactly is None else dict.fromkeys(sums, 1)
+        for batch in batches:
+            texts = batch.column(0)
+            for first, last in slices(texts, 2 << 20):
+                words, starts = word_hashes(texts[first:last].to_pylist())
+                total += len(words)
+                for kind, length in ((_CONTEXT, order - 1), (_GRAM, order)):
+                    _, found = gram_hashes(words, starts, length)
+                    if exactly is not None:
+                        found = found[~np.isnan(_lookup((exactly.value[kind], exactly.value[kind]), found))]
+                    sums[kind].add(found)
+                for length in range(1, order - 1):
+                    at, found = _short_hashes(words, starts, length)
+                    if exactly is None:
+                        whole = starts[:-1][np.diff(starts) == length]
+                        sums[_SHORT].add(found[np.isin(at, whole)])
+                    elif exactly.value[_SHORT] is not None:
+                        sums[_SHORT].add(found[_hit(exactly.value[_SHORT], found)])
+                for kind, held in sums.items():
+                    if held.held > _HELD:
+                        yield _count_batch(kind, *held.take(least[kind]))
+        yield _count_batch(_TOTAL, np.zeros(1, np.uint64), np.array([total]))
+        for kind, held in sums.items():
+            yield _count_batch(kind, *held.take(least[kind]))
+
+    return run
+
+
+def _explode(held, order: int, buckets: int):
+    """From (doc_id, text) to rows (bucket, row, doc_id, value, tally, short, data); see lm_scoring._explode.
+
+    short: the hash of a text that is shorter than a context.
+    """
+    names = ["bucket", "row", "doc_id", "value", "tally", "short", "data"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()]
+    width = order - 1
+
+    def batch_of(n: int, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
+
+    def run(batches):
+        contexts, grams, total = held.value
+        seen = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for begin, end in slices(texts, 4 << 20):
+                base, size = seen + begin, end - begin
+                words, starts = word_hashes(texts[begin:end].to_pylist())
+                lengths = np.diff(starts)
+                text = np.repeat(np.arange(size), lengths)
+                sums = np.where(lengths > 0, -np.log(total), 0.0)
+                short = np.zeros(size, dtype=np.uint64)
+                for length in range(1, width):
+                    at, found = _short_hashes(words, starts, length)
+                    is_short = lengths[text[at]] == length
+                    short[text[at[is_short]]] = found[is_short]
+                at, context = gram_hashes(words, starts, width)
+                of, known = text[at], _lookup(contexts, context)
+                unknown = np.isnan(known)
+                head = at == starts[of]
+                sums += np.bincount(of[head & ~unknown], weights=known[head & ~unknown], minlength=size)
+                goes_on = at + width < starts[of + 1]
+                after = words[np.minimum(at + width, len(words) - 1)]
+                gram = mix(context * np.uint64(31) + after)
+                mine = np.where(goes_on, _lookup(grams, gram), np.nan)
+                inside = goes_on & ~unknown
+                value = np.nan_to_num(mine[inside]) - known[inside]
+                sums += np.bincount(of[inside], weights=value, minlength=size)
+                alone = inside & np.isnan(mine)
+                going, ending, asking = goes_on & unknown, ~goes_on & unknown, head & unknown
+                key = np.concatenate([gram[alone], context[going], context[ending], context[asking]])
+                places = [np.flatnonzero(x) for x in (alone, going, ending, asking)]
+                sub = np.concatenate(
+                    [
+                        np.full(len(places[0]), _ALONE, dtype=np.uint64),
+                        gram[going] >> np.uint64(16) | np.uint64(_LEAST_SUB),
+                        np.full(len(places[2]), _END, dtype=np.uint64),
+                        np.full(len(places[3]), _HEAD, dtype=np.uint64),
+                    ]
+                )
+                doc = of[np.concatenate(places)]
+                sorting = np.argsort(key)
+                key, sub, doc = key[sorting], sub[sorting], doc[sorting]
+                columns = {"key": key, "low": sub & np.uint64(0xFFFFFFFF), "high": sub >> np.uint64(32), "doc": doc}
+                rows = base + np.arange(size)
+                shorts = pa.array(short.view(np.int64), mask=short == 0)
+                yield batch_of(size, bucket=(rows % buckets).astype(np.int32), row=rows, doc_id=ids[begin:end], value=sums, tally=lengths, short=shorts)
+                edges = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1)).tolist()
+                parts = [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+                data = [_packed(base, {name: c[i:j] for name, c in columns.items()}, _FIELDS) for _, i, j in parts]
+                yield batch_of(len(parts), bucket=[k for k, _, _ in parts], data=data)
+            seen += batch.num_rows
+
+    return run
+
+
+def _joined(batches):
+    """Rows of _explode, bucket by bucket, in; values (row, doc_id, value, tally, short) out."""
+    names = ["row", "doc_id", "value", "tally", "short"]
+
+    def done(blocks: list[bytes]):
+        found = [_unpacked(x, _FIELDS) for x in blocks]
+        key, row, low, high = (np.concatenate([f[k] for f in found]) for k in ("key", "row", "low", "high"))
+        sub = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        order = np.lexsort((sub, key))
+        key, sub, row = key[order], sub[order], row[order]
+        new = np.diff(key, prepend=~key[:1]) != 0
+        context = np.cumsum(new) - 1
+        gram = np.cumsum(new | (np.diff(sub, prepend=~sub[:1]) != 0)) - 1
+        with np.errstate(divide="ignore"):  # keys of single grams have no context rows
+            of_context = np.log(np.bincount(context, weights=(sub == _END) | (sub >= _LEAST_SUB)))[context]
+        of_gram = np.log(np.bincount(gram))[gram]
+        value = np.zeros(len(key))
+        value[sub == _ALONE] = of_gram[sub == _ALONE]
+        value[sub == _HEAD] = of_context[sub == _HEAD]
+        going = sub >= _LEAST_SUB
+        value[going] = of_gram[going] - of_context[going]
+        rows, which = np.unique(row, return_inverse=True)
+        nothing = pa.nulls(len(rows), pa.int64())
+        values = np.bincount(which, weights=value, minlength=len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(rows), nothing, pa.array(values), nothing, nothing], names)
+
+    bucket, blocks = None, []
+    for batch in batches:
+        passing = batch.filter(pc.is_null(batch.column("data")))
+        if passing.num_rows:
+            yield pa.RecordBatch.from_arrays([passing.column(k) for k in names], names)
+        packed = batch.filter(pc.is_valid(batch.column("data")))
+        for k, data in zip(packed.column("bucket").to_pylist(), packed.column("data").to_pylist(), strict=True):
+            if k != bucket and blocks:
+                yield done(blocks)
+                blocks = []
+            bucket = k
+            blocks.append(data)
+    if blocks:
+        yield done(blocks)
+
+
+def _bitmap_of(shorts: DataFrame) -> np.ndarray:
+    def places(batches):
+        for batch in batches:
+            place = mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64))], ["p"])
+
+    return np.frombuffer(id_filter(shorts.select("h").mapInArrow(places, "p long"), "p", _BITS, hashed=True), dtype=np.uint8)
+
+
+def whole_scores(documents: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, n_words, score (sum of natural logarithms) and mean (by word) for every row of documents."""
+    if order < 2:
+        raise ValueError("order must be at least 2")
+    broadcast = documents.sparkSession.sparkContext.broadcast
+    named = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    texts, schema = named.select("text"), "kind int, h long, n long"
+    counts = written(texts.mapInArrow(lean(_counter(order)), schema).groupBy("kind", "h").agg(F.sum("n").alias("n")), "lm-counts")
+    total = float(counts.filter(f"kind = {_TOTAL}").agg(F.sum("n")).first()[0] or 1)
+    shorts = counts.filter(f"kind = {_SHORT}")
+    any_short = not shorts.isEmpty()
+    wanted = {kind: _table(counts.filter(f"kind = {kind}"), MOST)[0] for kind in (_CONTEXT, _GRAM)}
+    exactly = broadcast(wanted | {_SHORT: _bitmap_of(shorts) if any_short else None})
+    exact = written(texts.mapInArrow(lean(_counter(order, exactly)), schema).groupBy("kind", "h").agg(F.sum("n").alias("n")), "lm-exact")
+    tables = [_table(exact.filter(f"kind = {kind}"), MOST) for kind in (_CONTEXT, _GRAM)]
+    held = broadcast((*((h, np.log(n)) for h, n in tables), total))
+    buckets = max(LEAST_BUCKETS, int(total / BUCKET_WORDS))
+    schema = "bucket int, row long, doc_id long, value double, tally long, short long, data binary"
+    rows = named.mapInArrow(lean(_explode(held, order, buckets)), schema).repartition("bucket").sortWithinPartitions("bucket")
+    parts = rows.mapInArrow(lean(_joined), "row long, doc_id long, value double, tally long, short long")
+    summed = parts.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("tally").alias("n_words"), F.sum("value").alias("score"), F.max("short").alias("short")
+    )
+    if any_short:
+        known = exact.filter(f"kind = {_SHORT}").select(F.col("h").alias("short"), "n")
+        summed = summed.join(known, "short", "left").withColumn("score", F.col("score") + F.coalesce(F.log("n"), F.lit(0.0)))
+    score = F.when(F.col("n_words") > 0, F.col("score"))
+    return summed.select("doc_id", "n_words", F.coalesce(score, F.lit(0.0)).alias("score"), (score / F.col("n_words")).alias("mean"))
+
+
+def op9_whole_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean log probability of a word in every document, by pairs of which none is dropped."""
+    found = whole_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", F.round("mean", 3).alias("mean_log"))
+
+
+WHOLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+t AS (SELECT r, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS p FROM d),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w),
+s AS (
+  SELECT t.r, count(*) AS n,
+         sum(CASE WHEN t.p IS NULL THEN ln(u.c / (SELECT count(*) FROM t))
+                  WHEN b.c IS NOT NULL THEN ln(b.c / f.c)
+                  ELSE ln(0.4 * u.c / (SELECT count(*) FROM t)) END) AS score
+  FROM t JOIN u ON t.w = u.w LEFT JOIN u AS f ON t.p = f.w LEFT JOIN b ON t.p = b.p AND t.w = b.w
+  GROUP BY t.r)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(s.score / s.n, 3) AS mean_log
+FROM d LEFT JOIN s ON d.r = s.r
+"""
