@@ -39,13 +39,21 @@ def test_pairs_seen_once_count(documents, rows, monkeypatch, most):
     same(sorted((str(r.doc_id), r.n_words, round(r.score, 6)) for r in found), brute_scores(rows, 2))
 
 
+@pytest.mark.parametrize(("order", "most"), [(3, 1 << 18), (3, 4), (3, 0), (4, 4)])
+def test_longer_contexts_count(documents, rows, monkeypatch, order, most):
+    """Also with texts that are shorter than a context."""
+    monkeypatch.setattr(whole_backoff, "MOST", most)
+    found = whole_backoff.whole_scores(documents, order).collect()
+    same(sorted((str(r.doc_id), r.n_words, round(r.score, 6)) for r in found), brute_scores(rows, order))
+
+
 def test_no_text_to_score(nothing, spark):
     assert whole_backoff.whole_scores(nothing).count() == 0
     silent = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
     assert [(r.n_words, r.score, r["mean"]) for r in whole_backoff.whole_scores(silent).collect()] == [(0, 0.0, None)] * 2
 
 
-@pytest.mark.parametrize("name", ["op9_whole_backoff"])
+@pytest.mark.parametrize("name", ["op9_whole_backoff", "op9_whole_trigrams"])
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")

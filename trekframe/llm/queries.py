@@ -12,7 +12,7 @@ from .quality_rules import op4_decision_list
 from .sharding import op1_consistent_ring
 from .token_matrix import op7_best_fit_matrix
 from .toxicity import op10_boosted_trees
-from .whole_backoff import WHOLE_SQL, op9_whole_backoff
+from .whole_backoff import TRIGRAM_SQL, WHOLE_SQL, op9_whole_backoff, op9_whole_trigrams
 
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
@@ -25,7 +25,13 @@ QUERIES = {
     "op8_entropy_balance": op8_entropy_balance,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op9_whole_backoff": op9_whole_backoff,
+    "op9_whole_trigrams": op9_whole_trigrams,
     "op10_boosted_trees": op10_boosted_trees,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_patricia_owners": OP6_SQL, "op9_stupid_backoff": OP9_SQL, "op9_whole_backoff": WHOLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_patricia_owners": OP6_SQL,
+    "op9_stupid_backoff": OP9_SQL,
+    "op9_whole_backoff": WHOLE_SQL,
+    "op9_whole_trigrams": TRIGRAM_SQL,
+}

@@ -245,6 +245,12 @@ def op9_whole_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("mean", 3).alias("mean_log"))
 
 
+def op9_whole_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean log probability of a word in every document, by the two words before it."""
+    found = whole_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)
+    return found.select("doc_id", "n_words", F.round("mean", 3).alias("mean_log"))
+
+
 WHOLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -264,3 +270,27 @@ s AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(s.score / s.n, 3) AS mean_log
 FROM d LEFT JOIN s ON d.r = s.r
 """
+
+TRIGRAM_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+t AS (SELECT r, unnest(ws) AS w, unnest(list_prepend(NULL, ws)[1:len(ws)]) AS p,
+             unnest(list_prepend(NULL, list_prepend(NULL, ws))[1:len(ws)]) AS q FROM d),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w),
+g AS (SELECT q, p, w, count(*) AS c FROM t WHERE q IS NOT NULL GROUP BY q, p, w),
+s AS (
+  SELECT t.r, count(*) AS n,
+         sum(CASE WHEN t.p IS NULL THEN ln(u.c / (SELECT count(*) FROM t))
+                  WHEN g.c IS NOT NULL THEN ln(g.c / h.c)
+                  WHEN b.c IS NOT NULL THEN ln(CASE WHEN t.q IS NULL THEN 1 ELSE 0.4 END * b.c / f.c)
+                  ELSE ln(CASE WHEN t.q IS NULL THEN 0.4 ELSE 0.4 * 0.4 END * u.c / (SELECT count(*) FROM t)) END) AS score
+  FROM t JOIN u ON t.w = u.w LEFT JOIN u AS f ON t.p = f.w LEFT JOIN b ON t.p = b.p AND t.w = b.w
+  LEFT JOIN b AS h ON t.q = h.p AND t.p = h.w LEFT JOIN g ON t.q = g.q AND t.p = g.p AND t.w = g.w
+  GROUP BY t.r)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(s.score / s.n, 3) AS mean_log
+FROM d LEFT JOIN s ON d.r = s.r
+"""
