@@ -45,6 +45,15 @@ def test_components_match_brute_force(documents, rows, monkeypatch, large):
     assert sorted(map(tuple, found), key=str) == brute_components(rows)
 
 
+def test_an_id_ties_all_its_texts(spark):
+    """Also those between its smallest and largest class, with their near copies."""
+    texts = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcd"]
+    rows = [(10 * (i + 1), t) for i, t in enumerate(texts)] + [(90, t) for t in texts] + [(70, f"{texts[1]} more"), (80, f"{texts[2]} more")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows)
+    assert {r.component_id for r in found} == {10}
+
+
 def test_one_document_of_each_group_stays(documents, rows):
     kept = one_of_each(documents)
     assert kept.columns == documents.columns

@@ -376,8 +376,8 @@ class Join:
         more = self.linked(self.tile_pairs(comps), "tiles")
         comps = connected_components(comps.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
         # A node is a doc_id: rows of one id with several texts tie their classes together.
-        ids = self.members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-        ties = ids.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+        least = self.members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).filter("a <> _most")
+        ties = self.members.join(least, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
         if not ties.isEmpty():
             comps = connected_components(comps.select(F.col("component").alias("a"), F.col("id").alias("b")).union(ties))
         found = self.members.select("doc_id", "key", "rep").distinct().join(comps.toDF("rep", "component"), "rep", "left")
