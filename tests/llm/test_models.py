@@ -2,48 +2,17 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from trekframe.llm import language_id, lm_scoring, mixing, quality_rules, toxicity
+from trekframe.llm import language_id, mixing, quality_rules, toxicity
 from trekframe.llm.common import fold
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_scores(rows):
-    lower = {i: i + 32 for i in range(65, 91)}
-    texts = [WORD.findall((t or "").translate(lower)) for _, t, *_ in rows]
-    words, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:], strict=False))
-    total = sum(words.values())
-    out = []
-    for (i, *_), t in zip(rows, texts, strict=True):
-        score = math.log(words[t[0]] / total) if t else 0.0
-        for a, b in zip(t, t[1:], strict=False):
-            score += math.log(pairs[a, b] / words[a]) if pairs[a, b] > 1 else math.log(0.4 * words[b] / total)
-        out.append((str(i), len(t), round(score, 2)))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("most", [1 << 18, 4, 0])
-def test_backoff_scores_match_brute_force(documents, rows, monkeypatch, most):
-    """Also with hardly anything broadcast, so that rare words and pairs go through the joins."""
-    monkeypatch.setattr(lm_scoring, "MOST_WORDS", most)
-    monkeypatch.setattr(lm_scoring, "MOST_PAIRS", most)
-    found = sorted((str(r.doc_id), r.n_words, round(r.score, 2)) for r in lm_scoring.scores(documents).collect())
-    wanted = brute_scores(rows)
-    assert [x[:2] for x in found] == [x[:2] for x in wanted]
-    assert [x[2] for x in found] == pytest.approx([x[2] for x in wanted], abs=0.02)
-
-
-def test_no_text_to_score(nothing, spark):
-    assert lm_scoring.scores(nothing).count() == 0
-    silent = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
-    assert [(r.n_words, r.score, r["mean"]) for r in lm_scoring.scores(silent).collect()] == [(0, 0.0, None)] * 2
-
-
 def brute_targets(sizes, share=1.5):
     """Shares by weight, excess shared again, round after round."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trekframe.llm import ngram_join
 from trekframe.llm.common import id_filter, passes
-from trekframe.llm.components import connected_components
+from trekframe.llm.components import _print_of, connected_components
 from trekframe.llm.exact_dedup import PatriciaTrie, deduplicate, owners
 from trekframe.llm.ngram_join import bitmap, near_duplicates, one_of_each, overlap_bound, shingle_sets
 
@@ -45,6 +46,30 @@ def test_components_match_brute_force(documents, rows, monkeypatch, large):
     assert sorted(map(tuple, found), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize(("large", "block", "held"), [(3, 8, 1 << 20), (3, 8, 20), (40, 1024, 1 << 20)])
+def test_a_crowd_of_near_copies(spark, monkeypatch, large, block, held):
+    """Copies of one text that each lack other words: most pairs of them are near the threshold, on both sides."""
+    monkeypatch.setattr(ngram_join, "LARGE_TILE", large)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", held)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(len(words))] = f"x{i}-{rng.random()}"
+        rows.append((i, " ".join(words[: rng.randrange(90, 121)])))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows)
+    assert 1 < len({r.component_id for r in found}) < 90
+
+
+def test_very_many_edges_do_not_overflow(spark):
+    edges = spark.range(1 << 25).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert _print_of(edges)[0] == 1 << 25
+
+
 def test_an_id_ties_all_its_texts(spark):
     """Also those between its smallest and largest class, with their near copies."""
     texts = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcd"]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def _print_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
-    return row["n"], row["h"]
+    """Tells sets of edges apart; exclusive or can't overflow, however many edges there are."""
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("g")).first()
+    return row["n"], row["h"], row["g"]
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -32,7 +33,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = least.select("u", F.col("m").alias("v"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        done = [edges, large]
         edges = written(kept.union(small).distinct(), "edges")
+        drop(*done)
         now = _print_of(edges)
         if now == before:
             break

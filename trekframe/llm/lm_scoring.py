@@ -1,16 +1,22 @@
-"""Language-model scoring: stupid backoff over bigrams, as joins of count tables with exploded n-grams.
+"""Language-model scoring: stupid backoff as joins of n-gram count tables with exploded n-grams.
 
-The model is the corpus itself: counts of words and of pairs of neighbouring words, pairs seen once pruned.  A word
-after another scores ``count(pair) / count(first)`` where the pair is kept, else ``0.4 * count(word) / words``; a first
-word scores ``count(word) / words``.  A document's score is the sum of logarithms over its whole text.
+A word after ``order - 1`` others (or as many as its text has before it) scores ``count(gram) / count(context)`` where the
+gram is known, else ``0.4`` times the score with the first word of the context left out; without a context it scores
+``count(word) / words``.  A document's score is the sum of logarithms over its whole text.  Words are lower-cased (A-Z) and
+separated by white space; words and grams are 64-bit hashes.
 
-How it is computed: words are 64-bit hashes.  The word table is one aggregate, partitioned by hash.  Logarithms of
-the ``MOST_WORDS`` commonest words and ``MOST_PAIRS`` commonest pairs are broadcast (tables of proven size that keep
-hot pairs out of the shuffle); what documents need beyond them is exploded and joined by hash: pairs with the pair
-counts, which are the sums of the pair's own rows in its partition, rare words with the word table.  Contributions are
-summed by document.  Tables and joins grow with the corpus; nothing but the bounded tables reaches the driver.
+``scores`` takes the corpus itself as the model and drops no count, so every gram of a scored text is known and no word is
+backed off: a text's sum is that of ``log count`` over its grams, less that over its contexts but the first and the last,
+less ``log words``.  Grams and contexts are exploded into rows of a document, pre-aggregated by task, and dealt by hash
+once.  The count table is an aggregate of these rows where they lie, the join with it needs no other shuffle, and values are
+summed by document.  Counts of one are left out of the join, as their logarithm is 0.
 
-Words are lower-cased (A-Z) and separated by white space.
+The ``HOT`` commonest grams and contexts do not go that way: their exact counts are broadcast, tables of at most ``HOT``
+rows each however large the corpus is.  What is dealt by hash is then free of hot keys: no key has more than a
+``HOT``-th of all occurrences (or a few in every task), so no task gets a large group.
+
+``scores_under`` takes the counts of another corpus and does back off: every gram of every length is joined with its count
+and its context's, and the longest known one scores.  A word the corpus lacks counts as met once.
 
 Defined results: null and empty texts and texts without words have 0 words, score 0 and a null mean; repeated rows are
 counted and scored each; an empty table gives an empty result; other columns are ignored.
@@ -18,328 +24,215 @@ counted and scored each; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_filter, lean, mix, slices, word_hashes, written
+from .common import drop, lean, slices, word_hashes, written
+from .ngram_counts import commonest, gram_counts, gram_hashes, lookup
 
 BACKOFF = 0.4
-MOST_WORDS = 1 << 20
-MOST_PAIRS = 1 << 20
-#: A pair is a candidate for the broadcast table if one task meets it so often.
+#: Most grams, and most contexts, whose counts are broadcast.
+HOT = 1 << 20
+#: A run of words is a candidate for that if one task meets it so often.
 CANDIDATE = 4
-#: Hash ranges by which exploded pairs are dealt: so many, or more of about so many words each.
-LEAST_BUCKETS, BUCKET_WORDS = 64, 4_000_000
-_BITS = 1 << 26
-_HELD = 1 << 20
-
-
-def pair_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of second words of pairs inside texts, and the pairs' hashes."""
-    first = np.zeros(len(words) + 1, dtype=bool)
-    first[starts] = True
-    at = np.flatnonzero(~first[: len(words)])
-    return at, mix(words[at - 1] * np.uint64(31) + words[at])
-
-
-class _Sums:
-    """Counts by hash, merged whenever many have come together."""
-
-    def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        found, counts = np.unique(keys, return_counts=True)
-        self.keys.append(found), self.counts.append(counts)
-        self.held += len(found)
-
-    def take(self, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate(self.counts)).astype(np.int64)
-        self.__init__()
-        return keys[counts >= least], counts[counts >= least]
-
-
-def _count_batch(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    kinds = pa.array(np.full(len(keys), kind, dtype=np.int32))
-    return pa.RecordBatch.from_arrays([kinds, pa.array(keys.view(np.int64)), pa.array(counts)], ["kind", "h", "n"])
-
-
-def _counter(pairs_of=None):
-    """Counts of words (kind 0) and often met pairs (kind 1); with pairs_of (a broadcast), of exactly those pairs."""
-
-    def run(batches):
-        words, pairs = _Sums(), _Sums()
-        for batch in batches:
-            texts = batch.column(0)
-            for first, last in slices(texts, 2 << 20):
-                hashes, starts = word_hashes(texts[first:last].to_pylist())
-                _, found = pair_hashes(hashes, starts)
-                if pairs_of is not None:
-                    wanted = pairs_of.value
-                    at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                    pairs.add(found[wanted[at] == found])
-                else:
-                    words.add(hashes), pairs.add(found)
-                    if words.held > _HELD:
-                        yield _count_batch(0, *words.take())
-                if pairs.held > _HELD:
-                    yield _count_batch(1, *pairs.take(1 if pairs_of is not None else CANDIDATE))
-        yield _count_batch(0, *words.take())
-        yield _count_batch(1, *pairs.take(1 if pairs_of is not None else CANDIDATE))
+#: Kinds of exploded rows besides the sizes of grams: a document's known part, its id, a text shorter than a context.
+_KNOWN, _ID, _SHORT = 0, -1, -2
 
-    return run
 
+def _once(keys: np.ndarray, of: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, of, times, weights) with a row for each key of each document."""
+    order = np.lexsort((of, keys))
+    keys, of, weights = keys[order], of[order], weights[order]
+    new = np.flatnonzero((np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(of, prepend=-1) != 0))
+    if not len(new):
+        return keys, of, of, weights
+    return keys[new], of[new], np.diff(np.append(new, len(keys))), np.add.reduceat(weights, new)
 
-def _table(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest (h, n), ascending by h."""
-    found = counts.select("h", "n").orderBy(F.desc("n"), "h").limit(most).toArrow()
-    h = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], found.column("n").to_numpy()[order].astype(np.float64)
 
+def exploded(documents: DataFrame, order: int, hot) -> DataFrame:
+    """kind, key, row, times, weight: what documents' scores are summed from.
 
-def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """Values by key; NaN where the table has none."""
-    hashes, values = table
-    if not len(hashes):
-        return np.full(len(keys), np.nan)
-    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-    return np.where(hashes[at] == keys, values[at], np.nan)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of numbers, first those of all highest places: like ones lie together and compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _from_planes(data: bytes, kind: str, n: int) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, n).T).view(kind).ravel()
-
-
-#: What a block of exploded pairs holds of each: hash (as steps), document (from the block's first), the sum of its
-#: words' log counts and how often it is met; and the words whose counts are not known (0: known).
-_FIELDS = (("key", "<u8"), ("doc", "<u4"), ("logs", "<f4"), ("times", "<u4"), ("first", "<u8"), ("second", "<u8"))
-
-
-def _packed(base: int, columns: dict[str, np.ndarray], fields=_FIELDS) -> bytes:
-    n = len(columns["key"])
-    columns = columns | {"key": np.diff(columns["key"], prepend=np.uint64(0))}
-    return struct.pack("<qq", base, n) + zlib.compress(b"".join(_planes(columns[k].astype(t)) for k, t in fields), 1)
-
-
-def _unpacked(data: bytes, fields=_FIELDS) -> dict[str, np.ndarray]:
-    base, n = struct.unpack_from("<qq", data)
-    raw, at, out = zlib.decompress(data[16:]), 0, {}
-    for name, kind in fields:
-        size = n * np.dtype(kind).itemsize
-        out[name] = _from_planes(raw[at : at + size], kind, n)
-        at += size
-    return out | {"key": np.cumsum(out["key"], dtype=np.uint64), "row": base + out["doc"].astype(np.int64)}
-
-
-def _explode(held, buckets: int):
-    """From (doc_id, text) to rows (bucket, row, doc_id, value, tally, word, data).
-
-    A document's row number is its task's and its place there, so it is the same if the task runs again.  data: packed
-    pairs of a bucket, a range of hashes; with word, packed words whose log counts are due so many times.  Else the row
-    is a document's: its sum as far as it is known, its tally (words) and its doc_id.
+    Of kind ``order`` or ``order - 1``: a gram or context that is not hot, how often the row has it and how often its
+    ``log count`` is taken.  Of other kinds, with the row as key: the known part (weight) and the number of words (times);
+    the doc_id (times); the length (weight) and hash (times) of a text shorter than a context.  A row's number is its
+    task's and its place there, so it is the same if the task runs again.
     """
-    names = ["bucket", "row", "doc_id", "value", "tally", "word", "data"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()]
+    width = order - 1
 
-    def batch_of(n: int, **columns):
-        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
+    def batch_of(kind: int, key, row, times, weight):
+        columns = [np.full(len(key), kind, dtype=np.int32), key.view(np.int64), row, times, weight]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "key", "row", "times", "weight"])
 
     def run(batches):
-        words_table, pairs_table, repeated, total = held.value
-        constant = np.log(total) - np.log(BACKOFF)
+        (hot_contexts, context_logs), (hot_grams, gram_logs), total = hot.value
         seen = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for begin, end in slices(texts, 2 << 20):
-                base, size = seen + begin, end - begin
+                rows = np.arange(seen + begin, seen + end)
                 words, starts = word_hashes(texts[begin:end].to_pylist())
                 lengths = np.diff(starts)
-                text = np.repeat(np.arange(size), lengths)
-                logs = _lookup(words_table, words)
-                unknown = np.flatnonzero(np.isnan(logs))
-                place = (_spark_hash(words[unknown]) % np.uint64(_BITS)).astype(np.int64)
-                once = (repeated[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 0
-                logs[unknown[once]] = 0.0  # surely a count of 1
-                single = np.zeros(len(words), dtype=bool)
-                single[unknown[once]] = True
-                unknown = unknown[~once]
-                # Every word as if backed off (the first of a text without the factor) ...
-                sums = np.bincount(text, weights=np.nan_to_num(logs), minlength=size) - lengths * constant
-                sums[lengths > 0] -= np.log(BACKOFF)
-                # ... and what kept pairs add: log count(pair) - log count(first) - log count(second) + constant.
-                at, pairs = pair_hashes(words, starts)
-                both = logs[at - 1] + logs[at]
-                common = _lookup(pairs_table, pairs)
-                ready = ~np.isnan(common) & ~np.isnan(both)
-                sums += np.bincount(text[at[ready]], weights=common[ready] - both[ready] + constant, minlength=size)
-                rows = base + np.arange(size)
-                yield batch_of(size, bucket=(rows % buckets).astype(np.int32), row=rows, doc_id=ids[begin:end], value=sums, tally=lengths)
-                if len(unknown):
-                    due, times = np.unique(np.stack([words[unknown], text[unknown].astype(np.uint64)]), axis=1, return_counts=True)
-                    nothing = np.zeros(len(times), dtype=np.uint64)
-                    columns = {"key": due[0], "doc": due[1], "logs": nothing, "times": times, "first": nothing, "second": nothing}
-                    yield batch_of(1, bucket=[base % buckets], word=[1], data=[_packed(base, columns)])
-                left = np.flatnonzero(~ready & ~single[at] & ~single[at - 1])  # pairs of single words are single
-                left = left[np.argsort(pairs[left], kind="stable")]
-                key, of = pairs[left], text[at[left]]
-                new = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(of, prepend=-1) != 0))
-                times = np.diff(np.append(new, len(left)))
-                key, of, left = key[new], of[new], left[new]
-                ends = np.stack([at[left] - 1, at[left]])
-                known = ~np.isnan(logs[ends])
-                names_due = np.where(known, np.uint64(0), words[ends])
-                columns = {"key": key, "doc": of, "logs": np.nan_to_num(logs[ends]).sum(axis=0), "times": times, "first": names_due[0], "second": names_due[1]}
-                edges = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1)).tolist()
-                parts = [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
-                data = [_packed(base, {name: c[i:j] for name, c in columns.items()}) for _, i, j in parts]
-                yield batch_of(len(parts), bucket=[k for k, _, _ in parts], data=data)
+                text = np.repeat(np.arange(end - begin), lengths)
+                known = np.where(lengths > 0, -np.log(total), 0.0)
+                at, contexts = gram_hashes(words, starts, width)
+                of = text[at]
+                # 1 for the first context, -1 for each that a word follows
+                weights = (at == starts[of]).astype(np.float64) - (at + width < starts[of + 1])
+                gram_at, grams = gram_hashes(words, starts, order)
+                for kind, keys, doc, weight, table, logs in (
+                    (width, contexts, of, weights, hot_contexts, context_logs),
+                    (order, grams, text[gram_at], np.ones(len(grams)), hot_grams, gram_logs),
+                ):
+                    values = lookup(table, logs, keys)
+                    cold = np.isnan(values)
+                    known += np.bincount(doc[~cold], weights=weight[~cold] * values[~cold], minlength=len(rows))
+                    key, doc, times, weight = _once(keys[cold], doc[cold], weight[cold])
+                    yield batch_of(kind, key, rows[doc], times, weight)
+                yield batch_of(_KNOWN, rows, rows, lengths, known)
+                has_id = ids[begin:end].is_valid().to_numpy(zero_copy_only=False)
+                named = ids[begin:end].fill_null(0).to_numpy(zero_copy_only=False)[has_id]
+                yield batch_of(_ID, rows[has_id], rows[has_id], named, np.zeros(len(named)))
+                for size in range(1, width):
+                    first, hashes = gram_hashes(words, starts, size)
+                    short = lengths[text[first]] == size
+                    mine = rows[text[first[short]]]
+                    yield batch_of(_SHORT, mine, mine, hashes[short].view(np.int64), np.full(len(mine), float(size)))
             seen += batch.num_rows
 
-    return run
-
+    return documents.mapInArrow(lean(run), "kind int, key long, row long, times long, weight double")
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of hashes, numbered; ascends with the hash."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
+def _with_mean(summed: DataFrame) -> DataFrame:
+    score = F.when(F.col("n_words") > 0, F.col("score"))
+    return summed.select("doc_id", "n_words", F.coalesce(score, F.lit(0.0)).alias("score"), (score / F.col("n_words")).alias("mean"))
 
-def _spark_hash(x: np.ndarray) -> np.ndarray:
-    """A second hash for the bitmap; _bitmap_of uses the same."""
-    return mix(x ^ np.uint64(0x5851F42D4C957F2D))
 
+def scores(documents: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, n_words, score (sum of natural logarithms) and mean (by word) for every row of documents, by the counts of
+    documents itself."""
+    if order < 2:
+        raise ValueError("order must be at least 2")
+    width, broadcast = order - 1, documents.sparkSession.sparkContext.broadcast
+    named = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    shorter = dict.fromkeys(range(1, width), 1)
+    met = written(gram_counts(named, shorter | {width: CANDIDATE, order: CANDIDATE}), "lm-met")
+    wanted = broadcast({size: commonest(met, size, HOT)[0] for size in (width, order)})
+    exact = written(gram_counts(named, {0: 1, width: 1, order: 1}, wanted), "lm-hot")
+    tables = [commonest(exact, size, HOT) for size in (width, order)]
+    total = float(exact.filter("size = 0").agg(F.sum("n")).first()[0] or 1)
+    drop(exact)
+    hot = broadcast((*((keys, np.log(n)) for keys, n in tables), total))
+    rows = exploded(named, order, hot).repartition("kind", "key")
+    counts = rows.groupBy("kind", "key").agg(F.sum("times").alias("n"), F.count("row").alias("docs"), F.max(F.abs("weight")).alias("most"))
+    # The logarithm of 1 is 0.  As all columns are asked for here too, both sides of the join read one exchange.
+    counts = counts.filter(f"kind < {width} or n > 1 and docs > 0 and most > 0").select("kind", "key", "n")
+    value = F.when(F.col("kind") >= width, F.col("weight") * F.log("n")).when(F.col("kind") == _KNOWN, F.col("weight"))
+    is_kind = lambda kind, column: F.when(F.col("kind") == kind, F.col(column))
+    summed = (
+        rows.join(counts, ["kind", "key"])
+        .groupBy("row")
+        .agg(
+            F.max(is_kind(_ID, "times")).alias("doc_id"),
+            F.max(is_kind(_KNOWN, "times")).alias("n_words"),
+            F.sum(value).alias("score"),
+            F.max(is_kind(_SHORT, "times")).alias("short"),
+            F.max(is_kind(_SHORT, "weight")).cast("int").alias("short_size"),
+        )
+    )
+    if shorter:
+        known = met.filter(F.col("size") < width).select(F.col("size").alias("short_size"), F.col("key").alias("short"), "n")
+        summed = summed.join(known, ["short_size", "short"], "left").withColumn("score", F.col("score") + F.coalesce(F.log("n"), F.lit(0.0)))
+    return _with_mean(summed)
 
-def _joined(total: float):
-    """Rows of _explode, bucket by bucket, in; contributions (row, doc_id, value, tally, word) out.
 
-    The counts of a bucket's pairs are the sums over its own rows; each row then takes its pair's.
-    """
-    constant = np.log(total) - np.log(BACKOFF)
-    names = ["row", "doc_id", "value", "tally", "word"]
-
-    def done(blocks: list[bytes]):
-        found = [_unpacked(x) for x in blocks]
-        columns = {k: np.concatenate([f[k] for f in found]) for k in ("key", "row", "logs", "times", "first", "second")}
-        order = np.argsort(columns["key"], kind="stable")
-        columns = {k: v[order] for k, v in columns.items()}
-        times = columns["times"].astype(np.float64)
-        run = np.cumsum(np.diff(columns["key"], prepend=~columns["key"][:1]) != 0)
-        count = np.bincount(run, weights=times)[run]
-        kept = count >= 2
-        row, times, count = columns["row"][kept], times[kept], count[kept]
-        value = times * (np.log(count) - columns["logs"][kept].astype(np.float64) + constant)
-        rows, which = np.unique(row, return_inverse=True)
-        sums = np.bincount(which, weights=value, minlength=len(rows))
-        out = [(rows, sums, np.zeros(len(rows), dtype=np.uint64))]
-        for side in ("first", "second"):
-            word = columns[side][kept]
-            due = word != 0
-            out.append((row[due], -times[due], word[due]))
-        row, value, word = (np.concatenate(x) for x in zip(*out, strict=True))
-        words = pa.array(word.view(np.int64), mask=word == 0)
-        nothing = pa.nulls(len(row), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(row), nothing, pa.array(value), nothing, words], names)
-
-    def due_words(data: bytes):
-        found = _unpacked(data)
-        n = len(found["key"])
-        value = pa.array(found["times"].astype(np.float64))
-        return pa.RecordBatch.from_arrays([pa.array(found["row"]), pa.nulls(n, pa.int64()), value, pa.nulls(n, pa.int64()), pa.array(found["key"].view(np.int64))], names)
+def positions(documents: DataFrame, order: int) -> DataFrame:
+    """row, doc_id, place, size, gram, context: every gram of up to ``order`` words that ends at a place, with the hash of
+    its words but the last; one row with a null place for each row of documents."""
+    schema = "row long, doc_id long, place long, size int, gram long, context long"
 
     def run(batches):
-        bucket, blocks = None, []
-        for batch in batches:
-            passing = batch.filter(pc.is_null(batch.column("data")))
-            if passing.num_rows:
-                yield pa.RecordBatch.from_arrays([passing.column(k) for k in names], names)
-            packed = batch.filter(pc.is_valid(batch.column("data")))
-            for k, word, data in zip(*(packed.column(c).to_pylist() for c in ("bucket", "word", "data")), strict=True):
-                if word is not None:
-                    yield due_words(data)
-                    continue
-                if k != bucket and blocks:
-                    yield done(blocks)
-                    blocks = []
-                bucket = k
-                blocks.append(data)
-        if blocks:
-            yield done(blocks)
-
-    return run
-
-
-def _bitmap_of(words: DataFrame) -> np.ndarray:
-    """Bits of the words of a table (h), by _spark_hash: _BITS / 8 bytes however many words."""
-
-    def places(batches):
+        seen = TaskContext.get().partitionId() << 36
         for batch in batches:
-            place = _spark_hash(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64))], ["p"])
+            ids, texts = batch.column(0), batch.column(1)
+            for begin, end in slices(texts):
+                rows = pa.array(np.arange(seen + begin, seen + end))
+                nothing = pa.nulls(end - begin, pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, ids[begin:end], nothing, nothing.cast(pa.int32()), nothing, nothing], schema_names)
+                words, starts = word_hashes(texts[begin:end].to_pylist())
+                text = np.repeat(np.arange(end - begin), np.diff(starts))
+                before = None
+                for size in range(1, order + 1):
+                    at, grams = gram_hashes(words, starts, size)
+                    own = pa.array(text[at])
+                    context = pa.nulls(len(at), pa.int64()) if before is None else pa.array(before[at])
+                    columns = [rows.take(own), ids[begin:end].take(own), at + size - 1, np.full(len(at), size, dtype=np.int32), grams.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns] + [context], schema_names)
+                    before = np.zeros(len(words), dtype=np.int64)
+                    before[at] = grams.view(np.int64)
+            seen += batch.num_rows
 
-    return np.frombuffer(id_filter(words.select("h").mapInArrow(places, "p long"), "p", _BITS, hashed=True), dtype=np.uint8)
+    schema_names = [x.split()[0] for x in schema.split(", ")]
+    return documents.mapInArrow(lean(run), schema)
 
 
-def scores(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, score (sum of natural logarithms) and mean (by word) for every row of documents."""
-    spark = documents.sparkSession
+def scores_under(documents: DataFrame, corpus: DataFrame, order: int = 2, backoff: float = BACKOFF) -> DataFrame:
+    """doc_id, n_words, score and mean for every row of documents, by the counts of another corpus."""
+    if order < 1:
+        raise ValueError("order must be at least 1")
+    counts = written(gram_counts(corpus, dict.fromkeys(range(1, order + 1), 1)), "lm-counts")
+    total = F.lit(float(counts.filter("size = 1").agg(F.sum("n")).first()[0] or 1))
     named = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    texts = named.select("text")
-    counted = texts.mapInArrow(lean(_counter()), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    counts = written(counted, "lm-counts")
-    words = counts.filter("kind = 0")
-    total = float(words.agg(F.sum("n")).first()[0] or 1)
-    word_table = _table(words, MOST_WORDS)
-    pair_table = (np.empty(0, np.uint64), np.empty(0))
-    candidates, _ = _table(counts.filter("kind = 1"), MOST_PAIRS)
-    if len(candidates):
-        exact = texts.mapInArrow(lean(_counter(spark.sparkContext.broadcast(candidates))), "kind int, h long, n long")
-        pair_table = _table(exact.filter("kind = 1").groupBy("h").agg(F.sum("n").alias("n")), MOST_PAIRS)
-    held = spark.sparkContext.broadcast(
-        ((word_table[0], np.log(word_table[1])), (pair_table[0], np.log(pair_table[1])), _bitmap_of(words.filter("n > 1")), total)
+    rows = written(positions(named, order), "lm-positions")
+    grams = counts.select("size", F.col("key").alias("gram"), F.col("n").alias("of_gram"))
+    contexts = counts.select((F.col("size") + 1).alias("size"), F.col("key").alias("context"), F.col("n").alias("of_context"))
+    found = rows.filter("place is not null").join(grams, ["size", "gram"], "left").join(contexts, ["size", "context"], "left")
+    ratio = F.when(F.col("size") == 1, F.coalesce("of_gram", F.lit(1)) / total).otherwise(F.col("of_gram") / F.col("of_context"))
+    known = found.withColumn("ratio", ratio).groupBy("row", "place").agg(
+        F.max(F.when(F.col("ratio").isNotNull(), F.col("size"))).alias("used"),
+        F.max("size").alias("longest"),
+        F.max_by(F.log("ratio"), F.when(F.col("ratio").isNotNull(), F.col("size"))).alias("value"),
     )
-    buckets = max(LEAST_BUCKETS, int(total / BUCKET_WORDS))
-    schema = "bucket int, row long, doc_id long, value double, tally long, word long, data binary"
-    rows = named.mapInArrow(lean(_explode(held, buckets)), schema).repartition("bucket").sortWithinPartitions("bucket")
-    parts = written(rows.mapInArrow(lean(_joined(total)), "row long, doc_id long, value double, tally long, word long"), "lm-parts")
-    due = parts.filter("word is not null").join(words.select(F.col("h").alias("word"), "n"), "word")
-    due = due.select("row", "doc_id", (F.col("value") * F.log("n")).alias("value"), "tally")
-    summed = parts.filter("word is null").select("row", "doc_id", "value", "tally").union(due).groupBy("row")
-    summed = summed.agg(F.max("doc_id").alias("doc_id"), F.sum("tally").alias("n_words"), F.sum("value").alias("score"))
-    score = F.when(F.col("n_words") > 0, F.col("score"))
-    return summed.select("doc_id", "n_words", F.coalesce(score, F.lit(0.0)).alias("score"), (score / F.col("n_words")).alias("mean"))
+    value = F.col("value") + (F.col("longest") - F.col("used")) * F.log(F.lit(backoff))
+    sums = known.groupBy("row").agg(F.count(F.lit(1)).alias("n_words"), F.sum(value).alias("score"))
+    whole = rows.filter("place is null").select("row", "doc_id").join(sums, "row", "left")
+    return _with_mean(whole.withColumn("n_words", F.coalesce("n_words", F.lit(0)).cast("long")))
+
+
+def _scored(spark: SparkSession, sf_dir: str, order: int, places: int) -> DataFrame:
+    found = scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), order)
+    return found.select("doc_id", "n_words", F.round("mean", places).alias("mean_log"))
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean log probability of a word in every document."""
-    found = scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", F.round("mean", 3).alias("mean_log"))
+    """The mean log probability of a word in every document, by pairs of words of which none is dropped."""
+    return _scored(spark, sf_dir, 2, 6)
+
+
+def op9_whole_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_stupid_backoff to three places."""
+    return _scored(spark, sf_dir, 2, 3)
 
 
-OP9_SQL = r"""
+def op9_whole_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean log probability of a word in every document, by the two words before it."""
+    return _scored(spark, sf_dir, 3, 3)
+
+
+_WORDS = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
          list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
+"""
+
+WHOLE_SQL = _WORDS + r"""
 t AS (SELECT r, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS p FROM d),
 u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) > 1),
+b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w),
 s AS (
   SELECT t.r, count(*) AS n,
          sum(CASE WHEN t.p IS NULL THEN ln(u.c / (SELECT count(*) FROM t))
@@ -350,3 +243,24 @@ s AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(s.score / s.n, 3) AS mean_log
 FROM d LEFT JOIN s ON d.r = s.r
 """
+
+OP9_SQL = WHOLE_SQL.replace("round(s.score / s.n, 3)", "round(s.score / s.n, 6)")
+
+TRIGRAM_SQL = _WORDS + r"""
+t AS (SELECT r, unnest(ws) AS w, unnest(list_prepend(NULL, ws)[1:len(ws)]) AS p,
+             unnest(list_prepend(NULL, list_prepend(NULL, ws))[1:len(ws)]) AS q FROM d),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w),
+g AS (SELECT q, p, w, count(*) AS c FROM t WHERE q IS NOT NULL GROUP BY q, p, w),
+s AS (
+  SELECT t.r, count(*) AS n,
+         sum(CASE WHEN t.p IS NULL THEN ln(u.c / (SELECT count(*) FROM t))
+                  WHEN g.c IS NOT NULL THEN ln(g.c / h.c)
+                  WHEN b.c IS NOT NULL THEN ln(CASE WHEN t.q IS NULL THEN 1 ELSE 0.4 END * b.c / f.c)
+                  ELSE ln(CASE WHEN t.q IS NULL THEN 0.4 ELSE 0.4 * 0.4 END * u.c / (SELECT count(*) FROM t)) END) AS score
+  FROM t JOIN u ON t.w = u.w LEFT JOIN u AS f ON t.p = f.w LEFT JOIN b ON t.p = b.p AND t.w = b.w
+  LEFT JOIN b AS h ON t.q = h.p AND t.p = h.w LEFT JOIN g ON t.q = g.q AND t.p = g.p AND t.w = g.w
+  GROUP BY t.r)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(s.score / s.n, 3) AS mean_log
+FROM d LEFT JOIN s ON d.r = s.r
+"""

@@ -10,8 +10,10 @@ Exact and without all pairs:
    sizes lie within the band of the threshold and the places of the shared shingle leave enough overlap.
    Tiles with very many components (a passage that many documents share) are put off: their shingles move to the end
    of the order for the classes they touch, which meet again in tiles of rarer shingles.  Two classes that only meet
-   in such a tile are both touched, so no link is lost.  Tiles that are still large after the last round bring their
-   bitmaps along, and only pairs whose bound allows a link leave them, each from one tile.
+   in such a tile are both touched, so no link is lost.
+   Classes of tiles that are still crowded after the last round are cut into blocks of bounded size, each of one size
+   band.  Two blocks that share a crowded tile become one task, which compares their bitmaps; a pair of classes lies in
+   one pair of blocks, so it is found once however many tiles it shares.
 4. Hashed bitmaps of the candidates bound their overlap from above: a bit of one that the other lacks stands for a
    shingle outside the overlap.
 5. Remaining pairs are decided by intersecting the sorted shingle arrays of their whole texts.
@@ -26,17 +28,24 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_filter, lean, mix, passes, slices, word_hashes, written
+from .common import drop, id_filter, lean, mix, passes, slices, word_hashes, written
 from .components import connected_components
 
 #: A tile with more components than this is put off to a round with its shingle last.
 LARGE_TILE = 40
+#: So is one whose comparisons, or whose rows in a task's memory, would be more than this.
+TILE_WORK, TILE_ROWS = 1 << 25, 1 << 20
+#: Classes of a block of crowded tiles, about.
+BLOCK = 1024
 #: Most shingles that are moved to the end of the order, by the number of components in their tiles.
 MOST_MOVED = 1 << 18
 ROUNDS = 4
@@ -105,141 +114,181 @@ def overlap_bound(a: bytes, n: int, b: bytes, m: int) -> int:
 
 
 def describe(documents: DataFrame, size: int, rule: Rule) -> DataFrame:
-    """doc_id, n, key (of the set), mins, bits, prefix: one pass over the texts."""
-    schema = "doc_id long, n long, key binary, mins array<long>, bits binary, prefix array<long>"
+    """row, doc_id, n, key (of the set), mins, bits, firsts: one pass over the texts.
+
+    A row's number is its task's and its place there, so it is the same if the task runs again.  firsts: the first
+    shingles in order, about twice as many as the tiles need, so that most orders with crowded ones last are at hand.
+    """
+    schema = "row long, doc_id long, n long, key binary, mins array<long>, bits binary, firsts array<long>"
 
     def rows(batches):
+        seen = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, last in slices(texts):
-                n, key, mins, bits, prefix = [], [], [], [], []
+                n, key, mins, bits, firsts = [], [], [], [], []
                 for s in shingle_sets(texts[first:last].to_pylist(), size):
                     n.append(len(s))
                     if not len(s):
-                        key.append(None), mins.append(None), bits.append(None), prefix.append(None)
+                        key.append(None), mins.append(None), bits.append(None), firsts.append(None)
                         continue
                     part = s & np.uint64(3)
                     hit = [(part == j).argmax() for j in range(4)]
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     mins.append([int(s[i].view(np.int64)) if part[i] == j else None for j, i in enumerate(hit)])
                     bits.append(bitmap(s))
-                    prefix.append(s[: rule.prefix(len(s))].view(np.int64))
+                    firsts.append(s[: 2 * rule.prefix(len(s))].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.arange(seen + first, seen + last)),
                         ids[first:last],
                         pa.array(n, pa.int64()),
                         pa.array(key, pa.binary()),
                         pa.array(mins, pa.list_(pa.int64())),
                         pa.array(bits, pa.binary()),
-                        pa.array(prefix, pa.list_(pa.int64())),
+                        pa.array(firsts, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "key", "mins", "bits", "prefix"],
+                    ["row", "doc_id", "n", "key", "mins", "bits", "firsts"],
                 )
+            seen += batch.num_rows
 
     read = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return read.mapInArrow(lean(rows), schema)
 
 
+_TILE = np.dtype([("key", "i8"), ("rep", "i8"), ("comp", "i8"), ("n", "i8"), ("pos", "i8")])
+
+
+def _roomy(n, pos, m, at, rule: Rule):
+    """Whether sizes and places of a shared shingle, the first one, leave room for a link."""
+    return rule.fits(n, m) & (np.minimum(n - pos, m - at) >= rule.needed(n, m))
+
+
+def _tile_pairs(t: np.ndarray, rule: Rule, large: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Candidate pairs of a tile's rows; None if it is to be put off.  Rows of the largest component are compared with
+    those of the others alone."""
+    comps, of, counts = np.unique(t["comp"], return_inverse=True, return_counts=True)
+    main = of == counts.argmax()
+    others = np.flatnonzero(~main)
+    if len(comps) > large or len(others) * len(t) > TILE_WORK:
+        return None
+    a, b = [], []
+    for i in others.tolist():
+        ok = _roomy(t["n"][i], t["pos"][i], t["n"], t["pos"], rule) & (of != of[i])
+        ok[: i + 1] &= main[: i + 1]  # of two that are both not in the largest, the later row meets the earlier
+        found = t["rep"][ok]
+        a.append(np.full(len(found), t["rep"][i])), b.append(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def tiles(rows: DataFrame, rule: Rule, large: int) -> DataFrame:
     """Candidate pairs (a, b) of tile rows (key, rep, comp, n, pos); of put-off tiles their rows (key, a, null)."""
 
-    def pairs_of(t: np.ndarray, out: list) -> None:
-        """t: the rows of one tile."""
-        t = np.sort(t, order="n")
-        comps = len(np.unique(t["comp"]))
-        if comps < 2:
-            return
-        if comps > large:
-            out.append(np.stack([np.full(len(t), t["key"][0]), t["rep"], np.full(len(t), -1)]))
-            return
-        n, pos = t["n"], t["pos"]
-        for i in range(len(t) - 1):  # larger sets up to the end of the band
-            end = np.searchsorted(n, 100 * n[i] // rule.percent, side="right")
-            m, at = n[i + 1 : end], pos[i + 1 : end]
-            ok = np.minimum(n[i] - pos[i], m - at) >= rule.needed(n[i], m)
-            ok &= t["comp"][i + 1 : end] != t["comp"][i]
-            if ok.any():
-                found = t["rep"][i + 1 : end][ok]
-                mine = np.full(len(found), t["rep"][i])
-                out.append(np.stack([np.zeros_like(found), np.minimum(mine, found), np.maximum(mine, found)]))
+    def put_off(t: np.ndarray) -> np.ndarray:
+        return np.stack([t["key"], t["rep"], np.full(len(t), -1)])
+
+    def done(t: np.ndarray) -> list[np.ndarray]:
+        """t: the rows of whole tiles, by key."""
+        starts = np.flatnonzero(np.diff(t["key"], prepend=~t["key"][:1]))
+        sizes = np.diff(np.append(starts, len(t)))
+        mixed = np.minimum.reduceat(t["comp"], starts) != np.maximum.reduceat(t["comp"], starts)
+        x, y = t[starts[mixed & (sizes == 2)]], t[starts[mixed & (sizes == 2)] + 1]
+        ok = _roomy(x["n"], x["pos"], y["n"], y["pos"], rule)
+        a, b, out = [x["rep"][ok]], [y["rep"][ok]], []
+        for i, n in zip(starts[mixed & (sizes > 2)].tolist(), sizes[mixed & (sizes > 2)].tolist(), strict=True):
+            found = _tile_pairs(t[i : i + n], rule, large)
+            if found is None:
+                out.append(put_off(t[i : i + n]))
+            else:
+                a.append(found[0]), b.append(found[1])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return [*out, np.stack([np.zeros_like(a), np.minimum(a, b), np.maximum(a, b)])]
+
+    def batch_of(out: list[np.ndarray]):
+        key, a, b = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, mask=b == -1)], ["key", "a", "b"])
 
     def run(batches):
-        kind = np.dtype([("key", "i8"), ("rep", "i8"), ("comp", "i8"), ("n", "i8"), ("pos", "i8")])
-        held = np.empty(0, dtype=kind)
-
-        def batch_of(out):
-            key, a, b = np.concatenate(out, axis=1)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(a), pa.array(b, mask=b == -1) if (b == -1).any() else pa.array(b)],
-                ["key", "a", "b"],
-            )
-
-        def done(rows):
-            starts = np.flatnonzero(np.diff(rows["key"], prepend=rows["key"][0] - 1 if len(rows) else 0))
-            ends = np.append(starts[1:], len(rows))
-            out = []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                pairs_of(rows[a:b], out)
-            return out
-
+        held, count, late = [], 0, None  # rows of one key; the key whose rows are put off as they come
         for batch in batches:
-            new = np.empty(batch.num_rows, dtype=kind)
-            for name in kind.names:
+            new = np.empty(batch.num_rows, dtype=_TILE)
+            for name in _TILE.names:
                 new[name] = batch.column(name).to_numpy(zero_copy_only=False)
-            held = np.concatenate([held, new])
-            if not len(held) or held["key"][0] == held["key"][-1]:
+            if late is not None:
+                more = np.searchsorted(new["key"], late, side="right")  # keys ascend
+                if more:
+                    yield batch_of([put_off(new[:more])])
+                new = new[more:]
+            if not len(new):
                 continue
-            cut = np.searchsorted(held["key"], held["key"][-1])  # keys ascend
-            if out := done(held[:cut]):
-                yield batch_of(out)
-            held = held[cut:]
-        if len(held) and (out := done(held)):
-            yield batch_of(out)
+            held.append(new)
+            count += len(new)
+            if held[0]["key"][0] != new["key"][-1]:
+                whole = np.concatenate(held)
+                cut = np.searchsorted(whole["key"], whole["key"][-1])
+                yield batch_of(done(whole[:cut]))
+                held, count = [whole[cut:]], len(whole) - cut
+            if count > TILE_ROWS:
+                late = new["key"][-1]
+                yield batch_of([put_off(x) for x in held])
+                held, count = [], 0
+        if held:
+            yield batch_of(done(np.concatenate(held)))
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "key long, a long, b long")
 
 
-def _dense_pairs(reps: np.ndarray, comps: np.ndarray, n: np.ndarray, bits: list[bytes], rule: Rule):
-    """Pairs of places (i, j) of different components whose sizes and bitmaps allow a link; n ascends, so widths do.
-
-    Sizes in the band differ by a quarter at most, so a wider bitmap is at most four times as wide and is folded.
-    """
-    sizes = np.array([len(b) for b in bits])
-    for width in np.unique(sizes).tolist():
-        first, last = np.searchsorted(sizes, width), np.searchsorted(sizes, width, side="right")
-        end = np.searchsorted(n, 100 * n[last - 1] // rule.percent, side="right")
-        folded = np.empty((end - first, width), dtype=np.uint8)
-        for k in range(first, end):
-            own = np.frombuffer(bits[k], dtype=np.uint8)
-            folded[k - first] = own if len(own) == width else np.bitwise_or.reduce(own.reshape(-1, width))
-        words = folded.view(np.uint64)
-        full = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-        for i in range(first, last):
-            stop = np.searchsorted(n, 100 * n[i] // rule.percent, side="right")
-            if stop <= i + 1:
-                continue
-            both = np.bitwise_count(words[i + 1 - first : stop - first] & words[i - first]).sum(axis=1, dtype=np.int64)
-            m = n[i + 1 : stop]
-            bound = np.minimum(n[i] - (full[i - first] - both), m - (full[i + 1 - first : stop - first] - both))
-            ok = (bound >= rule.needed(n[i], m)) & (comps[i + 1 : stop] != comps[i])
-            yield from ((i, int(j)) for j in np.flatnonzero(ok) + i + 1)
-
-
-def dense_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs (a, b) of crowded tiles, rows (key, rep, comp, n, bits, keys): every pair in the band whose
-    bitmaps allow a link, in the first of the crowded tiles (keys) that both are in."""
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of one width, as rows of 64-bit words of a narrower or the same width (both in bytes)."""
+    raw = np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1, width)
+    return np.ascontiguousarray(np.bitwise_or.reduce(raw, axis=1)).view(np.uint64)
+
+
+def _block_pairs(x: dict, y: dict, same: bool, rule: Rule):
+    """Places (i, j) of pairs of two blocks of different components whose sizes and bitmaps allow a link; blocks are
+    dicts of arrays comp, n and a list bits.  same: both are one block, and j is after i."""
+    widths = [np.array([len(b) for b in z["bits"]]) for z in (x, y)]
+    for wide in np.unique(widths[0]).tolist():
+        left = np.flatnonzero(widths[0] == wide)
+        for other in np.unique(widths[1]).tolist():
+            right = np.flatnonzero(widths[1] == other)
+            width = min(wide, other)
+            a = _folded([x["bits"][i] for i in left.tolist()], width)
+            b = _folded([y["bits"][j] for j in right.tolist()], width)
+            of_a, of_b = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (a, b))
+            m, comp = y["n"][right], y["comp"][right]
+            for k, i in enumerate(left.tolist()):
+                n = x["n"][i]
+                ok = rule.fits(n, m) & (comp != x["comp"][i])
+                if same:
+                    ok &= right > i
+                at = np.flatnonzero(ok)
+                if len(at):
+                    both = np.bitwise_count(b[at] & a[k]).sum(axis=1, dtype=np.int64)
+                    bound = np.minimum(n - (of_a[k] - both), m[at] - (of_b[at] - both))
+                    at = at[bound >= rule.needed(n, m[at])]
+                    yield np.full(len(at), i), right[at]
+
+
+def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs (a, b) of rows (unit, side, rep, comp, n, bits): a unit is two blocks, or one if it has no side 1."""
+
+    def done(unit: list[tuple]):
+        sides = []
+        for side in (0, 1):
+            own = [r for r in unit if r[1] == side]
+            ids = {name: np.array([r[k] for r in own], dtype=np.int64) for k, name in ((2, "rep"), (3, "comp"), (4, "n"))}
+            sides.append(ids | {"bits": [r[5] for r in own]})
+        x, y = sides
+        same = not y["bits"]
+        y = x if same else y
+        found = list(_block_pairs(x, y, same, rule))
+        a = np.concatenate([x["rep"][:0], *(x["rep"][i] for i, _ in found)])
+        b = np.concatenate([x["rep"][:0], *(y["rep"][j] for _, j in found)])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches):
         held: list[tuple] = []
-
-        def done(tile):
-            tile.sort(key=lambda r: (r[3], r[1]))
-            key, reps, comps, n = tile[0][0], *(np.array([r[k] for r in tile], dtype=np.int64) for k in (1, 2, 3))
-            keys = [frozenset(r[5]) for r in tile]
-            pairs = [(i, j) for i, j in _dense_pairs(reps, comps, n, [r[4] for r in tile], rule) if min(keys[i] & keys[j]) == key]
-            a, b = reps[[i for i, _ in pairs]], reps[[j for _, j in pairs]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != row[0]:
@@ -249,10 +298,46 @@ def dense_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield done(held)
 
-    dealt = rows.select("key", "rep", "comp", "n", "bits", "keys").repartition("key").sortWithinPartitions("key")
+    dealt = rows.select("unit", "side", "rep", "comp", "n", "bits").repartition("unit").sortWithinPartitions("unit")
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
+def later_prefixes(firsts: DataFrame, rule: Rule, before: np.ndarray, moved: np.ndarray, fresh: np.ndarray | None) -> DataFrame:
+    """rep, n, prefix of rows (rep, n, firsts) in the order that has the moved shingles (ascending) last; a null prefix
+    where firsts do not reach so far.
+
+    With fresh shingles only rows that have one of these in their prefix by the order before, or may have.
+    """
+    arrays = firsts.sparkSession.sparkContext.broadcast((before, moved, fresh))
+
+    def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(values), dtype=bool)
+        return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+    def rows(batches):
+        before, moved, fresh = arrays.value
+        for batch in batches:
+            shingles = batch.column(2)
+            values = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            late, later = among(values, before), among(values, moved)
+            new = None if fresh is None else among(values, fresh)
+            ends = np.cumsum(pc.list_value_length(shingles).to_numpy(zero_copy_only=False))
+            sizes = batch.column(1).to_pylist()
+            prefix, taken = [], np.ones(len(sizes), dtype=bool)
+            for i, (n, a, b) in enumerate(zip(sizes, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                need = rule.prefix(n)
+                if new is not None:
+                    was = np.flatnonzero(~late[a:b])[:need]
+                    taken[i] = len(was) < need or new[a:b][was].any()
+                own = values[a:b][~later[a:b]][:need]
+                prefix.append(own.view(np.int64) if len(own) == need else None)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prefix, pa.list_(pa.int64()))], ["rep", "n", "prefix"])
+            yield found.filter(pa.array(taken))
+
+    return firsts.select("rep", "n", "firsts").mapInArrow(lean(rows), "rep long, n long, prefix array<long>")
+
+
 def moved_prefixes(texts: DataFrame, size: int, rule: Rule, moved: np.ndarray) -> DataFrame:
     """rep, n, prefix of texts in the order that has the moved shingles (ascending) last."""
     last_ones = texts.sparkSession.sparkContext.broadcast(moved)
@@ -283,10 +368,14 @@ class Join:
         self.spark, self.documents, self.size, self.rule = documents.sparkSession, documents, size, Rule(percent)
         self.sets = written(describe(documents, size, self.rule), "shingle-sets")
         filled = self.sets.filter("n > 0 and doc_id is not null")
-        self.classes = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-        reps = filled.withColumnRenamed("doc_id", "rep").join(self.classes.select("key", "rep"), ["key", "rep"])
-        self.reps = reps.dropDuplicates(["rep", "key"])
-        self.members = filled.select("doc_id", "key").join(self.classes.select("key", "rep"), "key")
+        first = F.min(F.struct("doc_id", "row"))
+        self.classes = written(filled.groupBy("key").agg(first.alias("first")).select("key", "first.*"), "classes")
+        own = filled.join(self.classes.select("row"), "row", "left_semi")
+        self.reps = written(own.select(F.col("doc_id").alias("rep"), "n", "mins", "bits", "firsts"), "class-sets")
+        wide, self.sets = self.sets, written(self.sets.select("doc_id", "n", "key"), "set-keys")
+        drop(wide)
+        filled = self.sets.filter("n > 0 and doc_id is not null")
+        self.members = filled.select("doc_id", "key").join(self.classes.select("key", F.col("doc_id").alias("rep")), "key")
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """(rep, text) of the given ids; few other texts get into the shuffle."""
@@ -330,7 +419,9 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
         whole = passed.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        return written(whole.mapInArrow(lean(exact), "a long, b long"), f"{name}-links")
+        links = written(whole.mapInArrow(lean(exact), "a long, b long"), f"{name}-links")
+        drop(passed)
+        return links
 
     def star_pairs(self) -> DataFrame:
         """(a, b): the smallest class that has a minimum, and each other class that has it."""
@@ -342,7 +433,9 @@ class Join:
         """Candidate pairs of classes in different components of the stars; comps: (id, component)."""
         named = comps.toDF("rep", "comp")
         moved, found = np.empty(0, dtype=np.uint64), []
-        prefixes = self.reps.select("rep", "n", "prefix")
+        percent = F.lit(self.rule.percent)
+        need = F.col("n") + F.floor(-percent * F.col("n") / 100).cast("long") + 1
+        prefixes = self.reps.select("rep", "n", F.slice("firsts", F.lit(1), need.cast("int")).alias("prefix"))
         for turn in range(ROUNDS):
             whole = prefixes.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
             rows = whole.select("rep", "comp", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -351,24 +444,52 @@ class Join:
             found.append(out.filter("b is not null").select("a", "b"))
             put_off = out.filter("b is null")
             if turn == ROUNDS - 1:
-                crowded = written(put_off.select("key", F.col("a").alias("rep")).distinct(), "crowded")
-                keys = crowded.groupBy("rep").agg(F.collect_set("key").alias("keys"))
-                bits = self.reps.select("rep", "n", "bits").join(keys, "rep").join(named, "rep", "left")
-                bits = bits.withColumn("comp", F.coalesce("comp", "rep"))
-                found.append(written(dense_tiles(crowded.join(bits, "rep"), self.rule), "tiles-crowded"))
+                found.append(self.crowded_pairs(put_off.select("key", F.col("a").alias("rep")), named))
                 break
             often = put_off.groupBy("key").count().orderBy(F.desc("count"), "key").limit(MOST_MOVED).select("key").toArrow()
             if not often.num_rows:
                 break
-            keys = often.column("key").to_numpy().view(np.uint64)
-            moved = np.union1d(moved, keys)
-            touched = written(put_off.select(F.col("a").alias("rep")).distinct(), "touched")
-            prefixes = moved_prefixes(self.texts(touched), self.size, self.rule, moved)
+            fresh = np.sort(often.column("key").to_numpy().view(np.uint64))
+            before, moved, reps = moved, np.union1d(moved, fresh), self.reps
+            if len(fresh) == MOST_MOVED:  # there may be more of them, so who is touched is not known from the shingles
+                reps, fresh = reps.join(put_off.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi"), None
+            later = written(later_prefixes(reps, self.rule, before, moved, fresh), "later-prefixes")
+            short = later.filter("prefix is null").select("rep").distinct()
+            prefixes = later.filter("prefix is not null").union(moved_prefixes(self.texts(short), self.size, self.rule, moved))
         out = found[0]
         for more in found[1:]:
             out = out.union(more)
         return out.distinct()
 
+    def crowded_pairs(self, rows: DataFrame, named: DataFrame) -> DataFrame:
+        """Candidate pairs of the classes (rep) of crowded tiles (key), block by block.
+
+        A block holds classes of one size band that have the same commonest tile, and of one component where that
+        fills a block.  So large groups of near copies make few blocks, whatever the number of tiles they share.
+        """
+        crowded = written(rows.distinct(), "crowded")
+        popular = crowded.join(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+        heads = popular.groupBy("rep").agg(F.max(F.struct("c", "key"))["key"].alias("head"))
+        width = math.log(max(100 / self.rule.percent, 1.01)) * (1 + 1e-9)  # sizes in the band are in the same band or the next
+        cells = self.reps.select("rep", "n").join(heads, "rep").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        cells = cells.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+        full = cells.groupBy("head", "band", "comp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= BLOCK)
+        cells = cells.join(full.select("head", "band", "comp", F.col("comp").alias("part")), ["head", "band", "comp"], "left")
+        sums = cells.groupBy("head", "band", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
+        same = (F.col("head") == F.col("h")) & (F.col("band") == F.col("b")) & F.col("part").eqNullSafe(F.col("p"))
+        cells = cells.join(sums.toDF("h", "b", "p", "cuts"), same)
+        block = F.xxhash64("head", "band", "part", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+        cells = written(cells.select("rep", "n", "comp", "band", "part", block.alias("block")), "blocks")
+        met = written(crowded.join(cells, "rep").select("key", "block", "band", "part").distinct(), "blocks-met")
+        left, right = met.toDF("key", "x", "x_band", "x_part"), met.toDF("key", "y", "y_band", "y_part")
+        one_part = F.coalesce(F.col("x_part") == F.col("y_part"), F.lit(False))
+        units = left.join(right, "key").filter((F.col("x") <= F.col("y")) & (F.abs(F.col("x_band") - F.col("y_band")) <= 1) & ~one_part)
+        units = units.select("x", "y").distinct().withColumn("unit", F.xxhash64("x", "y"))
+        sides = units.select("unit", F.lit(0).alias("side"), F.col("x").alias("block"))
+        sides = sides.union(units.filter("x <> y").select("unit", F.lit(1).alias("side"), F.col("y").alias("block")))
+        bits = cells.select("rep", "n", "comp", "block").join(self.reps.select("rep", "n", "bits"), ["rep", "n"])
+        return written(block_pairs(sides.join(bits, "block"), self.rule), "tiles-crowded")
+
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         links = self.linked(self.star_pairs(), "stars")

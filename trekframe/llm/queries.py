@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_patricia_owners
 from .language_id import op5_nearest_centroid
-from .lm_scoring import OP9_SQL, op9_stupid_backoff
+from .lm_scoring import OP9_SQL, TRIGRAM_SQL, WHOLE_SQL, op9_stupid_backoff, op9_whole_backoff, op9_whole_trigrams
 from .mixing import op8_entropy_balance
 from .ngram_join import op3_tiled_jaccard
 from .packing import op2_min_bin_slack
@@ -12,7 +12,6 @@ from .quality_rules import op4_decision_list
 from .sharding import op1_consistent_ring
 from .token_matrix import op7_best_fit_matrix
 from .toxicity import op10_boosted_trees
-from .whole_backoff import TRIGRAM_SQL, WHOLE_SQL, op9_whole_backoff, op9_whole_trigrams
 
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
