@@ -32,7 +32,7 @@ def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return np.where(keys[at] == wanted, values[at], np.nan)
 
 
-class _Sums:
+class Sums:
     """Counts by hash, merged whenever many have come together."""
 
     def __init__(self):
@@ -62,7 +62,7 @@ def gram_counts(texts: DataFrame, least: dict[int, int], only=None) -> DataFrame
         return pa.RecordBatch.from_arrays([sizes, pa.array(keys.view(np.int64)), pa.array(counts)], ["size", "key", "n"])
 
     def run(batches):
-        sums = {size: _Sums() for size in least}
+        sums = {size: Sums() for size in least}
         for batch in batches:
             texts = batch.column(0)
             for first, last in slices(texts, 2 << 20):

@@ -8,7 +8,7 @@ Exact and without all pairs:
 3. Size-banded tiles: a class enters the tiles of the first shingles of its set in one global order, as many as
    guarantee that two linked sets meet in a tile.  Inside a tile, pairs of different components pass only if their
    sizes lie within the band of the threshold and the places of the shared shingle leave enough overlap.
-   Tiles with very many components (a passage that many documents share) are put off: their shingles move to the end
+   The order starts with hashes, but shingles of very many documents come last.  Tiles with very many components (a passage that many documents share) are put off: their shingles move to the end
    of the order for the classes they touch, which meet again in tiles of rarer shingles.  Two classes that only meet
    in such a tile are both touched, so no link is lost.
    Classes of tiles that are still crowded after the last round are cut into blocks of bounded size, each of one size
@@ -39,9 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import drop, id_filter, lean, mix, passes, slices, word_hashes, written
 from .components import connected_components
+from .ngram_counts import HELD, Sums
 
 #: A tile with more components than this is put off to a round with its shingle last.
 LARGE_TILE = 40
+#: A shingle is a candidate for the end of the first order if one task meets it so often.
+CANDIDATE = 3
 #: So is one whose comparisons, or whose rows in a task's memory, would be more than this.
 TILE_WORK, TILE_ROWS = 1 << 25, 1 << 20
 #: Classes of a block of crowded tiles, about.
@@ -113,13 +116,54 @@ def overlap_bound(a: bytes, n: int, b: bytes, m: int) -> int:
     return min(n - only_x, m - only_y)
 
 
-def describe(documents: DataFrame, size: int, rule: Rule) -> DataFrame:
+def common_shingles(documents: DataFrame, size: int) -> np.ndarray:
+    """Shingles of more documents than a tile may have components, ascending; at most ``MOST_MOVED``, the commonest.
+
+    Any order of shingles gives the same links, so it does no harm that rare ones are left out task by task.
+    """
+
+    def run(batches):
+        sums = Sums()
+
+        def counted():
+            keys, counts = sums.take(CANDIDATE)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+
+        for batch in batches:
+            texts = batch.column(0)
+            for first, last in slices(texts):
+                sums.add(np.concatenate(shingle_sets(texts[first:last].to_pylist(), size)))
+                if sums.held > HELD:
+                    yield counted()
+        yield counted()
+
+    found = documents.select(F.col("text").cast("string")).mapInArrow(lean(run), "key long, n long")
+    often = found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > LARGE_TILE)
+    keys = often.orderBy(F.desc("n"), "key").limit(MOST_MOVED).select("key").toArrow().column("key")
+    return np.sort(keys.to_numpy().view(np.uint64))
+
+
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among ascending keys."""
+    if not len(keys):
+        return np.zeros(len(values), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def _ordered(s: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """A set's shingles in the order that has the moved ones last."""
+    late = _among(s, moved)
+    return np.concatenate([s[~late], s[late]])
+
+
+def describe(documents: DataFrame, size: int, rule: Rule, moved: np.ndarray) -> DataFrame:
     """row, doc_id, n, key (of the set), mins, bits, firsts: one pass over the texts.
 
     A row's number is its task's and its place there, so it is the same if the task runs again.  firsts: the first
-    shingles in order, about twice as many as the tiles need, so that most orders with crowded ones last are at hand.
+    shingles in the order that has the moved ones last, about twice as many as the tiles need, so that most orders with crowded ones last are at hand.
     """
     schema = "row long, doc_id long, n long, key binary, mins array<long>, bits binary, firsts array<long>"
+    last_ones = documents.sparkSession.sparkContext.broadcast(moved)
 
     def rows(batches):
         seen = TaskContext.get().partitionId() << 36
@@ -137,7 +181,7 @@ def describe(documents: DataFrame, size: int, rule: Rule) -> DataFrame:
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     mins.append([int(s[i].view(np.int64)) if part[i] == j else None for j, i in enumerate(hit)])
                     bits.append(bitmap(s))
-                    firsts.append(s[: 2 * rule.prefix(len(s))].view(np.int64))
+                    firsts.append(_ordered(s, last_ones.value)[: 2 * rule.prefix(len(s))].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(seen + first, seen + last)),
@@ -302,26 +346,23 @@ def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
-def later_prefixes(firsts: DataFrame, rule: Rule, before: np.ndarray, moved: np.ndarray, fresh: np.ndarray | None) -> DataFrame:
+def later_prefixes(firsts: DataFrame, rule: Rule, before: np.ndarray | None, moved: np.ndarray, fresh: np.ndarray | None) -> DataFrame:
     """rep, n, prefix of rows (rep, n, firsts) in the order that has the moved shingles (ascending) last; a null prefix
     where firsts do not reach so far.
 
-    With fresh shingles only rows that have one of these in their prefix by the order before, or may have.
+    With fresh shingles only rows that have one of these in their prefix by the order before (the shingles that were
+    last in it; none: the order of firsts), or may have.
     """
     arrays = firsts.sparkSession.sparkContext.broadcast((before, moved, fresh))
 
-    def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(values), dtype=bool)
-        return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
-
     def rows(batches):
         before, moved, fresh = arrays.value
         for batch in batches:
             shingles = batch.column(2)
             values = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            late, later = among(values, before), among(values, moved)
-            new = None if fresh is None else among(values, fresh)
+            late = np.zeros(len(values), dtype=bool) if before is None else _among(values, before)
+            later = _among(values, moved)
+            new = None if fresh is None else _among(values, fresh)
             ends = np.cumsum(pc.list_value_length(shingles).to_numpy(zero_copy_only=False))
             sizes = batch.column(1).to_pylist()
             prefix, taken = [], np.ones(len(sizes), dtype=bool)
@@ -349,10 +390,8 @@ def moved_prefixes(texts: DataFrame, size: int, rule: Rule, moved: np.ndarray) -
             for first, last in slices(contents):
                 n, prefix = [], []
                 for s in shingle_sets(contents[first:last].to_pylist(), size):
-                    at = np.searchsorted(late, s)
-                    is_late = (at < len(late)) & (late[np.minimum(at, len(late) - 1)] == s)
                     n.append(len(s))
-                    prefix.append(np.concatenate([s[~is_late], s[is_late]])[: rule.prefix(len(s))].view(np.int64))
+                    prefix.append(_ordered(s, late)[: rule.prefix(len(s))].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [ids[first:last], pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
                     ["rep", "n", "prefix"],
@@ -366,7 +405,8 @@ class Join:
 
     def __init__(self, documents: DataFrame, percent: int, size: int):
         self.spark, self.documents, self.size, self.rule = documents.sparkSession, documents, size, Rule(percent)
-        self.sets = written(describe(documents, size, self.rule), "shingle-sets")
+        self.moved = common_shingles(documents, size)
+        self.sets = written(describe(documents, size, self.rule, self.moved), "shingle-sets")
         filled = self.sets.filter("n > 0 and doc_id is not null")
         first = F.min(F.struct("doc_id", "row"))
         self.classes = written(filled.groupBy("key").agg(first.alias("first")).select("key", "first.*"), "classes")
@@ -432,7 +472,7 @@ class Join:
     def tile_pairs(self, comps: DataFrame) -> DataFrame:
         """Candidate pairs of classes in different components of the stars; comps: (id, component)."""
         named = comps.toDF("rep", "comp")
-        moved, found = np.empty(0, dtype=np.uint64), []
+        moved, found = self.moved, []
         percent = F.lit(self.rule.percent)
         need = F.col("n") + F.floor(-percent * F.col("n") / 100).cast("long") + 1
         prefixes = self.reps.select("rep", "n", F.slice("firsts", F.lit(1), need.cast("int")).alias("prefix"))
@@ -450,7 +490,7 @@ class Join:
             if not often.num_rows:
                 break
             fresh = np.sort(often.column("key").to_numpy().view(np.uint64))
-            before, moved, reps = moved, np.union1d(moved, fresh), self.reps
+            before, moved, reps = moved if turn else None, np.union1d(moved, fresh), self.reps
             if len(fresh) == MOST_MOVED:  # there may be more of them, so who is touched is not known from the shingles
                 reps, fresh = reps.join(put_off.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi"), None
             later = written(later_prefixes(reps, self.rule, before, moved, fresh), "later-prefixes")
