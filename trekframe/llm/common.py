@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
@@ -60,12 +62,18 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
-def class_rank(df: DataFrame, classes: list[str], order: list[str], salts: int = 64) -> DataFrame:
+#: Rows of a class that are ranked in one task, about, if it is the only class.
+CELL_ROWS = 1 << 18
+
+
+def class_rank(df: DataFrame, classes: list[str], order: list[str]) -> DataFrame:
     """df with column rank: a row's place from 0 in its class, gapless.
 
-    A class may hold any share of the rows, so each is cut into salted cells that are ranked apart and joined to
-    the cells' offsets.  df is read twice, so it should be a written table.  Class columns must not be null.
+    A class may hold any share of the rows, so each is cut into salted cells, more of them the more rows there are, that
+    are ranked apart and joined to the cells' offsets.  df is read three times, so it should be a written table.  Class
+    columns must not be null.
     """
+    salts = max(64, -(-df.count() // CELL_ROWS))
     cells = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     sums = cells.groupBy(*classes, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*classes).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,8 @@ document is ``exp(tilt * size / mean size)``, at most 2, and the tilt solves one
 bracket, run for all sources at once; each is one distributed aggregate over the counts of documents by source and
 size.  Rates are then rounded into copies cell by cell (a cell is a bounded, hashed part of a source, so a source may
 hold any share of the rows): from the longest document down, each gets the floor of its rate or one more, whichever
-keeps the cell's running number of words nearest to what the rates ask for.
+keeps the cell's running number of words nearest to what the rates ask for.  Repeated rows are one row with their number
+until then, and share the copies that they get together, so a row repeated any number of times fills no task.
 
 Defined results: null texts and texts without words have size 0 and take nothing; a null source is a source of its own,
 last in order; repeated rows are mixed on their own; an empty table gives an empty result; other columns are ignored.
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_hash, word_count, written
+from .common import class_rank, drop, text_hash, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of a cell in which rates are rounded, about.
@@ -105,35 +106,53 @@ def tilts(counts: DataFrame, goals: DataFrame, most: float) -> DataFrame:
     return state.select("src", "source_size", "n", "target", "mean", F.round("tilt", 9).alias("tilt"))
 
 
+def round_rates(sizes: list[int], rates: list[float], times: list[int], most: float) -> list[int]:
+    """Copies of documents (longest first, each there so many times) that keep the running number of words nearest to
+    what the rates ask for."""
+    copies, owed = [], 0.0
+    for size, rate, n in zip(sizes, rates, times, strict=True):
+        least = math.floor(rate)
+        owed += n * (rate - least) * size
+        more = min(n, max(0, math.ceil(owed / size - 0.5))) if size and rate > least else 0
+        copies.append(n * least + more)
+        owed -= size * more
+    # What long documents leave that the others' rates could not take up: copies more or less where they fit.
+    for i, (size, n) in enumerate(zip(sizes, times, strict=True)):
+        if 0 < size <= owed:
+            more = min(int(owed // size), math.floor(most * n) - copies[i])
+        elif 0 < size <= -owed:
+            more = -min(int(-owed // size), copies[i])
+        else:
+            more = 0
+        copies[i], owed = copies[i] + more, owed - size * more
+    return copies
+
+
 def _rounder(most: float):
     def rounded(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], kind="stable")
-        sizes, copies, owed = cell["size"].tolist(), [], 0.0
-        for size, rate in zip(sizes, cell["rate"].tolist(), strict=True):
-            least = math.floor(rate)
-            owed += rate * size
-            more = rate > least and owed - least * size > size / 2
-            copies.append(least + more)
-            owed -= size * (least + more)
-        # What long documents leave that the others' rates could not take up: one copy more or less where it fits.
-        for i, size in enumerate(sizes):
-            if 0 < size <= owed and copies[i] + 1 <= most:
-                copies[i], owed = copies[i] + 1, owed - size
-            elif 0 < size <= -owed and copies[i]:
-                copies[i], owed = copies[i] - 1, owed + size
-        return cell.assign(copies=copies)[["doc_id", "text_hash", "src", "size", "copies"]]
+        copies = round_rates(*(cell[k].tolist() for k in ("size", "rate", "times")), most)
+        return cell.assign(copies=copies)[["doc_id", "text_hash", "src", "size", "times", "copies"]]
 
     return rounded
 
 
-def mix(
-    documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0
-) -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target and copies for every row of documents."""
+def _own_copies(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (a written table) that repeat each other, of which copies and times are those of all of them: each row's own
+    copies instead.  columns tell the groups apart, row a group's rows."""
+    group = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+    ranked = class_rank(rows.withColumn("group", group), ["group"], ["row"])
+    share = F.floor(F.col("copies") / F.col("times")) + (F.col("rank") < F.pmod(F.col("copies"), F.col("times"))).cast("long")
+    return ranked.withColumn("copies", share.cast("long")).drop("group", "rank", "row", "times")
+
+
+def grouped_mix(documents: DataFrame, weights: tuple[float, ...], total_share: float, most: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: doc_id, text_hash, src, size, row of every row; the groups of rows that agree in the first four,
+    with times (rows) and copies (of all of them together); src, source_size and target of every source."""
     light = written(
         documents.select(
             F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("source").cast("string").alias("src"),
-            word_count(F.col("text").cast("string")).alias("size"),
+            word_count(F.col("text").cast("string")).alias("size"), F.monotonically_increasing_id().alias("row"),
         ),
         "mix-sizes",
     )
@@ -141,25 +160,56 @@ def mix(
     sources = counts.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     solved = tilts(counts, targets(sources, weights, total_share, most), most)
     cells = F.ceil(F.col("n") / CELL_ROWS)
-    rated = light.join(solved.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).select(
-        "doc_id", "text_hash", "src", "size", _rate(most).alias("rate"), F.pmod(F.xxhash64("doc_id", "text_hash"), cells).alias("cell")
+    groups = light.groupBy("doc_id", "text_hash", "src", "size").agg(F.count(F.lit(1)).alias("times"))
+    rated = groups.join(solved.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).select(
+        "doc_id", "text_hash", "src", "size", "times", _rate(most).alias("rate"), F.pmod(F.xxhash64("doc_id", "text_hash"), cells).alias("cell")
     )
-    schema = "doc_id long, text_hash long, src string, size long, copies long"
-    rounded = rated.groupBy("src", "cell").applyInPandas(_rounder(most), schema)
-    goals = solved.select(F.col("src").alias("s"), "source_size", "target")
-    return rounded.join(goals, F.col("src").eqNullSafe(F.col("s"))).select(
+    schema = "doc_id long, text_hash long, src string, size long, times long, copies long"
+    rounded = written(rated.groupBy("src", "cell").applyInPandas(_rounder(most), schema), "mix-copies")
+    drop(counts)
+    return light, rounded, solved.select("src", "source_size", "target")
+
+
+def mix(
+    documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0
+) -> DataFrame:
+    """doc_id, text_hash, source, size, source_size, target and copies for every row of documents."""
+    light, groups, goals = grouped_mix(documents, weights, total_share, most)
+    columns = ["doc_id", "text_hash", "src", "size"]
+    rounded = groups.filter("times = 1").select(*columns, "copies")
+    several = groups.filter("times > 1")
+    if not several.isEmpty():
+        there = several.toDF(*(f"_{c}" for c in columns), "times", "copies")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+        repeated = written(light.join(there, same).select(*columns, "row", "times", "copies"), "mix-repeated")
+        rounded = rounded.unionByName(_own_copies(repeated, columns))
+    named = goals.withColumnRenamed("src", "s")
+    return rounded.join(named, F.col("src").eqNullSafe(F.col("s"))).select(
         "doc_id", "text_hash", F.col("src").alias("source"), "size", "source_size", "target", "copies"
     )
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """documents with every row as often as the mix takes it (rows that repeat id and text: as their least); all columns."""
-    copies = mix(documents).groupBy("doc_id", "text_hash").agg(F.min("copies").alias("copies")).filter("copies > 0")
-    copies = copies.toDF("_id", "_hash", "_copies")
-    named = documents.withColumn("_text", text_hash())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    taken = named.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select(*documents.columns)
+    """documents with every row as often as the mix takes it; all columns."""
+    light, groups, _ = grouped_mix(documents, WEIGHTS, 1.5, 2.0)
+    drop(light)
+    columns = ["doc_id", "text_hash", "src"]
+    whole = documents.select(
+        F.struct(*documents.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"),
+        F.col("source").cast("string").alias("src"),
+    )
+
+    def joined(wanted: DataFrame) -> DataFrame:
+        there = wanted.filter("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in columns), "times", "copies")
+        return whole.join(there, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]).select("doc", *columns, "times", "copies")
+
+    taken = joined(groups.filter("times = 1")).select("doc", "copies")
+    several = groups.filter("times > 1")
+    if not several.isEmpty():
+        repeated = written(joined(several).withColumn("row", F.monotonically_increasing_id()), "mix-repeated")
+        taken = taken.union(_own_copies(repeated, columns).select("doc", "copies"))
+    each = taken.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select("doc.*")
 
 
 def op8_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
