@@ -15,7 +15,8 @@ Exact and without all pairs:
    band.  Two blocks that share a crowded tile become one task, which compares their bitmaps; a pair of classes lies in
    one pair of blocks, so it is found once however many tiles it shares.
 4. Hashed bitmaps of the candidates bound their overlap from above: a bit of one that the other lacks stands for a
-   shingle outside the overlap.
+   shingle outside the overlap.  Brief bitmaps go first, as they travel with every candidate; wide ones follow for the few
+   pairs that pass.
 5. Remaining pairs are decided by intersecting the sorted shingle arrays of their whole texts.
 6. Links and stars give components by alternating large-star and small-star steps.
 
@@ -97,9 +98,9 @@ class Rule:
         return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """Which of 4 or more bits a shingle are hit; widths are powers of two, so a wide one folds to a narrow one."""
-    width = max(64, 1 << (4 * len(values) - 1).bit_length())
+def bitmap(values: np.ndarray, bits_each: int = 4) -> bytes:
+    """Which of so many or more bits a shingle are hit; widths are powers of two, so a wide one folds to a narrow one."""
+    width = max(64, 1 << (bits_each * len(values) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[((values >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -157,12 +158,12 @@ def _ordered(s: np.ndarray, moved: np.ndarray) -> np.ndarray:
 
 
 def describe(documents: DataFrame, size: int, rule: Rule, moved: np.ndarray) -> DataFrame:
-    """row, doc_id, n, key (of the set), mins, bits, firsts: one pass over the texts.
+    """row, doc_id, n, key (of the set), mins, brief, bits, firsts: one pass over the texts.
 
     A row's number is its task's and its place there, so it is the same if the task runs again.  firsts: the first
     shingles in the order that has the moved ones last, about twice as many as the tiles need, so that most orders with crowded ones last are at hand.
     """
-    schema = "row long, doc_id long, n long, key binary, mins array<long>, bits binary, firsts array<long>"
+    schema = "row long, doc_id long, n long, key binary, mins array<long>, brief binary, bits binary, firsts array<long>"
     last_ones = documents.sparkSession.sparkContext.broadcast(moved)
 
     def rows(batches):
@@ -170,17 +171,17 @@ def describe(documents: DataFrame, size: int, rule: Rule, moved: np.ndarray) ->
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, last in slices(texts):
-                n, key, mins, bits, firsts = [], [], [], [], []
+                n, key, mins, brief, bits, firsts = [], [], [], [], [], []
                 for s in shingle_sets(texts[first:last].to_pylist(), size):
                     n.append(len(s))
                     if not len(s):
-                        key.append(None), mins.append(None), bits.append(None), firsts.append(None)
+                        key.append(None), mins.append(None), brief.append(None), bits.append(None), firsts.append(None)
                         continue
                     part = s & np.uint64(3)
                     hit = [(part == j).argmax() for j in range(4)]
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     mins.append([int(s[i].view(np.int64)) if part[i] == j else None for j, i in enumerate(hit)])
-                    bits.append(bitmap(s))
+                    brief.append(bitmap(s, 1)), bits.append(bitmap(s))
                     firsts.append(_ordered(s, last_ones.value)[: 2 * rule.prefix(len(s))].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -189,10 +190,11 @@ def describe(documents: DataFrame, size: int, rule: Rule, moved: np.ndarray) ->
                         pa.array(n, pa.int64()),
                         pa.array(key, pa.binary()),
                         pa.array(mins, pa.list_(pa.int64())),
+                        pa.array(brief, pa.binary()),
                         pa.array(bits, pa.binary()),
                         pa.array(firsts, pa.list_(pa.int64())),
                     ],
-                    ["row", "doc_id", "n", "key", "mins", "bits", "firsts"],
+                    ["row", "doc_id", "n", "key", "mins", "brief", "bits", "firsts"],
                 )
             seen += batch.num_rows
 
@@ -411,7 +413,7 @@ class Join:
         first = F.min(F.struct("doc_id", "row"))
         self.classes = written(filled.groupBy("key").agg(first.alias("first")).select("key", "first.*"), "classes")
         own = filled.join(self.classes.select("row"), "row", "left_semi")
-        self.reps = written(own.select(F.col("doc_id").alias("rep"), "n", "mins", "bits", "firsts"), "class-sets")
+        self.reps = written(own.select(F.col("doc_id").alias("rep"), "n", "mins", "brief", "bits", "firsts"), "class-sets")
         wide, self.sets = self.sets, written(self.sets.select("doc_id", "n", "key"), "set-keys")
         drop(wide)
         filled = self.sets.filter("n > 0 and doc_id is not null")
@@ -426,7 +428,6 @@ class Join:
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that are links: bitmap bound, then exact intersection."""
         rule, size = self.rule, self.size
-        bits = self.reps.select("rep", "n", "bits")
 
         def bounded(frames):
             for f in frames:
@@ -436,11 +437,16 @@ class Join:
                 ]
                 yield f.loc[ok, ["a", "b"]]
 
-        left = bits.toDF("a", "n", "x")
-        right = bits.toDF("b", "m", "y")
-        passed = pairs.join(left, "a").join(right, "b").mapInPandas(lean(bounded), "a long, b long")
-        passed = written(passed.distinct(), f"{name}-bounded")
-        ids = passed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        def within(pairs: DataFrame, bits: DataFrame, step: str) -> DataFrame:
+            met = pairs.join(bits.toDF("a", "n", "x"), "a").join(bits.toDF("b", "m", "y"), "b")
+            return written(met.mapInPandas(lean(bounded), "a long, b long").distinct(), f"{name}-{step}")
+
+        ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        close = within(pairs, self.reps.select("rep", "n", "brief"), "close")
+        some = self.reps.filter(passes(self.spark, id_filter(ends(close), "rep"), "rep"))
+        passed = within(close, some.select("rep", "n", "bits"), "bounded")
+        drop(close)
+        ids = ends(passed)
         texts = self.texts(ids)
 
         def exact(batches):
