@@ -1,12 +1,16 @@
+import zlib
+import struct
+import itertools
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trekframe.functions.geodesy import direct_arrays
-from trekframe.operators import dem, flyover, framing, geojson, profile, sampling, splits, tracks, transforms
+from trekframe.operators import dem, flyover, framing, geojson, map_style, profile, sampling, splits, tracks, transforms
 from trekframe.schema import POINTS
-from trekframe.sources import catalog, gpx
+from trekframe.sources import catalog, gpx, tiles
 
 
 def run_of(track, legs, spacing=100.0, grade=0.0, start=(46.0, 7.0), segment=0, timed=True, t0=1_700_000_000_000):
@@ -207,8 +211,60 @@ def test_geojson(table):
     marks = points.filter("point_idx = 0").select("track_id", F.col("segment_idx").alias("wpt_idx"), F.when(F.col("segment_idx") == 1, 'a "b"').alias("name"), "lat", "lon")
     labels = [f["properties"] for f in json.loads(by_track(geojson.encode_waypoints(marks))["two"].geojson)["features"]]
     assert labels == [{"index": 1, "label": "1"}, {"index": 2, "label": 'a "b"'}]
-    style = geojson.style_with_track('{"layers": [{"id": "land", "type": "fill"}, {"id": "names", "type": "symbol"}]}')
-    assert [x["id"] for x in json.loads(style)["layers"]] == ["land", "track-line", "names"] and geojson.style_with_track(style) == style
+
+
+def test_map_styles():
+    base = json.dumps({"layers": [{"id": k, "type": t} for k, t in (("land", "fill"), ("arrows", "symbol"), ("walls", "line"), ("names", "symbol"))]})
+    line, marks = '{"type":"Feature","geometry":null}', geojson.EMPTY_COLLECTION
+    steps = [map_style.with_terrain, lambda s: map_style.with_track(s, line), lambda s: map_style.with_gradients(s, marks), lambda s: map_style.with_waypoints(s, marks)]
+    made = set()
+    for order in itertools.permutations(steps):
+        style = base
+        for step in (*order, order[0]):  # one of them twice
+            style = step(style)
+        found = json.loads(style)
+        made.add(json.dumps([found["layers"], dict(sorted(found["sources"].items()))], sort_keys=True))
+    assert len(made) == 1
+    assert [x["id"] for x in found["layers"]] == [
+        "land", "trek-shade", "arrows", "walls", "trek-track-casing", "trek-track-line", "trek-gradient-casing", "trek-gradient-line", "trek-waypoint-circles", "names", "trek-captions",
+    ]
+    assert found["terrain"] == {"source": "trek-terrain", "exaggeration": 1.35}
+    assert map_style.with_terrain_and_track(base) == map_style.with_terrain(base)
+    assert [x["id"] for x in json.loads(map_style.with_terrain_and_track("{}", line))["layers"]] == ["trek-shade", "trek-track-casing", "trek-track-line"]
+
+
+def png(pixels, kinds=(0,), color=2):
+    """A PNG of (rows, columns, samples) bytes whose rows take turns with the filters."""
+    rows, columns, samples = pixels.shape
+    above, data = np.zeros((columns, samples), dtype=int), b""
+    for i, row in enumerate(pixels.astype(int)):
+        kind = kinds[i % len(kinds)]
+        left = np.vstack([np.zeros((1, samples), dtype=int), row[:-1]])
+        corner = np.vstack([np.zeros((1, samples), dtype=int), above[:-1]])
+        near = left + above - corner
+        far = [abs(near - x) for x in (left, above, corner)]
+        paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], above, corner))
+        data += bytes([kind]) + ((row - (0, left, above, (left + above) // 2, paeth)[kind]) % 256).astype(np.uint8).tobytes()
+        above = row
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", columns, rows, 8, color, 0, 0, 0)
+    packed = zlib.compress(data)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", packed[:99]) + chunk(b"IDAT", packed[99:]) + chunk(b"IEND", b"")
+
+
+def test_tiles_from_files(spark, tmp_path):
+    pixels = np.random.default_rng(1).integers(0, 256, (256, 256, 4), dtype=np.uint8)
+    wanted = [int(np.int32(np.uint32(int(a) << 24 | int(r) << 16 | int(g) << 8 | int(b)))) for r, g, b, a in pixels[:2].reshape(-1, 4)[:300]]
+    (tmp_path / "13_4_5.png").write_bytes(png(pixels, (4, 3, 2, 1, 0), color=6))
+    (tmp_path / "13_4_6.png").write_bytes(png(pixels[..., :3], (1, 4)))
+    (tmp_path / "9_1_2.png").write_bytes(png(pixels[:100, :100, :3]))  # not the size of a tile
+    (tmp_path / "9_1_3.png").write_bytes(b"no picture")
+    (tmp_path / "9_1_4.png").write_bytes(png(pixels)[:5000])
+    (tmp_path / "other.png").write_bytes(png(pixels[..., :3]))
+    found = {(r.zoom, r.x, r.y): r.pixels for r in tiles.read_tiles(spark, str(tmp_path)).collect()}
+    assert sorted(found) == [(13, 4, 5), (13, 4, 6)]
+    assert found[13, 4, 5][:300] == wanted
+    assert [x & 0xFFFFFF for x in found[13, 4, 6][:300]] == [x & 0xFFFFFF for x in wanted] and min(x >> 24 for x in found[13, 4, 6]) == -1
 
 
 def test_flyover(table):
@@ -242,6 +298,15 @@ def test_gpx_parsing(spark):
     assert sorted(r.track_id for r in found["errors"].collect()) == [f"bad{i}" for i in range(4)]
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "iso-8859-1", "utf-8-sig"])
+def test_gpx_files_are_read_in_their_encoding(spark, tmp_path, encoding):
+    declared = "" if encoding == "utf-8-sig" else f"<?xml version='1.0' encoding='{encoding}'?>"
+    (tmp_path / "a.gpx").write_bytes(f"{declared}{HEAD}<trk><name>Höhe</name><trkpt lat='1' lon='2'/></trk></gpx>".encode(encoding))
+    (tmp_path / "b.gpx").write_bytes(b"\xff\xfe\x00broken")
+    found = gpx.read_gpx(gpx.read_files(spark, str(tmp_path)))
+    assert [r.name for r in found["documents"].collect()] == ["Höhe"] and found["points"].count() == found["errors"].count() == 1
+
+
 def test_gpx_writing(spark, table, tmp_path):
     points = table(run_of("a", 2, grade=5), run_of("a", 1, start=(46.2, 7.0), segment=1, timed=False))
     names = spark.createDataFrame([("a", "Up & <over>", None)], "track_id string, name string, description string")
@@ -258,10 +323,14 @@ def test_gpx_writing(spark, table, tmp_path):
 def test_route_library(spark, table, tmp_path):
     library = catalog.RouteLibrary(spark, str(tmp_path / "routes"))
     assert library.list().count() == 0
-    library.save(table(run_of("old", 3)), F.lit("  "), F.lit(1))
-    library.save(table(run_of("new", 4)), F.lit(" Ridge "), F.lit(2))
-    assert [(r.id, r.name, r.point_count) for r in library.list().collect()] == [("new", "Ridge", 5), ("old", catalog.DEFAULT_NAME, 4)]
-    assert library.load("old").count() == 4
-    library.delete("old")
+    old = "old-" + library.save(table(run_of("old", 3)), F.lit("  "), F.lit(1))
+    new = "new-" + library.save(table(run_of("new", 4)), F.lit(" Ridge "), F.lit(2))
+    assert [(r.id, r.name, r.point_count) for r in library.list().collect()] == [(new, "Ridge", 5), (old, catalog.DEFAULT_NAME, 4)]
+    assert library.load(old).count() == 4
+    written = library.gpx(new).collect()
+    assert [r.track_id for r in written] == [new] and "<name>Ridge</name>" in written[0].xml and written[0].xml.count("<trkpt") == 5
+    again = "old-" + library.save(table(run_of("old", 3)), F.lit("again"), F.lit(3))
+    library.delete(old)
     library.delete("never was")
-    assert [r.id for r in library.list().collect()] == ["new"] and library.load("old").count() == 0
+    assert [r.id for r in library.list().collect()] == [again, new] and library.load(old).count() == library.gpx(old).count() == 0
+    assert library.load(again).count() == 4

@@ -59,6 +59,26 @@ def bearing_profile(track_stretches: DataFrame, options: FlyoverOptions) -> Data
     return unwrapped.select("track_id", "idx", F.avg("_heading").over(order.rowsBetween(-half, half)).alias("heading"))
 
 
+def _headed(found: DataFrame, options: FlyoverOptions) -> DataFrame:
+    """Sampled frames with the heading between the two steps of the bearing profile around each; found has the rows of
+    frames and steps (those with an idx).  Windows by track alone, no join."""
+    kind = F.col("idx").isNotNull()
+    steps = Window.partitionBy("track_id", "_step").orderBy("idx")
+    turn = F.coalesce(shortest_delta(F.lag("bearing").over(steps), F.col("bearing")), F.col("bearing"))
+    unwrapped = found.withColumn("_step", kind).withColumn("_turn", turn)
+    unwrapped = unwrapped.withColumn("_heading", F.sum("_turn").over(steps.rowsBetween(Window.unboundedPreceding, 0)))
+    half = int(options.bearing_window_m / BEARING_STEP_M + 0.5)
+    smooth = unwrapped.withColumn("_smooth", F.when(F.col("_step"), F.avg("_heading").over(steps.rowsBetween(-half, half))))
+    along = Window.partitionBy("track_id").orderBy("distance_m", F.desc("_step"), "elapsed_ms")
+    before, after = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
+    placed = smooth.withColumns(
+        {"_at": F.last("idx", True).over(before), "_from": F.last("_smooth", True).over(before), "_to": F.first("_smooth", True).over(after)}
+    ).filter(~F.col("_step"))
+    part = F.col("distance_m") / BEARING_STEP_M - F.col("_at")
+    heading = F.when(F.col("_to").isNull(), F.col("_from")).otherwise(lerp(F.col("_from"), F.col("_to"), part))
+    return placed.withColumn("heading", heading).drop("_step", "_turn", "_heading", "_smooth", "_at", "_from", "_to")
+
+
 def frames(points: DataFrame, step_ms: int = 1000, options: FlyoverOptions | None = None) -> DataFrame:
     """track_id, elapsed_ms, phase, camera (lat, lon, zoom, tilt, bearing), progress, revealed, walked_m, ele and position
     (here_lat, here_lon): a frame every step and one at the end."""
@@ -67,14 +87,18 @@ def frames(points: DataFrame, step_ms: int = 1000, options: FlyoverOptions | Non
     totals = flown.groupBy("track_id").agg(F.max("total_flight_m").alias("flight_m"), F.max("total_walk_m").alias("walk_m"))
     timed = totals.withColumn("travel_ms", travel_ms(F.col("flight_m"), o))
     duration = F.col("travel_ms") + (o.intro_ms + o.outro_ms)
-    clock = timed.withColumn("duration_ms", duration).withColumn(
-        "elapsed_ms", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.col("duration_ms"), F.lit(step_ms).cast("long")), F.array("duration_ms"))))
-    )
+    # Frames (elapsed_ms) and the steps of the bearing profile (idx) are asked for together, so that stretches are sampled once.
+    ticks = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.col("duration_ms"), F.lit(step_ms).cast("long")), F.array("duration_ms")))
+    steps = F.sequence(F.lit(0), F.ceil(F.col("flight_m") / BEARING_STEP_M).cast("int"))
+    frame = lambda t: F.struct(t.alias("elapsed_ms"), F.lit(None).cast("int").alias("idx"))
+    step = lambda k: F.struct(F.lit(None).cast("long").alias("elapsed_ms"), k.alias("idx"))
+    clock = timed.withColumn("duration_ms", duration).withColumn("_w", F.explode(F.concat(F.transform(ticks, frame), F.transform(steps, step)))).select("*", "_w.*").drop("_w")
     travelled = (F.col("elapsed_ms") - o.intro_ms) / F.col("travel_ms")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), travelled))
     phase = F.when(F.col("elapsed_ms") < o.intro_ms, "Intro").when(F.col("elapsed_ms") < o.intro_ms + F.col("travel_ms"), "Travel").otherwise("Outro")
-    asked = clock.withColumns({"phase": phase, "distance_m": share * F.col("flight_m")})
-    here = sample(flown, asked, "flight").withColumnsRenamed({"lat": "here_lat", "lon": "here_lon"}).drop("segment_idx", "bearing")
+    way = F.when(F.col("idx").isNotNull(), F.col("idx") * F.lit(BEARING_STEP_M)).otherwise(share * F.col("flight_m"))
+    asked = clock.withColumns({"phase": phase, "distance_m": way})
+    here = _headed(sample(flown, asked, "flight"), o).withColumnsRenamed({"lat": "here_lat", "lon": "here_lon"}).drop("segment_idx", "bearing", "idx")
     ahead = here.withColumn("_at", F.col("distance_m")).withColumn("distance_m", F.col("_at") + o.look_ahead_m)
     if o.look_ahead_m > 0:
         seen = sample(flown, ahead.withColumnRenamed("ele", "here_ele").withColumnRenamed("walked_m", "here_walked_m"), "flight")
@@ -82,15 +106,7 @@ def frames(points: DataFrame, step_ms: int = 1000, options: FlyoverOptions | Non
     else:
         seen = ahead.withColumns({"lat": F.col("here_lat"), "lon": F.col("here_lon")})
     seen = seen.withColumn("distance_m", F.col("_at")).drop("_at")
-    headings = bearing_profile(flown, o)
-    order = Window.partitionBy("track_id").orderBy("idx")
-    headings = headings.select("track_id", "idx", "heading", F.lead("heading").over(order).alias("next_heading"), F.max("idx").over(Window.partitionBy("track_id")).alias("last"))
-    lasts = headings.filter("idx = last").select("track_id", "last")
-    place = F.least(F.col("distance_m") / BEARING_STEP_M, F.col("last").cast("double"))
-    at = F.greatest(F.lit(0), F.least(F.floor(place).cast("int"), F.col("last") - 1))
-    turned = seen.join(lasts, "track_id").withColumns({"_place": place, "idx": at}).join(headings.drop("last"), ["track_id", "idx"])
-    heading = F.when(F.col("next_heading").isNull(), F.col("heading")).otherwise(lerp(F.col("heading"), F.col("next_heading"), F.col("_place") - F.col("idx")))
-    rows = turned.withColumn("_bearing", F.pmod(heading + o.bearing_offset, F.lit(360.0)))
+    rows = seen.withColumn("_bearing", F.pmod(F.col("heading") + o.bearing_offset, F.lit(360.0)))
     intro = F.lit(1.0) if o.intro_ms == 0 else ease_out_cubic(F.col("elapsed_ms") / o.intro_ms)
     out = F.col("elapsed_ms") - o.intro_ms - F.col("travel_ms")
     outro = F.lit(1.0) if o.outro_ms == 0 else ease_in_out_cubic(out / o.outro_ms)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import distance
@@ -11,15 +11,22 @@ from ..functions.geodesy import distance
 ZOOM_BASE, LEAST_ZOOM, MOST_ZOOM, TILT = 60_000.0, 3.0, 15.0, 60.0
 
 
+def _direction() -> dict[str, Column]:
+    """The unit vector of a position."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+
+
+def _position() -> tuple[Column, Column]:
+    """lat and lon of the direction x, y, z."""
+    return F.degrees(F.atan2("z", F.hypot("x", "y"))), F.degrees(F.atan2("y", "x"))
+
+
 def centroids(points: DataFrame) -> DataFrame:
     """track_id, lat, lon of the mean direction of the points."""
-    lat, lon = F.radians("lat"), F.radians("lon")
-    sums = points.groupBy("track_id").agg(
-        F.avg(F.cos(lat) * F.cos(lon)).alias("x"), F.avg(F.cos(lat) * F.sin(lon)).alias("y"), F.avg(F.sin(lat)).alias("z")
-    )
-    return sums.select(
-        "track_id", F.degrees(F.atan2("z", F.hypot("x", "y"))).alias("lat"), F.degrees(F.atan2("y", "x")).alias("lon")
-    )
+    means = points.groupBy("track_id").agg(*(F.avg(v).alias(k) for k, v in _direction().items()))
+    lat, lon = _position()
+    return means.select("track_id", lat.alias("lat"), lon.alias("lon"))
 
 
 def zoom_for(diagonal_km: Column) -> Column:
@@ -28,8 +35,13 @@ def zoom_for(diagonal_km: Column) -> Column:
 
 
 def cameras(points: DataFrame) -> DataFrame:
-    """track_id, lat, lon, diagonal_km, zoom, tilt, bearing: a view of each track from above its centroid."""
-    middle = centroids(points).toDF("track_id", "_lat", "_lon")
-    far = points.join(middle, "track_id").withColumn("_d", distance("_lat", "_lon", "lat", "lon"))
+    """track_id, lat, lon, diagonal_km, zoom, tilt, bearing: a view of each track from above its centroid.
+
+    Points are dealt by track once; the centroid is a window over them and the reach an aggregate where they lie.
+    """
+    track = Window.partitionBy("track_id")
+    around = points.repartition("track_id").select("track_id", "lat", "lon", *(F.avg(v).over(track).alias(k) for k, v in _direction().items()))
+    lat, lon = _position()
+    far = around.withColumns({"_lat": lat, "_lon": lon}).withColumn("_d", distance("_lat", "_lon", "lat", "lon"))
     sums = far.groupBy("track_id", F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).agg((2 * F.max("_d") / 1000.0).alias("diagonal_km"))
     return sums.select("*", zoom_for(F.col("diagonal_km")).alias("zoom"), F.lit(TILT).alias("tilt"), F.lit(0.0).alias("bearing"))

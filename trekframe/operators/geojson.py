@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,16 +116,3 @@ def encode_waypoints(waypoints: DataFrame) -> DataFrame:
         "track_id", F.lit(0).alias("segment_idx"), F.col("number").alias("point_idx"), text.alias("geojson")
     )
     return collection(rows)
-
-
-def style_with_track(style: str, source: str = "track", color: str = "#D7191C", width: float = 4.0) -> str:
-    """A map style (JSON text) with the track's source and line before its trailing labels; doing it twice changes nothing."""
-    out = json.loads(style)
-    out.setdefault("sources", {})[source] = {"type": "geojson", "data": json.loads(EMPTY_COLLECTION)}
-    layers = [x for x in out.get("layers", []) if x.get("id") != f"{source}-line"]
-    at = len(layers)
-    while at and layers[at - 1].get("type") == "symbol":
-        at -= 1
-    layers.insert(at, {"id": f"{source}-line", "type": "line", "source": source, "paint": {"line-color": color, "line-width": width}})
-    out["layers"] = layers
-    return json.dumps(out)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,30 +19,52 @@ KILOMETRE, MILE = 1000.0, METRES_PER_MILE
 EPSILON, LEAST_M = 1e-6, 1.0
 
 
+def _commits(heights: np.ndarray, ref: float, threshold: float) -> tuple[np.ndarray, float]:
+    """What heights in order add to a reference, and the reference after them (NaN: none).
+
+    The reference moves to the next height that differs by more than the threshold, found a window at a time; a missing
+    height clears it and the next known one sets it.
+    """
+    change, i = np.zeros(len(heights)), 0
+    while i < len(heights):
+        if math.isnan(ref):
+            known = np.flatnonzero(~np.isnan(heights[i:]))
+            if not len(known):
+                break
+            i += int(known[0])
+            ref, i = heights[i], i + 1
+            continue
+        width = 32
+        while i < len(heights):
+            seen = heights[i : i + width]
+            hits = np.flatnonzero(~(np.abs(seen - ref) <= threshold))
+            if len(hits):
+                i += int(hits[0])
+                change[i] = 0.0 if math.isnan(heights[i]) else heights[i] - ref
+                ref, i = heights[i], i + 1
+                break
+            i, width = i + len(seen), width * 4
+    return change, ref
+
+
 def committed(on_axis: DataFrame, threshold: float) -> DataFrame:
     """Located points with gain and loss that each leg commits: a missing height clears the reference, a segment's
     first height sets it, legs without length are passed over.  Rows flow by in order; only one state is held."""
     kept = [c for c in on_axis.columns if c not in ("gain", "loss")]
 
     def run(batches):
-        part, ref = None, None
+        ref = math.nan
         for batch in batches:
-            gains, losses = [], []
-            tracks, segments = batch.column("track_id").to_pylist(), batch.column("segment_idx").to_pylist()
-            heights, lengths, firsts = (batch.column(c).to_pylist() for c in ("ele", "leg_m", "prev_lat"))
-            for track, segment, height, length, first in zip(tracks, segments, heights, lengths, firsts, strict=True):
-                gain = loss = 0.0
-                if part != (track, segment):
-                    part, ref = (track, segment), height
-                elif first is not None and length > 0:
-                    if height is None or ref is None or math.isnan(height):
-                        ref = height
-                    elif height - ref > threshold:
-                        gain, ref = height - ref, height
-                    elif ref - height > threshold:
-                        loss, ref = ref - height, height
-                gains.append(gain), losses.append(loss)
-            columns = [*(batch.column(c) for c in kept), pa.array(gains, pa.float64()), pa.array(losses, pa.float64())]
+            heights = pc.fill_null(batch.column("ele"), math.nan).to_numpy(zero_copy_only=False)
+            first = batch.column("prev_lat").is_null().to_numpy(zero_copy_only=False)
+            walked = batch.column("leg_m").to_numpy(zero_copy_only=False) > 0
+            change = np.zeros(len(first))
+            starts = np.unique(np.append(np.flatnonzero(first), 0)).tolist() if len(first) else []
+            for a, b in zip(starts, [*starts[1:], len(first)], strict=True):
+                ref = heights[a] if first[a] else ref
+                at = a + np.flatnonzero(walked[a:b])
+                change[at], ref = _commits(heights[at], ref, threshold)
+            columns = [*(batch.column(c) for c in kept), pa.array(np.maximum(change, 0.0)), pa.array(np.maximum(-change, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "gain", "loss"])
 
     ordered = on_axis.select(*kept).repartition("track_id").sortWithinPartitions("track_id", "segment_idx", "point_idx")

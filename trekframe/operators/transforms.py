@@ -80,7 +80,7 @@ def from_waypoints(waypoints: DataFrame, spacing_m: float = 25.0, closed: bool =
 
 def thin(points: DataFrame, spacing_m: float = 30.0) -> DataFrame:
     """Of every segment the first and last point and each at which the distance since the last kept one reaches the
-    spacing.  Rows flow by in order; only a running distance is held."""
+    spacing.  Rows flow by in order; only a running distance is held, and a search finds the next point to keep."""
     if spacing_m <= 0:
         raise ValueError("the spacing must be positive")
     marked = located(points).withColumn("_last", F.lead("point_idx").over(in_segment()).isNull())
@@ -89,12 +89,17 @@ def thin(points: DataFrame, spacing_m: float = 30.0) -> DataFrame:
     def run(batches):
         gone = 0.0
         for batch in batches:
-            keep = []
-            for length, last, before in zip(*(batch.column(c).to_pylist() for c in ("leg_m", "_last", "prev_lat")), strict=True):
-                gone = 0.0 if before is None else gone + length
-                taken = before is None or last or gone >= spacing_m
-                gone = 0.0 if taken else gone
-                keep.append(taken)
+            first = batch.column("prev_lat").is_null().to_numpy(zero_copy_only=False)
+            keep = first | batch.column("_last").to_numpy(zero_copy_only=False)
+            lengths = batch.column("leg_m").to_numpy(zero_copy_only=False)
+            starts = np.unique(np.append(np.flatnonzero(first), 0)).tolist() if len(first) else []
+            for a, b in zip(starts, [*starts[1:], len(first)], strict=True):
+                run_m = np.cumsum(lengths[a:b])
+                kept_at = run_m[0] if first[a] else -gone
+                while (i := int(np.searchsorted(run_m, kept_at + spacing_m))) < b - a:
+                    keep[a + i] = True
+                    kept_at = run_m[i]
+                gone = run_m[-1] - kept_at
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return ordered.mapInArrow(run, ordered.schema).select(*points.columns)

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import geodesy as geo
 from ..functions import scalars as sc
 from ..operators import dem, flyover, framing, geojson, sampling, transforms
+from ..operators import profile as prof
 from ..operators import tracks
 from ..sources import catalog, gpx
 from ..sources.derived import surface_tiles
 from . import sql
 from .queries import ORACLE_SQL, QUERIES, WITH_STATS, query, r, rounded
 
+
+
+def _case(value: str, table: dict[str, str]) -> str:
+    """SQL that looks a value up."""
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
 # Sampling: every track at its 21 twentieths.
 
 _STRETCHES = f"""
@@ -79,9 +87,36 @@ def _flight(points: DataFrame) -> DataFrame:
     return _sampled(points, "flight")
 
 
+@query("sample_fractions", _twentieths("walk"))
+def _fractions(points: DataFrame) -> DataFrame:
+    """The same places as in sample_walk, asked for by shares of the way."""
+    known = sampling.stretches(points)
+    asked = points.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0), F.lit(20)).cast("array<bigint>")).alias("k"))
+    found = sampling.sample_fractions(known, asked.withColumn("fraction", (F.col("k") + 0.37) / 21))
+    places = {"lat": 7, "lon": 7, "ele": 3, "walked_m": 2, "bearing": 3}
+    return found.select("track_id", "k", *(F.round(c, n).alias(c) for c, n in places.items()), "segment_idx")
+
+
 # Transforms.
 
 
+@query(
+    "valid_points",
+    f"""WITH {sql.POINTS} SELECT track_id, segment_idx, point_idx, {r('lat', 'lon', places=7)} FROM points
+      WHERE point_idx % 11 NOT IN (2, 3, 5, 7)""",
+)
+def _valid(points: DataFrame) -> DataFrame:
+    """Positions past a pole, past the date line, without a number or missing are left out."""
+    turn = F.col("point_idx") % 11
+    odd = points.withColumns(
+        {
+            "lat": F.when(turn == 2, F.lit(90.5)).when(turn == 3, F.lit(float("nan"))).otherwise(F.col("lat")),
+            "lon": F.when(turn == 5, F.lit(-180.5)).when(turn != 7, F.col("lon")),
+        }
+    )
+    return rounded(tracks.valid_points(odd).select("track_id", "segment_idx", "point_idx", "lat", "lon"), 7)
+
+
 @query(
     "reverse_tracks",
     f"""WITH {sql.POINTS} SELECT track_id, CAST(max(segment_idx) OVER t - segment_idx AS INTEGER) AS segment_idx, CAST(max(point_idx) OVER s - point_idx AS INTEGER) AS point_idx,
@@ -122,6 +157,25 @@ def _densify(points: DataFrame) -> DataFrame:
     return rounded(transforms.densify(points).drop("hacc_m"), 7).withColumn("ele", F.round("ele", 6))
 
 
+#: The first points of a track's segments, and the first of them again, as the points of one segment.
+_STOPS = sql.LEGS.replace("points AS (", "recorded AS (", 1).replace(
+    sql.POINTS.replace("points AS (", "recorded AS (", 1),
+    sql.POINTS.replace("points AS (", "recorded AS (", 1)
+    + """, points AS (
+  SELECT track_id, 0 AS segment_idx, segment_idx AS point_idx, lat, lon, ele, time_ms FROM recorded WHERE point_idx = 0
+  UNION ALL
+  SELECT track_id, 0, max(segment_idx) + 1, arg_min(lat, segment_idx), arg_min(lon, segment_idx), arg_min_null(ele, segment_idx), NULL
+  FROM recorded WHERE point_idx = 0 GROUP BY track_id HAVING count(*) > 1)""",
+    1,
+)
+
+
+@query("closed_loops", f"WITH {_STOPS}, {DENSE_SQL} SELECT track_id, segment_idx, point_idx, {r('lat', 'lon', places=7)}, time_ms FROM dense")
+def _closed(points: DataFrame) -> DataFrame:
+    """One densified segment through the first points of the segments and back to the first."""
+    return rounded(transforms.from_waypoints(_waypoints(points), closed=True).drop("hacc_m", "ele"), 7)
+
+
 THIN_SQL = """
 folded AS (
   SELECT track_id, segment_idx, list_reduce(list({'acc': leg_m, 'last': last, 'p': point_idx, 'out': [point_idx]} ORDER BY point_idx), lambda a, x: {
@@ -230,26 +284,33 @@ def _report(points: DataFrame) -> DataFrame:
     return dem.fill_report(points, dem.fill(points, _tiles_for(points)))
 
 
-# GeoJSON: coordinates are compared as numbers, the text's form is tested apart.
+# GeoJSON: coordinates are compared as numbers, each with its place; the text's form is tested apart.
+
+_SUMS = """round(sum(round_even(lon, 6)), 3) AS lon_sum, round(sum(round_even(lat, 6)), 3) AS lat_sum,
+         round(sum(i * (round_even(lon, 6) + 2 * round_even(lat, 6))), 2) AS in_order"""
 
 
 @query(
     "geojson_tracks",
-    f"""WITH {sql.POINTS} SELECT track_id, count(DISTINCT segment_idx) AS n_lines, count(*) AS n_coordinates, round(sum(round_even(lon, 6)), 3) AS lon_sum, round(sum(round_even(lat, 6)), 3) AS lat_sum
-      FROM points GROUP BY track_id""",
+    f"""WITH {sql.POINTS} SELECT track_id, count(DISTINCT segment_idx) AS n_lines, count(*) AS n_coordinates, {_SUMS}
+      FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY segment_idx, point_idx) AS i FROM points) GROUP BY track_id""",
 )
 def _geojson(points: DataFrame) -> DataFrame:
     return _geojson_digest(geojson.encode(points))
 
 
 def _geojson_digest(found: DataFrame) -> DataFrame:
-    """Numbers of lines and coordinates, and their sums, read back from the text."""
+    """Numbers of lines and coordinates, and their sums (in_order: each times its place), read back from the text."""
     multi = F.get_json_object("geojson", "$.geometry.type") == "MultiLineString"
     inner = F.get_json_object("geojson", "$.geometry.coordinates")
     lines = F.from_json(F.when(multi, inner).otherwise(F.concat(F.lit("["), inner, F.lit("]"))), "array<array<array<double>>>")
     flat = found.withColumn("lines", lines).withColumn("c", F.flatten("lines"))
     total = lambda k: F.round(F.aggregate(F.col("c"), F.lit(0.0), lambda a, x: a + x[k]), 3)
-    return flat.select("track_id", F.size("lines").cast("long").alias("n_lines"), F.size("c").cast("long").alias("n_coordinates"), total(0).alias("lon_sum"), total(1).alias("lat_sum"))
+    weighed = F.transform(F.col("c"), lambda x, i: (i + 1) * (x[0] + 2 * x[1]))
+    return flat.select(
+        "track_id", F.size("lines").cast("long").alias("n_lines"), F.size("c").cast("long").alias("n_coordinates"), total(0).alias("lon_sum"), total(1).alias("lat_sum"),
+        F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 2).alias("in_order"),
+    )
 
 
 _CUT_LAT, _CUT_LON = sql.slerp("t", "prev_lat", "prev_lon", "lat", "lon")
@@ -258,7 +319,7 @@ budgets AS (
   SELECT *, max(cum_end_m) OVER (PARTITION BY track_id) * 0.613::DOUBLE AS budget, min(cum_start_m) OVER s AS part_start, max(cum_end_m) OVER s AS part_end
   FROM axis WINDOW s AS (PARTITION BY track_id, segment_idx)),
 shown AS (
-  SELECT track_id, segment_idx, part_end <= budget AS whole, count(*) OVER (PARTITION BY track_id, segment_idx) AS n,
+  SELECT track_id, segment_idx, point_idx, part_end <= budget AS whole, count(*) OVER (PARTITION BY track_id, segment_idx) AS n,
          CASE WHEN part_end <= budget OR prev_lat IS NULL THEN lat ELSE {_CUT_LAT} END AS lat, CASE WHEN part_end <= budget OR prev_lat IS NULL THEN lon ELSE {_CUT_LON} END AS lon
   FROM (SELECT *, CASE WHEN leg_m > 0 THEN least(1, (budget - cum_start_m) / leg_m) ELSE 1 END AS t FROM budgets)
   WHERE budget > 0 AND part_start < budget AND (part_end <= budget OR prev_lat IS NULL OR (leg_m > 0 AND cum_start_m < budget)))"""
@@ -266,13 +327,22 @@ shown AS (
 
 @query(
     "geojson_reveal",
-    f"""WITH {sql.LEGS}, {REVEAL_SQL} SELECT track_id, count(DISTINCT segment_idx) AS n_lines, count(*) AS n_coordinates, round(sum(round_even(lon, 6)), 3) AS lon_sum, round(sum(round_even(lat, 6)), 3) AS lat_sum
-      FROM shown WHERE whole OR n > 1 GROUP BY track_id""",
+    f"""WITH {sql.LEGS}, {REVEAL_SQL} SELECT track_id, count(DISTINCT segment_idx) AS n_lines, count(*) AS n_coordinates, {_SUMS}
+      FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY segment_idx, point_idx) AS i FROM shown WHERE whole OR n > 1) GROUP BY track_id""",
 )
 def _reveal(points: DataFrame) -> DataFrame:
     return _geojson_digest(geojson.encode(points, 0.613))
 
 
+@query(
+    "geojson_thinned",
+    f"""WITH {sql.LEGS}, {THIN_SQL} SELECT track_id, count(DISTINCT segment_idx) AS n_lines, count(*) AS n_coordinates, {_SUMS}
+      FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY segment_idx, point_idx) AS i FROM thinned) GROUP BY track_id""",
+)
+def _thinned_feature(points: DataFrame) -> DataFrame:
+    return _geojson_digest(geojson.encode_thinned(points, 1.0, 200.0))
+
+
 _PAIRS = f"""
 pairs AS (
   SELECT track_id, segment_idx, point_idx, lat, lon, ele, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon, lag(ele) OVER w AS p_ele
@@ -283,10 +353,18 @@ graded AS (SELECT *, round(CASE WHEN distance >= 100 THEN (ele - p_ele) / distan
 
 @query(
     "geojson_gradients",
-    f"""WITH {sql.LEGS}, {THIN_SQL}, {_PAIRS} SELECT track_id, {sql.band('grade')} AS band, count(*) AS n FROM graded GROUP BY ALL""",
+    f"""WITH {sql.LEGS}, {THIN_SQL}, {_PAIRS} SELECT track_id, segment_idx, point_idx, {sql.band('grade')} AS band, {_case(sql.band('grade'), {b[0]: b[2] for b in sc.BANDS})} AS color,
+      round_even(p_lon, 6) AS from_lon, round_even(p_lat, 6) AS from_lat, round_even(lon, 6) AS to_lon, round_even(lat, 6) AS to_lat FROM graded""",
 )
 def _gradients(points: DataFrame) -> DataFrame:
-    return geojson.gradient_features(points, 200.0).groupBy("track_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    """The features read back from their texts."""
+    shape = "struct<properties:struct<band:string,color:string>,geometry:struct<coordinates:array<array<double>>>>"
+    found = geojson.gradient_features(points, 200.0).select("track_id", "segment_idx", "point_idx", F.from_json("geojson", shape).alias("f"))
+    at = lambda i, k: F.col("f.geometry.coordinates")[i][k]
+    return found.select(
+        "track_id", "segment_idx", "point_idx", "f.properties.band", "f.properties.color",
+        at(0, 0).alias("from_lon"), at(0, 1).alias("from_lat"), at(1, 0).alias("to_lon"), at(1, 1).alias("to_lat"),
+    )
 
 
 def _waypoints(points: DataFrame) -> DataFrame:
@@ -334,13 +412,48 @@ bodies AS (
     || CASE WHEN ele IS NULL THEN '' ELSE '        <ele>' || CAST(round(CAST(CAST(ele AS VARCHAR) AS DECIMAL(18, 9)), 2) AS DECIMAL(18, 2)) || '</ele>' || chr(10) END
     || '        <time>' || {_ISO} || '</time>' || chr(10) || '      </trkpt>' || chr(10), '' ORDER BY point_idx) || '    </trkseg>' || chr(10) AS body
   FROM points GROUP BY track_id, segment_idx)
-SELECT track_id, md5(string_agg(body, '' ORDER BY segment_idx)) AS segments_md5 FROM bodies GROUP BY track_id"""
+SELECT track_id, md5(string_agg(body, '' ORDER BY segment_idx)) AS segments_md5,
+  md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<gpx version="1.1" creator="trekframe" xmlns="http://www.topografix.com/GPX/1/1" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
+    || 'xsi:schemaLocation="http://www.topografix.com/GPX/1/1 http://www.topografix.com/GPX/1/1/gpx.xsd">' || chr(10)
+    || '  <metadata>' || chr(10) || '    <name>Way &amp; ' || track_id || '</name>' || chr(10) || '    <desc>&lt;made&gt;</desc>' || chr(10) || '  </metadata>' || chr(10)
+    || '  <trk>' || chr(10) || '    <name>Way &amp; ' || track_id || '</name>' || chr(10) || string_agg(body, '' ORDER BY segment_idx) || '  </trk>' || chr(10) || '</gpx>' || chr(10)) AS whole_md5
+FROM bodies GROUP BY track_id"""
 
 
 @query("gpx_write", GPX_SQL)
 def _gpx_write(points: DataFrame) -> DataFrame:
     inner = F.regexp_extract("xml", r"(?s)</name>\n(    <trkseg>.*</trkseg>\n)  </trk>", 1)
-    return gpx.write_gpx(points).select("track_id", F.md5(inner).alias("segments_md5"))
+    names = points.select("track_id").distinct().select("track_id", F.concat(F.lit("Way & "), "track_id").alias("name"), F.lit("<made>").alias("description"))
+    return gpx.write_gpx(points, names).select("track_id", F.md5(inner).alias("segments_md5"), F.md5("xml").alias("whole_md5"))
+
+
+def _gpx_texts(points: DataFrame) -> DataFrame:
+    """A document a track in an old version with a prefix, capitals, a loose point, points that cannot be used, an empty
+    segment and a route, as ISO-8859-1 bytes."""
+    place = lambda tag: F.format_string(f"<g:{tag} lat='%.7f' lon='%.7f'/>", F.col("lat"), F.col("lon"))
+    at = F.struct("point_idx", place("trkpt").alias("text"))
+    first = points.filter("segment_idx = 0").groupBy("track_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["text"]), "<g:trkpt lat='91' lon='0'/><g:trkpt lon='5'/>").alias("inner"),
+        F.min_by(place("TRKPT"), "point_idx").alias("loose"), F.max_by(place("rtept"), "point_idx").alias("route"),
+    )
+    text = F.concat(
+        F.lit("<?xml version='1.0' encoding='ISO-8859-1'?><g:gpx version='1.0' xmlns:g='http://www.topografix.com/GPX/1/0'><g:rte>"), "route",
+        F.lit("</g:rte><g:TRK><g:name> H\u00f6he "), "track_id", F.lit(" </g:name>"), "loose", F.lit("<g:trkseg>"), "inner", F.lit("</g:trkseg><g:trkseg/></g:TRK></g:gpx>"),
+    )
+    return first.select(F.col("track_id").alias("path"), F.encode(text, "ISO-8859-1").alias("content"))
+
+
+@query(
+    "gpx_documents",
+    f"""WITH {sql.POINTS}, firsts AS (SELECT * FROM points WHERE segment_idx = 0)
+      SELECT track_id, 'H\u00f6he ' || track_id AS name, 0::INTEGER AS segment_idx, point_idx, {r('lat', 'lon', places=7)} FROM firsts
+      UNION ALL SELECT track_id, 'H\u00f6he ' || track_id, 1, 0, {r('lat', 'lon', places=7)} FROM firsts WHERE point_idx = 0
+      UNION ALL SELECT track_id, 'H\u00f6he ' || track_id, 2, 0, round(arg_max(lat, point_idx), 7), round(arg_max(lon, point_idx), 7) FROM firsts GROUP BY track_id""",
+)
+def _gpx_documents(points: DataFrame) -> DataFrame:
+    found = gpx.read_gpx(_gpx_texts(points))
+    named = found["points"].join(found["documents"].select("track_id", "name"), "track_id")
+    return rounded(named.select("track_id", "name", "segment_idx", "point_idx", "lat", "lon"), 7)
 
 
 @query(
@@ -387,6 +500,52 @@ def _geodesy(points: DataFrame) -> DataFrame:
     return shown.select("track_id", "segment_idx", "point_idx", "sphere_m", "local_m", F.round("b.lat", 6).alias("back_lat"), F.round("b.lon", 6).alias("back_lon"))
 
 
+_DEVIATION = f"""
+triples AS (
+  SELECT track_id, segment_idx, point_idx, lat AS c_lat, lon AS c_lon, lag(lat) OVER w AS a_lat, lag(lon) OVER w AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon
+  FROM points WINDOW w AS (PARTITION BY track_id, segment_idx ORDER BY point_idx)),
+planes AS (SELECT *, (a_lat + b_lat + c_lat) / 3 AS mid FROM triples WHERE a_lat IS NOT NULL AND b_lat IS NOT NULL),
+metric AS (
+  SELECT *, (b_lon - a_lon) * {_MPD_LON.format(x='mid')} AS qx, (b_lat - a_lat) * {_MPD_LAT.format(x='mid')} AS qy,
+         (c_lon - a_lon) * {_MPD_LON.format(x='mid')} AS px, (c_lat - a_lat) * {_MPD_LAT.format(x='mid')} AS py FROM planes),
+along AS (SELECT *, CASE WHEN qx * qx + qy * qy = 0 THEN 0 ELSE greatest(0, least(1, (px * qx + py * qy) / (qx * qx + qy * qy))) END AS t FROM metric)"""
+
+
+@query(
+    "point_deviations",
+    f"""WITH {sql.POINTS}, {_DEVIATION} SELECT track_id, segment_idx, point_idx, round(sqrt(power(px - qx * t, 2) + power(py - qy * t, 2)), 4) AS metres, round(t, 6) AS fraction FROM along""",
+)
+def _deviations(points: DataFrame) -> DataFrame:
+    """How far each point lies from the line between its neighbours."""
+    order = tracks.in_segment()
+    around = points.select("*", *(f(c).over(order).alias(f"{k}_{c}") for k, f in (("a", F.lag), ("b", F.lead)) for c in ("lat", "lon")))
+    off = geo.local_deviation(*((F.col(f"{k}lat"), F.col(f"{k}lon")) for k in ("a_", "b_", "")))
+    found = around.filter("a_lat is not null and b_lat is not null").select("track_id", "segment_idx", "point_idx", off.alias("d"))
+    return found.select("track_id", "segment_idx", "point_idx", F.round("d.metres", 4).alias("metres"), F.round("d.fraction", 6).alias("fraction"))
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and small rules of the interface."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    price, quantity = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
+    grade, part = quantity * 0.73 - 17.31, F.col("l_discount").cast("double") * 10
+    millis = F.lit(1_704_067_200_000) + (F.col("l_orderkey") * 7919 % 31_536_000) * 1000
+    return line.select(
+        "l_orderkey", "l_linenumber",
+        sc.format_gradient(grade).alias("gradient"),
+        sc.band_label(sc.gradient_band(grade)).alias("band"),
+        sc.difficulty_label(sc.difficulty(price, quantity * 10)).alias("difficulty"),
+        sc.format_clock(millis).alias("clock"), sc.format_date(millis).alias("day"),
+        F.round(geo.normalize_longitude_delta(price / 50.0 - 900.0), 6).alias("delta"),
+        prof.index_at(part, F.lit(239)).alias("chart_idx"),
+        F.round(flyover.reveal_step(F.col("l_orderkey") * 11), 9).alias("step"),
+        flyover.playback_start(F.col("l_linenumber") == 1, F.col("l_orderkey"), F.lit(900)).alias("starts_at"),
+    )
+
+
+QUERIES["label_forms"] = _forms
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     metres, turn = F.col("l_extendedprice").cast("double"), F.col("l_extendedprice").cast("double") / 50.0 - 900.0
@@ -427,6 +586,16 @@ ORACLE_SQL["scalar_functions"] = f"""SELECT l_orderkey, l_linenumber, round(grea
   FROM lineitem"""
 
 
+_GRADE, _MS = "(l_quantity::DOUBLE * 0.73::DOUBLE - 17.31::DOUBLE)", "make_timestamp((1704067200000 + (l_orderkey * 7919 % 31536000) * 1000) * 1000)"
+_LEVEL = sql.difficulty(_P, "(l_quantity::DOUBLE * 10)")
+ORACLE_SQL["label_forms"] = f"""SELECT l_orderkey, l_linenumber, printf('%+.0f%%', {_GRADE}) AS gradient, {_case(sql.band(_GRADE), {b[0]: b[1] for b in sc.BANDS})} AS band,
+  upper({_LEVEL}[1]) || lower({_LEVEL}[2:]) AS difficulty, strftime({_MS}, '%H:%M') AS clock, strftime({_MS}, '%-d %b %Y') AS day,
+  round(CASE WHEN {_TURN} BETWEEN -180 AND 180 THEN {_TURN} ELSE 180 - {_MOD.format(x=f'(180 - {_TURN})')} END, 6) AS delta,
+  CAST(greatest(0, least(239, floor({_T} * 239 + 0.5::DOUBLE))) AS INTEGER) AS chart_idx,
+  round(CASE WHEN l_orderkey * 11 > 50000 THEN 0.02::DOUBLE WHEN l_orderkey * 11 > 10000 THEN 0.01::DOUBLE ELSE 1 / 300::DOUBLE END, 9) AS step,
+  CAST(CASE WHEN l_linenumber = 1 OR l_orderkey >= 900 THEN 0 ELSE l_orderkey END AS BIGINT) AS starts_at FROM lineitem"""
+
+
 @query(
     "format_labels",
     f"""{WITH_STATS} SELECT track_id,

@@ -4,7 +4,7 @@ POINTS = (
     "track_id string, segment_idx int, point_idx int, lat double, lon double, ele double, time_ms long, hacc_m double"
 )
 WAYPOINTS = "track_id string, wpt_idx int, name string, lat double, lon double, ele double, time_ms long"
-GPX_FILES = "path string, xml string"
+GPX_FILES, GPX_CONTENTS = "path string, xml string", "path string, content binary"
 DEM_TILES = "zoom int, x int, y int, pixels array<int>"
 ROUTES = (
     "id string, name string, created_at_ms long, distance_m double, gain_m double, loss_m double, point_count long, "

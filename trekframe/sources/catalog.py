@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import DIFFICULTIES
 from ..operators.tracks import route_analysis
 from ..schema import POINTS, ROUTES
+from .gpx import write_gpx
 
 DEFAULT_NAME = "Unnamed route"
 
@@ -32,7 +33,8 @@ def listed(routes: DataFrame) -> DataFrame:
 
 class RouteLibrary:
     """Routes in a folder: ``routes`` holds summaries, ``points`` the points in buckets of their ids, so that reading one
-    route reads one bucket.  A removal is a marker in ``removed``, so nothing is rewritten and a lost task loses nothing."""
+    route reads one bucket.  A removal is a marker in ``removed``, so nothing is rewritten and a lost task loses nothing.
+    Every save gives its tracks new ids, so the same track may be saved, removed and saved again."""
 
     BUCKETS = 64
 
@@ -49,11 +51,16 @@ class RouteLibrary:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(full)
 
-    def save(self, points: DataFrame, names: Column, created_at_ms: Column) -> None:
-        """Adds tracks; tracks without points cannot occur in a table of points."""
-        bucketed = points.withColumn("bucket", self._bucket(F.col("track_id")))
+    def save(self, points: DataFrame, names: Column, created_at_ms: Column) -> str:
+        """Adds tracks; tracks without points cannot occur in a table of points.  Returns what the new ids end in: a
+        track's is its track_id, ``-`` and this."""
+        ending = self.new_id()
+        routes = summaries(points, names, created_at_ms).withColumn("id", F.concat("id", F.lit(f"-{ending}")))
+        saved = points.withColumn("track_id", F.concat("track_id", F.lit(f"-{ending}")))
+        bucketed = saved.withColumn("bucket", self._bucket(F.col("track_id")))
         bucketed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/points")
-        summaries(points, names, created_at_ms).write.mode("append").parquet(f"{self.path}/routes")
+        routes.write.mode("append").parquet(f"{self.path}/routes")
+        return ending
 
     def list(self) -> DataFrame:
         gone = self._read("removed", "id string")
@@ -64,6 +71,12 @@ class RouteLibrary:
         bucket = self.spark.range(1).select(self._bucket(F.lit(track_id))).first()[0]
         return mine.filter(F.col("bucket") == bucket).drop("bucket").join(self._read("removed", "id string").select(F.col("id").alias("track_id")), "track_id", "left_anti")
 
+    def gpx(self, track_id: str) -> DataFrame:
+        """track_id and xml: a saved route as a GPX document with its name; no row where there is none."""
+        named = self._read("routes", ROUTES).filter(F.col("id") == track_id)
+        documents = named.select(F.col("id").alias("track_id"), "name", F.lit(None).cast("string").alias("description"))
+        return write_gpx(self.load(track_id), documents)
+
     def delete(self, track_id: str) -> None:
         """Removing what is not there does nothing."""
         self.spark.createDataFrame([(track_id,)], "id string").write.mode("append").parquet(f"{self.path}/removed")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_time, parse_time
-from ..schema import GPX_FILES
+from ..schema import GPX_CONTENTS
 
 
 class GpxError(ValueError):
@@ -19,10 +19,9 @@ class GpxError(ValueError):
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """gpx_files (path, xml): each file whole in a row."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml")).to(
-        spark.createDataFrame([], GPX_FILES).schema
-    )
+    """Files (path, content), each whole in a row as bytes, so that it is read in the encoding it declares."""
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    return found.to(spark.createDataFrame([], GPX_CONTENTS).schema)
 
 
 def _name(node: ET.Element) -> str:
@@ -60,18 +59,28 @@ def _points(node: ET.Element, name: str) -> list[tuple]:
     return [p for p in map(_point, _children(node, name)) if p]
 
 
-def parse(xml: str) -> dict:
+class _Builder(ET.TreeBuilder):
+    """Builds trees of documents without a document type."""
+
+    def doctype(self, name, pubid, system):
+        raise GpxError("document types are refused")
+
+
+def parse(xml: str | bytes) -> dict:
     """name, description, segments (lists of points) and waypoints (name, point) of a document.
 
     Element names are matched without regard to case and namespace.  Segments: of each track its segments, then its
-    loose points; all routes after all tracks; empty ones vanish.  Raises GpxError for anything but well-formed GPX
-    without a document type.
+    loose points; all routes after all tracks; empty ones vanish.  Bytes are read in the encoding that they declare
+    or begin with; what a text declares is passed over.  Raises GpxError for anything but well-formed GPX without a
+    document type.
     """
-    if re.search(r"<!DOCTYPE|<!ENTITY", xml, re.IGNORECASE):
-        raise GpxError("document types are refused")
+    if isinstance(xml, str):
+        xml = re.sub(r"^\s*<\?xml[^>]*\?>", "", xml.lstrip("\ufeff")).encode("utf-8")
     try:
-        root = ET.fromstring(xml.lstrip("﻿ \t\r\n").encode("utf-8") if "encoding=" not in xml[:100].lower() else re.sub(r"^\s*<\?xml[^>]*\?>", "", xml.lstrip("﻿")))
-    except ET.ParseError as e:
+        root = ET.XML(bytes(xml).lstrip(b" \t\r\n"), ET.XMLParser(target=_Builder()))
+    except (ET.ParseError, LookupError, ValueError) as e:
+        if isinstance(e, GpxError):
+            raise
         raise GpxError(f"not well-formed: {e}") from e
     if _name(root) != "gpx":
         raise GpxError(f"the root is {_name(root)}, not gpx")
@@ -96,14 +105,15 @@ _ROW = (
 
 
 def _parsed(files: DataFrame) -> DataFrame:
-    """Rows of kind document, point, waypoint and error of gpx_files."""
+    """Rows of kind document, point, waypoint and error of files: (path, content) or (path, xml)."""
+    column = "content" if "content" in files.columns else "xml"
 
     def run(frames):
         for frame in frames:
             out = []
-            for path, xml in zip(frame["path"], frame["xml"], strict=True):
+            for path, xml in zip(frame["path"], frame[column], strict=True):
                 try:
-                    found = parse(xml or "")
+                    found = parse("" if xml is None else xml)
                 except GpxError as e:
                     out.append((path, "error", 0, 0, None, None, None, None, None, None, str(e)))
                     continue
@@ -114,11 +124,12 @@ def _parsed(files: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in _ROW.split(", ")]
             yield pd.DataFrame(out, columns=names)
 
-    return files.mapInPandas(run, _ROW)
+    return files.select("path", column).mapInPandas(run, _ROW)
 
 
 def read_gpx(files: DataFrame) -> dict[str, DataFrame]:
-    """points, waypoints, documents (track_id, name, description) and errors (track_id, error) of gpx_files."""
+    """points, waypoints, documents (track_id, name, description) and errors (track_id, error) of files: (path, content)
+    as of read_files, or (path, xml)."""
     rows = _parsed(files)
     time = parse_time(F.col("time")).alias("time_ms")
     finite = F.when(~F.isnan("ele"), F.col("ele")).alias("ele")
