@@ -212,6 +212,28 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     return each.select("doc.*")
 
 
+def op8_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets alone, as SQL can state them: of every document of the mix."""
+    return op8_entropy_balance(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM d GROUP BY source),
+filling AS (
+  SELECT *, 2 * source_size / weight AS full_at,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources),
+found AS (SELECT min_by(level, full_at) AS level FROM filling WHERE level <= full_at)
+SELECT doc_id, size, source_size, round(least(2 * source_size, coalesce((SELECT level FROM found), 1e300) * weight), 4) AS target
+FROM d JOIN sources ON d.source IS NOT DISTINCT FROM sources.source
+"""
+
+
 def op8_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

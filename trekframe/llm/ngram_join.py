@@ -412,7 +412,10 @@ class Join:
         filled = self.sets.filter("n > 0 and doc_id is not null")
         first = F.min(F.struct("doc_id", "row"))
         self.classes = written(filled.groupBy("key").agg(first.alias("first")).select("key", "first.*"), "classes")
-        own = filled.join(self.classes.select("row"), "row", "left_semi")
+        # Rows of other texts of a class are few; only those that hit a bitmap of them go through the exact join.
+        others = filled.select("row").join(self.classes.select("row"), "row", "left_anti")
+        hit = passes(self.spark, id_filter(others, "row"), "row")
+        own = filled.filter(~hit).union(filled.filter(hit).join(self.classes.select("row"), "row", "left_semi").select(*filled.columns))
         self.reps = written(own.select(F.col("doc_id").alias("rep"), "n", "mins", "brief", "bits", "firsts"), "class-sets")
         wide, self.sets = self.sets, written(self.sets.select("doc_id", "n", "key"), "set-keys")
         drop(wide)
@@ -576,4 +579,26 @@ def op3_tiled_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-__all__ = ["Rule", "bitmap", "near_duplicates", "one_of_each", "op3_tiled_jaccard", "overlap_bound", "shingle_sets"]
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingles
+  FROM d),
+x AS (SELECT r, doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s WHERE doc_id IS NOT NULL),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x AS a JOIN x AS b ON a.shingle = b.shingle AND a.r <> b.r
+  GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached(id, other) AS (
+  SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL
+  UNION
+  SELECT links.v, reached.other FROM reached JOIN links ON links.u = reached.id),
+least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, component_id FROM s LEFT JOIN least ON s.doc_id = least.id
+"""
+
+__all__ = ["OP3_SQL", "Rule", "bitmap", "near_duplicates", "one_of_each", "op3_tiled_jaccard", "overlap_bound", "shingle_sets"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_patricia_owners
 from .language_id import op5_nearest_centroid
 from .lm_scoring import OP9_SQL, TRIGRAM_SQL, WHOLE_SQL, op9_stupid_backoff, op9_whole_backoff, op9_whole_trigrams
-from .mixing import op8_entropy_balance
-from .ngram_join import op3_tiled_jaccard
+from .mixing import TARGETS_SQL, op8_entropy_balance, op8_targets
+from .ngram_join import OP3_SQL, op3_tiled_jaccard
 from .packing import op2_min_bin_slack
 from .quality_rules import op4_decision_list
 from .sharding import op1_consistent_ring
@@ -22,6 +22,7 @@ QUERIES = {
     "op6_patricia_owners": op6_patricia_owners,
     "op7_best_fit_matrix": op7_best_fit_matrix,
     "op8_entropy_balance": op8_entropy_balance,
+    "op8_targets": op8_targets,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op9_whole_backoff": op9_whole_backoff,
     "op9_whole_trigrams": op9_whole_trigrams,
@@ -29,6 +30,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_tiled_jaccard": OP3_SQL,
+    "op8_targets": TARGETS_SQL,
     "op6_patricia_owners": OP6_SQL,
     "op9_stupid_backoff": OP9_SQL,
     "op9_whole_backoff": WHOLE_SQL,

@@ -1,4 +1,12 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir); all but the last return the columns of docs."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir); all but the last return the columns of docs.
+
+Defined results: language ID drops null and empty texts and those without letters, so later stages get none from it; on
+their own, exact dedup keeps one of the empty texts, the near-duplicate stage and the mix drop nothing for being empty but
+the mix takes documents without words no times, and packing gives an empty text its end id.  Rows with a null doc_id are
+kept unless their text is dropped; rows that repeat id and text are one group (exact dedup leaves one).  Texts of any length
+are read whole; an empty table gives an empty result with the same columns; other columns, whatever their names, go through
+all stages but the last, which returns the columns of its pieces.
+"""
 
 from __future__ import annotations
 
