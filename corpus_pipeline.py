@@ -1,4 +1,7 @@
-"""From raw documents to packed sequences, in stages that are each written and read again."""
+"""From raw documents to packed sequences, in stages that are each written and read again.
+
+What nulls, empty and long texts, repeated rows, empty tables and other columns give is said in trekframe/llm/stages.py.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from trekframe.llm.common import written
 from trekframe.llm.stages import STAGES
 
-#: SQL cannot express language identification, near-duplicate components or packing; tests hold it to brute force.
+#: SQL cannot express language identification or packing; tests hold each stage to brute force on what the one before kept
+#: (of language ID only what it must reject and must keep: text without letters, and with them).
 ORACLE_SQL = None
 
 __all__ = ["ORACLE_SQL", "STAGES", "run"]
