@@ -44,8 +44,9 @@ from .ngram_counts import HELD, Sums
 
 #: A tile with more components than this is put off to a round with its shingle last.
 LARGE_TILE = 40
-#: A shingle is a candidate for the end of the first order if one task meets it so often.
-CANDIDATE = 3
+#: A shingle is a candidate for the end of the first order if one task meets it so often, and goes there if the tasks that
+#: do so meet it more often than that together.  Rare shingles first make small tiles, so that few are put off.
+CANDIDATE, COMMON = 2, 8
 #: So is one whose comparisons, or whose rows in a task's memory, would be more than this.
 TILE_WORK, TILE_ROWS = 1 << 25, 1 << 20
 #: Classes of a block of crowded tiles, about.
@@ -118,7 +119,7 @@ def overlap_bound(a: bytes, n: int, b: bytes, m: int) -> int:
 
 
 def common_shingles(documents: DataFrame, size: int) -> np.ndarray:
-    """Shingles of more documents than a tile may have components, ascending; at most ``MOST_MOVED``, the commonest.
+    """Shingles of more than ``COMMON`` documents, ascending; at most ``MOST_MOVED``, the commonest.
 
     Any order of shingles gives the same links, so it does no harm that rare ones are left out task by task.
     """
@@ -139,7 +140,7 @@ def common_shingles(documents: DataFrame, size: int) -> np.ndarray:
         yield counted()
 
     found = documents.select(F.col("text").cast("string")).mapInArrow(lean(run), "key long, n long")
-    often = found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > LARGE_TILE)
+    often = found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON)
     keys = often.orderBy(F.desc("n"), "key").limit(MOST_MOVED).select("key").toArrow().column("key")
     return np.sort(keys.to_numpy().view(np.uint64))
 
