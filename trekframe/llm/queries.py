@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op12_two_tier_bpe
 from .exact_dedup import OP6_SQL, op6_patricia_owners
 from .language_id import op5_nearest_centroid
 from .lm_scoring import OP9_SQL, TRIGRAM_SQL, WHOLE_SQL, op9_stupid_backoff, op9_whole_backoff, op9_whole_trigrams
@@ -9,6 +10,7 @@ from .mixing import TARGETS_SQL, op8_entropy_balance, op8_targets
 from .ngram_join import OP3_SQL, op3_tiled_jaccard
 from .packing import op2_min_bin_slack
 from .quality_rules import op4_decision_list
+from .ranked_search import OP11_SQL, op11_tput_search
 from .sharding import op1_consistent_ring
 from .token_matrix import op7_best_fit_matrix
 from .toxicity import op10_boosted_trees
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_whole_backoff": op9_whole_backoff,
     "op9_whole_trigrams": op9_whole_trigrams,
     "op10_boosted_trees": op10_boosted_trees,
+    "op11_tput_search": op11_tput_search,
+    "op12_two_tier_bpe": op12_two_tier_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_stupid_backoff": OP9_SQL,
     "op9_whole_backoff": WHOLE_SQL,
     "op9_whole_trigrams": TRIGRAM_SQL,
+    "op11_tput_search": OP11_SQL,
 }
