@@ -4,12 +4,15 @@ One pass over the documents writes the postings of the terms that items have, wi
 adds to a score (its impact) is the same for every item, so lists by term, highest impact first, serve all of them.  Then
 three phases for all items at once:
 
-1. The heads of the lists, as many postings as documents are wanted, are summed by item and document.  The last wanted
-   sum is a lower bound: so much is reached by as many documents as are wanted.
-2. That bound over the item's number of lists is one threshold for each of them: a document without a posting at the
-   threshold in any list cannot reach the bound.  All postings from it on are fetched and summed, which gives a better
-   lower bound, and an upper one for each document: its sum, and for each list that it was not met in the threshold, or
-   the list's highest impact if that is less.
+1. The heads of the lists, as many postings as documents are wanted, are summed by item and document.  The documents with
+   the highest sums, ``TRIED`` times as many as are wanted, are looked up in all lists.  The last wanted score of these is a
+   lower bound: so much is reached by as many documents as are wanted.  (Sums of heads alone are a lower bound too, but
+   so low that far more postings are fetched.)
+2. That bound over the item's number of lists, or a whole fraction of it (``SHARE``), is one threshold for each of them: a
+   document without a posting at the threshold in any list cannot reach the bound.  All postings from it on are fetched
+   and summed, which gives a better lower bound, and an upper one for each document: its sum, and for each list that it
+   was not met in the threshold, or the list's highest impact if that is less.  A lower threshold fetches a little more
+   and leaves far fewer documents to look up.
 3. Documents whose upper bound reaches the lower one are looked up in all lists of their item, for exact scores.
 
 Nothing is approximate: impacts are whole numbers and every document that might be among the best is looked up.
@@ -39,6 +42,10 @@ from .common import bounded_batches, drop, id_filter, lean, passes, written
 
 #: Documents of an item that are returned.
 BEST = 50
+#: Documents that are looked up for the first bound, times those that are wanted.
+TRIED = 4
+#: The threshold is the bound over the number of lists and over this.
+SHARE = 4
 #: About so many terms are looked for in one pass over the documents, and are the rows of a table that is broadcast.
 MOST_TERMS = 1 << 18
 #: Bytes of the terms of one pass.
@@ -136,6 +143,13 @@ def _nth(sums: DataFrame, value: str, nth: int, name: str) -> DataFrame:
     return ranked.filter(F.col("_n") == nth).select("item", F.col(value).alias(name))
 
 
+def _scores(lists: DataFrame, wanted: DataFrame, lined: DataFrame, n_asked: int, hit: bytes) -> DataFrame:
+    """item, row and score of the wanted ones, looked up in all lists of their item."""
+    looked_up = wanted.join(_small(lined.select("item", "term"), n_asked), "item")
+    found = lists.filter(passes(lists.sparkSession, hit, "row")).join(looked_up, ["term", "row"])
+    return found.groupBy("item", "row").agg(F.sum("impact").alias("score"))
+
+
 def search(documents: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     """item_id, rank (from 1), doc_id and score of the best documents of each item, scores above 0."""
     spark = documents.sparkSession
@@ -172,16 +186,22 @@ def search(documents: DataFrame, items: DataFrame, best: int = BEST) -> DataFram
     tops = heads.filter("_n = 1").select("term", F.col("impact").alias("top"))
     lined = written(asked.join(terms, "bytes").join(tops, "term").select("item", "term", "top"), "search-lines")
     sums = heads.join(_small(lined, n_asked), "term").groupBy("item", "row").agg(F.sum("impact").alias("seen"))
-    bound = _nth(sums, "seen", best, "bound")
+    first = Window.partitionBy("item").orderBy(F.desc("seen"), "row")
+    tried = sums.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= TRIED * best).select("item", "row")
+    tried = written(tried, "search-tried")
+    bound = _nth(_scores(lists, tried, lined, n_asked, id_filter(tried, "row")), "score", best, "bound")
 
     # Phase 2: one threshold for all lists of an item.  unseen: the most that a posting below it can have.
     per_item = lined.groupBy("item").agg(F.count(F.lit(1)).alias("lists")).join(bound, "item", "left")
     per_item = per_item.select("item", "lists", F.coalesce("bound", F.lit(0)).alias("bound"))
-    below = F.expr("greatest(0L, (bound - 1) div lists)")
-    lines = lined.join(per_item, "item").select("item", "term", "lists", "bound", F.least("top", below).alias("unseen"))
+    below = F.greatest(F.lit(0), F.expr(f"(bound - 1) div (lists * {SHARE})"))
+    lines = lined.join(per_item, "item").select("item", "term", "lists", "bound", below.alias("below"), F.least("top", below).alias("unseen"))
     lines = written(lines, "search-thresholds")
     missed = lines.groupBy("item").agg(F.sum("unseen").alias("all_unseen"), F.max("bound").alias("bound"))
-    fetched = lists.join(_small(lines, n_asked), "term").filter(F.col("impact") * F.col("lists") >= F.col("bound"))
+    # A posting is fetched once for all items and dealt by document; its items are found there, so sums need no other deal.
+    lowest = lines.groupBy("term").agg(F.min("below").alias("lowest"))
+    fetched = lists.join(_small(lowest, n_terms), "term").filter("impact > lowest").select("term", "row", "impact").repartition("row")
+    fetched = fetched.join(_small(lines, n_asked), "term").filter("impact > below")
     met = fetched.groupBy("item", "row").agg(F.sum("impact").alias("seen"), F.sum("unseen").alias("not_missed"))
     met = met.join(_small(missed, n_asked), "item").withColumn("most", F.expr("seen + all_unseen - not_missed")).filter("most >= bound")
     met = written(met.select("item", "row", "seen", "most"), "search-met")
@@ -191,14 +211,13 @@ def search(documents: DataFrame, items: DataFrame, best: int = BEST) -> DataFram
 
     # Phase 3: exact scores of what is left.
     hit = id_filter(candidates, "row")
-    looked_up = candidates.join(_small(lines.select("item", "term"), n_asked), "item")
-    exact = lists.filter(passes(spark, hit, "row")).join(looked_up, ["term", "row"]).groupBy("item", "row").agg(F.sum("impact").alias("score"))
+    exact = _scores(lists, candidates, lined, n_asked, hit)
     own = whole.filter(passes(spark, hit, "row")).select("row", "doc_id")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     ranked = exact.join(own, "row").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     ranked = written(ranked.select("item", "rank", "doc_id", "score"), "search-ranked")
     ids = asked.select("item", "item_id").distinct()
-    drop(terms, postings, lists, heads, lined, lines, met, candidates)
+    drop(terms, postings, lists, heads, tried, lined, lines, met, candidates)
     return ranked.join(_small(ids, n_asked), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
