@@ -12,6 +12,7 @@ from .packing import op2_min_bin_slack
 from .quality_rules import op4_decision_list
 from .ranked_search import OP11_SQL, op11_tput_search
 from .sharding import op1_consistent_ring
+from .spelling import OP13_SQL, op13_trie_variants
 from .token_matrix import op7_best_fit_matrix
 from .toxicity import op10_boosted_trees
 
@@ -31,6 +32,7 @@ QUERIES = {
     "op10_boosted_trees": op10_boosted_trees,
     "op11_tput_search": op11_tput_search,
     "op12_two_tier_bpe": op12_two_tier_bpe,
+    "op13_trie_variants": op13_trie_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -41,4 +43,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_whole_backoff": WHOLE_SQL,
     "op9_whole_trigrams": TRIGRAM_SQL,
     "op11_tput_search": OP11_SQL,
+    "op13_trie_variants": OP13_SQL,
 }
