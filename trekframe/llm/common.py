@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -186,29 +187,8 @@ def slices(texts: pa.Array, max_bytes: int = 1 << 20):
 
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(name: str, base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64, kept by the worker up to 2 MB of text."""
-    kept = _powers.get(name)
-    if kept is None or len(kept) <= n:
-        size = max(n + 1, 1 << 20)
-        kept = np.empty(size, dtype=np.uint64)
-        kept[0] = 1
-        done = 1
-        while done < size:
-            step = np.uint64(pow(base, done, 1 << 64))
-            take = min(done, size - done)
-            kept[done : done + take] = kept[:take] * step
-            done += take
-        if size <= 1 << 20:
-            _powers[name] = kept
-    return kept
+#: Words whose hashes a worker keeps, and the longest of them in bytes.
+MOST_WORDS, LONGEST_KEPT = 300_000, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -218,29 +198,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_places(texts: list[str | None], lower: bool = True) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' bytes (A-Z lower-cased), starts, ends and 64-bit hashes of their words, and where each text's words
-    start (with the end at last).
+class _Hashes(dict):
+    """64-bit hashes of words, by words."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST_KEPT:
+            self[word] = found
+        return found
+
+
+_hashes = _Hashes()
 
-    A word's hash depends on its bytes alone, so equal words of different tasks have equal hashes.
-    """
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    data = b" ".join(raw) + b" "
-    if lower:
-        data = data.translate(_LOWER)
-    a = np.frombuffer(data, dtype=np.uint8)
-    space = _IS_SPACE[a]
-    edges = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edges[0::2], edges[1::2]
-    sums = np.empty(len(a) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((a + np.uint64(1)) * _power_table("power", _BASE, len(a))[: len(a)], dtype=np.uint64, out=sums[1:])
-    words = (sums[ends] - sums[starts]) * _power_table("inverse", _INVERSE, len(a))[starts]
-    words = mix(words ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
-    offsets = np.cumsum([0, *(len(x) + 1 for x in raw)])
-    return data, starts, ends, words, np.searchsorted(starts, offsets)
+
+def words_of(texts: list[str | None], lower: bool = True) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts (A-Z lower-cased) and where each text's words start (with the end at last)."""
+    words: list[bytes] = []
+    bounds = [0]
+    for text in texts:
+        raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+        words += (raw.translate(_LOWER) if lower else raw).split()  # bytes are split at SPACE_CHARS alone
+        bounds.append(len(words))
+    return words, np.array(bounds)
 
 
 def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes and where each text's words start; see word_places()."""
-    return word_places(texts, lower)[3:]
+    """64-bit hashes of all texts' words, and where each text's words start.
+
+    A word's hash depends on its bytes alone, so equal words of different tasks have equal hashes.  It is a cryptographic
+    one, so nobody can write texts whose words collide.
+    """
+    words, bounds = words_of(texts, lower)
+    if len(_hashes) > MOST_WORDS:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)), bounds

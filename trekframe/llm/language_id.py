@@ -114,11 +114,18 @@ class Model:
 
 
 def _sampled(training: DataFrame, most: int) -> DataFrame:
-    """A hashed sample of about ``most`` rows of each language at most."""
-    sizes = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = sizes.select(F.col("lang").alias("_lang"), (F.lit(float(most)) / F.col("n")).alias("share"))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return training.join(F.broadcast(share), F.col("lang") == F.col("_lang")).filter(draw < F.col("share")).select("doc_id", "lang", "text")
+    """lang and text: a hashed sample of about ``most`` distinct texts of each language at most.
+
+    Repeated texts of a language count once, whatever their ids, so neither one id nor one text can fill the sample or
+    empty it.  Only hashes are shuffled until the sample is drawn.
+    """
+    keyed = training.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    keyed = keyed.withColumn("_key", F.xxhash64("text"))
+    keys = keyed.select("lang", "_key").distinct()
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    draw = F.pmod(F.xxhash64(F.lit("language"), "_key"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = keys.join(sizes, "lang").filter(draw < F.lit(float(most)) / F.col("_n")).select("lang", "_key")
+    return keyed.join(F.broadcast(drawn), ["lang", "_key"]).groupBy("lang", "_key").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def fit(documents: DataFrame, learns: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
@@ -138,7 +145,7 @@ def fit(documents: DataFrame, learns: Column, sample: int = SAMPLE, centroids: i
                 ["lang", "places", "counts"],
             )
 
-    rows = _sampled(training, sample).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = _sampled(training, sample)
     vectors = written(rows.mapInArrow(lean(counted), "lang string, places array<int>, counts array<int>"), "language-vectors")
     n = vectors.count()
     idf = np.full(DIMENSIONS, math.log(1 + n) + 1, dtype=np.float32)
@@ -149,7 +156,7 @@ def fit(documents: DataFrame, learns: Column, sample: int = SAMPLE, centroids: i
         dense = np.zeros((len(group), DIMENSIONS), dtype=np.int32)
         for i, (at, found) in enumerate(zip(group["places"], group["counts"], strict=True)):
             dense[i, at] = found
-        order = np.lexsort(dense[:, :64].T)  # the rows' order of arrival must not matter
+        order = sorted(range(len(dense)), key=lambda i: dense[i].tobytes())  # the rows' order of arrival must not matter
         vectors = weighted(dense[order], idf)
         found = spherical_kmeans(vectors, centroids)
         least = float((vectors @ found.T).max(axis=1).min())

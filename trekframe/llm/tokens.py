@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import lean, slices, word_places
+from .common import lean, slices, words_of
 
 #: Fixed value: the splitting pattern for which chunks can be encoded apart.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -121,11 +121,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._encode_whole(texts)
-        data, starts, ends, hashes, bounds = word_places(texts)
-        if not len(starts):
+        words, bounds = words_of(texts)
+        if not words:
             return [b""] * len(texts)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        met = [data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        met = list(dict.fromkeys(words))
+        places = {c: i for i, c in enumerate(met)}
+        which = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
         new = [c for c in met if c not in self.chunks]
         if len(self.chunks) + len(new) > MAX_CHUNKS:  # cleared on addition: everything of this call is new then
             new = met

@@ -194,22 +194,26 @@ def fit(documents: DataFrame, labels: DataFrame, learns: Column, sample: int = S
     """Learns from documents (doc_id, text) with labels (doc_id, toxic) for which ``learns``, a test of doc_id, holds."""
     named = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learns)
     named = named.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Rows that repeat id and text count once, so that a sample is bounded however often an id is met.
+    keyed = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
+    keys = keyed.select("doc_id", "_key").filter(learns).distinct().join(named, "doc_id")
+    sizes = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     rate = positive / (positive + negative) if positive + negative else 0.0
     if not positive or not negative:
         return Toxicity(rate, [])
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = named.filter(draw < F.when(F.col("label") == 1, sample / positive).otherwise(sample / negative))
-    cross = F.pmod(F.xxhash64(F.lit("cross"), "doc_id"), F.lit(FOLDS)).cast("int")
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # 2 * sample rows
-    rows = written(texts.select("doc_id", "label", cross.alias("fold"), F.coalesce("text", F.lit("")).alias("text")), "toxicity-texts")
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id", "_key"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = keys.filter(draw < F.when(F.col("label") == 1, sample / positive).otherwise(sample / negative))
+    cross = F.pmod(F.xxhash64(F.lit("cross"), "doc_id", "_key"), F.lit(FOLDS)).cast("int")
+    texts = keyed.join(F.broadcast(drawn), ["doc_id", "_key"])  # about 2 * sample keys
+    texts = texts.groupBy("doc_id", "_key", "label").agg(F.first("text").alias("text"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "_key"), F.lit(3))
+    rows = written(texts.select("doc_id", "label", cross.alias("fold"), part.alias("part"), "text"), "toxicity-texts")
     *crossing, whole = lexicons(rows)
-    crossed = with_features(rows.select("doc_id", "label", "text", F.col("fold").alias("lexicon")), crossing)
+    crossed = with_features(rows.select("label", "part", "text", F.col("fold").alias("lexicon")), crossing)
     weight = F.when(F.col("label") == 1, max(1.0, positive / sample)).otherwise(max(1.0, negative / sample))
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3))
     ready = written(
-        crossed.select(F.col("label").cast("double"), array_to_vector("features").alias("_vector"), weight.alias("weight"), part.alias("part")).coalesce(4),
+        crossed.select(F.col("label").cast("double"), array_to_vector("features").alias("_vector"), weight.alias("weight"), "part").coalesce(4),
         "toxicity-features",
     )
     booster = GBTClassifier(
