@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import distance, interpolate
 from ..functions.scalars import band_color, gradient_band
-from .tracks import located
+from .sampling import sample, stretches
+from .thinning import spaced
+from .tracks import located, on_axis
 from .transforms import thin
 
 EMPTY_COLLECTION = '{"type":"FeatureCollection","features":[]}'
@@ -76,9 +78,62 @@ def payload(geojson: Column) -> Column:
     return F.when(geojson.contains('"coordinates":[]'), F.lit(EMPTY_COLLECTION)).otherwise(geojson)
 
 
+class Reveal:
+    """Tracks prepared for being revealed again and again: what no fraction changes is found once.
+
+    segments: a row for each segment with its start_m and end_m, its line as text when it is revealed as a whole (text),
+    and the points drawn while it is revealed in part (way: their distances and texts); ends: the stretches in which a
+    reveal can end.  Both are tables, to be written and read again where many requests follow.
+    """
+
+    def __init__(self, segments: DataFrame, ends: DataFrame):
+        self.segments, self.ends = segments, ends
+
+    @classmethod
+    def of(cls, points: DataFrame, spacing_m: float = 0.0) -> Reveal:
+        """spacing_m thins the points that are drawn and nothing else: distances are of all points."""
+        if spacing_m < 0:
+            raise ValueError("the spacing must not be negative")
+        marked = spaced(on_axis(points), spacing_m).withColumn("c", _json(coordinate(F.col("lat"), F.col("lon"))))
+        at = F.col("point_idx").alias("o")
+        # A repeated point draws nothing on the way; a whole segment has all that thinning leaves, and its end.
+        way = F.col("_kept") & (F.col("prev_lat").isNull() | (F.col("leg_m") > 0))
+        segments = marked.groupBy("track_id", "segment_idx").agg(
+            F.min("cum_start_m").alias("start_m"), F.max("cum_end_m").alias("end_m"),
+            F.array_sort(F.collect_list(F.when(F.col("_kept") | F.col("_last"), F.struct(at, "c")))).alias("_all"),
+            F.array_sort(F.collect_list(F.when(way, F.struct(at, F.col("cum_end_m").alias("m"), "c")))).alias("way"),
+        )
+        text = F.array_join(F.transform("_all", lambda x: x["c"]), ",")
+        return cls(segments.select("track_id", "segment_idx", "start_m", "end_m", text.alias("text"), "way"), stretches(points))
+
+    def encode(self, requests: DataFrame) -> DataFrame:
+        """track_id, fraction and geojson for requests (track_id, fraction), once each; unknown tracks are left out.
+
+        Requests meet the stretches in one ordered pass, which finds where each line ends; lines are then put together
+        from the texts of the segments before and the points on the way.
+        """
+        totals = self.segments.groupBy("track_id").agg(F.max("end_m").alias("total_m"))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("fraction")))
+        asked = requests.select("track_id", F.col("fraction").cast("double").alias("fraction")).distinct().join(totals, "track_id")
+        asked = asked.select("track_id", "fraction", (F.col("total_m") * share).alias("distance_m"))
+        found = sample(self.ends, asked).select("track_id", "fraction", F.col("distance_m").alias("budget"), _json(coordinate(F.col("lat"), F.col("lon"))).alias("end"))
+        met = found.filter("budget > 0").join(self.segments, "track_id").filter("end_m <= budget or start_m < budget")
+        passed = F.transform(F.filter("way", lambda x: x["m"] <= F.col("budget")), lambda x: x["c"])
+        part = F.array_join(F.concat(passed, F.array("end")), ",")
+        drawn = met.select("track_id", "fraction", "segment_idx", F.when(F.col("end_m") <= F.col("budget"), F.col("text")).otherwise(part).alias("line"))
+        lines = _in_order(drawn, ["track_id", "fraction"], F.col("segment_idx"), F.concat(F.lit("["), "line", F.lit("]")), "lines")
+        every = asked.select("track_id", "fraction").join(lines, ["track_id", "fraction"], "left")
+        n, joined = F.size(F.coalesce("lines", F.array().cast("array<string>"))), F.coalesce(F.array_join("lines", ","), F.lit(""))
+        one = F.concat(F.lit('{"type":"LineString","coordinates":'), joined, F.lit("}"))
+        many = F.concat(F.lit('{"type":"MultiLineString","coordinates":['), joined, F.lit("]}"))
+        return every.select("track_id", "fraction", _feature(F.when(n == 1, one).otherwise(many)).alias("geojson"))
+
+
 def encode_thinned(points: DataFrame, fraction: float, spacing_m: float) -> DataFrame:
-    """encode() of points that are at least a spacing apart; the ends of segments stay."""
-    return encode(thin(points, spacing_m), fraction)
+    """track_id and geojson as encode() gives them, of lines whose points are at least a spacing apart.  A line ends where
+    the track reaches the fraction of its whole length, however few points are drawn."""
+    requests = points.select("track_id", F.lit(float(fraction)).alias("fraction"))
+    return Reveal.of(points, spacing_m).encode(requests).drop("fraction")
 
 
 def gradient_features(points: DataFrame, spacing_m: float = 30.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Legs of tracks and the figures of whole tracks.
 
-Points are dealt by track once; the windows by segment and by track and the aggregates by track all use that deal.
-A track is worked on by one task, so its points must fit there (a window spills to disk; folds hold its heights).
+Points are dealt by chunks of their segments once.  What runs through a track is found on two levels: inside chunks, and over
+one row for each chunk.  So a track of any length is worked on by as many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import inverse, is_valid
 from ..functions.scalars import difficulty, finite, gradient_band, hiking_seconds
+from .climb import folded, summaries
 
 
 def in_segment() -> WindowSpec:
@@ -28,19 +29,59 @@ def valid_points(points: DataFrame) -> DataFrame:
     return points.filter(is_valid(F.col("lat"), F.col("lon")))
 
 
-def located(points: DataFrame) -> DataFrame:
-    """points with the leg that arrives at each: prev_lat, prev_lon, prev_ele, prev_time_ms (null at a segment's
-    start), leg_m (0 there), bearing, and cum_start_m, cum_end_m on the walking axis, which runs through a whole track
-    and does not count the gaps between segments."""
-    before = points.repartition("track_id").select(
-        "*", *(F.lag(c).over(in_segment()).alias(f"prev_{c}") for c in ("lat", "lon", "ele", "time_ms"))
+#: Points of a segment that one task works on at a time.
+CHUNK = 1 << 16
+#: What a chunk of a segment is known by.
+PART = ["track_id", "segment_idx", "_chunk"]
+
+
+def in_chunk() -> WindowSpec:
+    """The points of a chunk in order."""
+    return Window.partitionBy(*PART).orderBy("point_idx")
+
+
+def chunks_in_order() -> WindowSpec:
+    """The chunks of a track in order; one row each."""
+    return Window.partitionBy("track_id").orderBy("segment_idx", "_chunk")
+
+
+def dealt(points: DataFrame, chunk_points: int | None = None) -> DataFrame:
+    """points with _chunk, dealt by chunks."""
+    return points.withColumn("_chunk", F.floor(F.col("point_idx") / (chunk_points or CHUNK)).cast("long")).repartition(*PART)
+
+
+def on_axis(points: DataFrame, chunk_points: int | None = None) -> DataFrame:
+    """located() of points dealt by chunks, with _chunk and total_m, the length of the whole track.
+
+    A scan on two levels: what runs through a track (the point before, the distance so far) is taken from a row for each
+    chunk, and added to what the chunk itself finds.  So no task holds a track, and chunks of a track are worked on apart.
+    """
+    apart = dealt(points, chunk_points)
+    carried = ("lat", "lon", "ele", "time_ms")
+    last = apart.groupBy(*PART).agg(F.max_by(F.struct(*carried), "point_idx").alias("_end"))
+    before = last.select(*PART, F.lag("_end").over(Window.partitionBy("track_id", "segment_idx").orderBy("_chunk")).alias("_before"))
+    inner = apart.withColumns({"_first": F.lag("point_idx").over(in_chunk()).isNull()} | {f"_{c}": F.lag(c).over(in_chunk()) for c in carried})
+    joined = inner.join(before.filter("_before is not null"), PART, "left")
+    linked = joined.select(
+        *apart.columns, *(F.when(F.col("_first"), F.col(f"_before.{c}")).otherwise(F.col(f"_{c}")).alias(f"prev_{c}") for c in carried)
     )
-    leg = before.withColumn("_leg", inverse(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")))
+    leg = linked.withColumn("_leg", inverse(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")))
     measured = leg.select(
-        *before.columns, F.coalesce("_leg.distance", F.lit(0.0)).alias("leg_m"), F.col("_leg.initial_bearing").alias("bearing")
+        *linked.columns, F.coalesce("_leg.distance", F.lit(0.0)).alias("leg_m"), F.col("_leg.initial_bearing").alias("bearing")
     )
-    start = F.coalesce(F.sum("leg_m").over(in_track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return measured.withColumn("cum_start_m", start).withColumn("cum_end_m", F.col("cum_start_m") + F.col("leg_m"))
+    lengths = measured.groupBy(*PART).agg(F.sum("leg_m").alias("_m"))
+    so_far = F.coalesce(F.sum("_m").over(chunks_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    offsets = lengths.select(*PART, so_far.alias("_before_m"), F.sum("_m").over(Window.partitionBy("track_id")).alias("total_m"))
+    inside = F.coalesce(F.sum("leg_m").over(in_chunk().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = measured.withColumn("_inside_m", inside).join(offsets, PART).withColumn("cum_start_m", F.col("_before_m") + F.col("_inside_m"))
+    return placed.withColumn("cum_end_m", F.col("cum_start_m") + F.col("leg_m")).select(*measured.columns, "cum_start_m", "cum_end_m", "total_m")
+
+
+def located(points: DataFrame, chunk_points: int | None = None) -> DataFrame:
+    """points with the leg that arrives at each: prev_lat, prev_lon, prev_ele, prev_time_ms (null at a segment's
+    start), leg_m (0 there), bearing, and cum_start_m, cum_end_m on the walking axis, which runs through a whole track
+    and does not count the gaps between segments."""
+    return on_axis(points, chunk_points).drop("_chunk", "total_m")
 
 
 def legs(points: DataFrame) -> DataFrame:
@@ -48,34 +89,19 @@ def legs(points: DataFrame) -> DataFrame:
     return located(points).filter("prev_lat is not null")
 
 
-def climb(heights: Column, threshold: float = 3.0) -> Column:
-    """Struct of gain and loss of an array of heights in order: the reference moves only when a height differs from it
-    by more than the threshold; missing heights hold it."""
-    state = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"))
-
-    def step(s: Column, h: Column) -> Column:
-        d = h - s["ref"]
-        moves = s["ref"].isNull() | (F.abs(d) > threshold)
-        up = F.when(d > threshold, d).otherwise(0.0)
-        down = F.when(d < -threshold, -d).otherwise(0.0)
-        return F.struct(F.when(moves, h).otherwise(s["ref"]).alias("ref"), (s["gain"] + up).alias("gain"), (s["loss"] + down).alias("loss"))
+def elevation_gain(points: DataFrame, threshold: float = 3.0, gap_reset: bool = True, chunk_points: int | None = None) -> DataFrame:
+    """track_id, gain_m, loss_m; gap_reset: climbing is counted inside segments only, else a gap counts as a leg.
 
-    return F.aggregate(F.filter(heights, lambda h: finite(h).isNotNull()), state, step)
-
-
-def _ordered(value: str) -> Column:
-    """The values of a group in the order of the track; missing ones stay out."""
-    at = F.struct("segment_idx", "point_idx", F.col(value).alias("v"))
-    return F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), at))), lambda x: x["v"])
-
-
-def elevation_gain(points: DataFrame, threshold: float = 3.0, gap_reset: bool = True) -> DataFrame:
-    """track_id, gain_m, loss_m; gap_reset: climbing is counted inside segments only, else a gap counts as a leg."""
+    The reference moves only when a height differs from it by more than the threshold; missing heights hold it.  Tracks
+    without heights have neither gain nor loss.
+    """
     if threshold < 0:
         raise ValueError("the threshold must not be negative")
-    keys = ["track_id", "segment_idx"] if gap_reset else ["track_id"]
-    by_part = points.groupBy(*keys).agg(climb(_ordered("ele"), threshold).alias("c"))
-    return by_part.groupBy("track_id").agg(F.sum("c.gain").alias("gain_m"), F.sum("c.loss").alias("loss_m"))
+    known = folded(summaries(dealt(points, chunk_points), PART, threshold), threshold, gap_reset)
+    none = F.lit(0.0)
+    return points.select("track_id").distinct().join(known, "track_id", "left").select(
+        "track_id", F.coalesce("gain_m", none).alias("gain_m"), F.coalesce("loss_m", none).alias("loss_m")
+    )
 
 
 def track_stats(
@@ -86,16 +112,17 @@ def track_stats(
     The moving speed is the whole distance over the moving time; moving_ms is null unless some leg has a usable
     duration, elapsed_ms unless the last known time is after the first.
     """
-    return _stats(located(points), threshold, moving_mps, most_gap_ms, gap_reset)
+    return _stats(points, located(points), threshold, moving_mps, most_gap_ms, gap_reset)
 
 
-def _stats(on_axis: DataFrame, threshold: float, moving_mps: float, most_gap_ms: int, gap_reset: bool, *more: Column) -> DataFrame:
+def _stats(points: DataFrame, found: DataFrame, threshold: float, moving_mps: float, most_gap_ms: int, gap_reset: bool, *more: Column) -> DataFrame:
+    """found: located points; every figure but the climb is a sum or a bound, so chunks are summed before they meet."""
     took = F.col("time_ms") - F.col("prev_time_ms")
     usable = (took > 0) & (took <= most_gap_ms)
     moving = usable & (F.col("leg_m") / (took / 1000.0) >= moving_mps)
     at = F.when(F.col("time_ms").isNotNull(), F.struct("segment_idx", "point_idx"))
     height = finite(F.col("ele"))
-    sums = on_axis.groupBy("track_id").agg(
+    sums = found.groupBy("track_id").agg(
         F.count(F.lit(1)).alias("point_count"),
         F.sum("leg_m").alias("distance_m"),
         F.min(height).alias("min_ele"),
@@ -103,27 +130,24 @@ def _stats(on_axis: DataFrame, threshold: float, moving_mps: float, most_gap_ms:
         F.min_by("time_ms", at).alias("start_ms"),
         F.max_by("time_ms", at).alias("end_ms"),
         F.sum(F.when(moving, took).when(usable, F.lit(0))).alias("moving_ms"),
-        climb(_ordered("ele"), threshold).alias("_climb"),
         *more,
     )
-    if gap_reset:
-        sums = sums.join(elevation_gain(on_axis, threshold), "track_id")
-    else:
-        sums = sums.withColumns({"gain_m": F.col("_climb.gain"), "loss_m": F.col("_climb.loss")})
+    known = folded(summaries(dealt(points), PART, threshold), threshold, gap_reset)
+    sums = sums.join(known, "track_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("gain_m", "loss_m")})
     elapsed = F.when(F.col("end_ms") > F.col("start_ms"), F.col("end_ms") - F.col("start_ms"))
     speed = lambda ms: F.when(ms > 0, F.col("distance_m") / (ms / 1000.0))
-    return sums.drop("_climb").withColumn("elapsed_ms", elapsed).withColumns(
+    return sums.withColumn("elapsed_ms", elapsed).withColumns(
         {"average_mps": speed(F.col("elapsed_ms")), "moving_mps": speed(F.col("moving_ms"))}
     )
 
 
 def route_analysis(points: DataFrame, threshold: float = 3.0, least_leg_m: float = 20.0) -> DataFrame:
     """track_stats with walking time, average and steepest gradients and difficulty: one aggregate over the legs."""
-    on_axis = located(points)
+    found = located(points)
     rise = F.col("ele") - F.col("prev_ele")
     grade = F.when(F.col("leg_m") >= least_leg_m, rise / F.nullif("leg_m", F.lit(0.0)) * 100.0)
     stats = _stats(
-        on_axis, threshold, 0.3, 60_000, False,
+        points, found, threshold, 0.3, 60_000, False,
         F.sum(hiking_seconds(F.col("leg_m"), rise)).alias("walking_s"),
         F.max(F.when(grade > 0, grade)).alias("steepest_climb_pct"),
         F.min(F.when(grade < 0, grade)).alias("steepest_descent_pct"),

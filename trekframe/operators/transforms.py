@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import direct_arrays, interpolate, inverse_arrays
-from .tracks import in_segment, located
+from ..functions.geodesy import direct_arrays, interpolate, inverse_arrays, local_deviation
+from ..sources.tables import settled
+from .thinning import spaced
+from .tracks import located, on_axis
 
 POINT_COLUMNS = ["track_id", "segment_idx", "point_idx", "lat", "lon", "ele", "time_ms", "hacc_m"]
 
@@ -80,29 +84,10 @@ def from_waypoints(waypoints: DataFrame, spacing_m: float = 25.0, closed: bool =
 
 def thin(points: DataFrame, spacing_m: float = 30.0) -> DataFrame:
     """Of every segment the first and last point and each at which the distance since the last kept one reaches the
-    spacing.  Rows flow by in order; only a running distance is held, and a search finds the next point to keep."""
+    spacing; chunks of a segment are thinned apart (see thinning.py)."""
     if spacing_m <= 0:
         raise ValueError("the spacing must be positive")
-    marked = located(points).withColumn("_last", F.lead("point_idx").over(in_segment()).isNull())
-    ordered = marked.repartition("track_id").sortWithinPartitions("track_id", "segment_idx", "point_idx")
-
-    def run(batches):
-        gone = 0.0
-        for batch in batches:
-            first = batch.column("prev_lat").is_null().to_numpy(zero_copy_only=False)
-            keep = first | batch.column("_last").to_numpy(zero_copy_only=False)
-            lengths = batch.column("leg_m").to_numpy(zero_copy_only=False)
-            starts = np.unique(np.append(np.flatnonzero(first), 0)).tolist() if len(first) else []
-            for a, b in zip(starts, [*starts[1:], len(first)], strict=True):
-                run_m = np.cumsum(lengths[a:b])
-                kept_at = run_m[0] if first[a] else -gone
-                while (i := int(np.searchsorted(run_m, kept_at + spacing_m))) < b - a:
-                    keep[a + i] = True
-                    kept_at = run_m[i]
-                gone = run_m[-1] - kept_at
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return ordered.mapInArrow(run, ordered.schema).select(*points.columns)
+    return spaced(on_axis(points), spacing_m).filter("_kept or _last").select(*points.columns)
 
 
 def _deviations(lat, lon, ele, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +126,79 @@ def _kept(lat: np.ndarray, lon: np.ndarray, ele: np.ndarray, horizontal_m: float
     return keep
 
 
-def simplify(points: DataFrame, horizontal_m: float = 5.0, vertical_m: float = 3.0) -> DataFrame:
+#: Points of a segment, or of an open stretch of one, that are simplified in one piece.
+PIECE = 1 << 18
+_SEGMENT = ["track_id", "segment_idx"]
+
+
+def simplify(points: DataFrame, horizontal_m: float = 5.0, vertical_m: float = 3.0, piece_points: int | None = None) -> DataFrame:
     """Douglas-Peucker in three dimensions by segment: a point stays if it is further from the line than a tolerance,
-    aside or in height (points without height: aside only).  Segments flow by in order; one at a time is held."""
+    aside or in height (points without height: aside only).
+
+    Segments of at most ``PIECE`` points flow by in order, one at a time.  Longer ones are cut first, in rounds: each open
+    stretch takes the point furthest from its line, found by all tasks that have points of it, and becomes two, until
+    no open stretch is longer.  A round is one job however many segments and stretches are open.
+    """
     if horizontal_m < 0 or vertical_m < 0:
         raise ValueError("tolerances must not be negative")
-    keys = ["track_id", "segment_idx"]
+    most = piece_points or PIECE
+    long = settled(points.groupBy(*_SEGMENT).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most), "simplify-long")
+    if long.isEmpty():
+        return _pieces(points, _SEGMENT, horizontal_m, vertical_m)
+    short = _pieces(points.join(long, _SEGMENT, "left_anti"), _SEGMENT, horizontal_m, vertical_m)
+    kept = _cut_rounds(points.join(long, _SEGMENT, "left_semi"), horizontal_m, vertical_m, most)
+    return short.unionByName(points.join(kept, [*_SEGMENT, "point_idx"], "left_semi"))
+
+
+def _score(horizontal_m: float, vertical_m: float) -> Column:
+    """How many tolerances a point (lat, lon, ele) lies off the line between the structs a and b."""
+    found = local_deviation((F.col("a.lat"), F.col("a.lon")), (F.col("b.lat"), F.col("b.lon")), (F.col("lat"), F.col("lon")))
+    above = F.abs(F.col("ele") - (F.col("a.ele") + (F.col("b.ele") - F.col("a.ele")) * found["fraction"]))
+    above = F.coalesce(F.nanvl(above, F.lit(0.0)), F.lit(0.0))
+    ratio = lambda d, most: d / most if most > 0 else F.when(d > 0, float(np.finfo(float).max)).otherwise(0.0)
+    return F.greatest(ratio(found["metres"], horizontal_m), ratio(above, vertical_m))
+
+
+def _cut_rounds(points: DataFrame, horizontal_m: float, vertical_m: float, most: int) -> DataFrame:
+    """The columns of _SEGMENT and point_idx of the kept points of long segments."""
+    place = F.struct("point_idx", "lat", "lon", "ele")
+    ends = points.groupBy(*_SEGMENT).agg(F.min_by(place, "point_idx").alias("a"), F.max_by(place, "point_idx").alias("b"), F.count(F.lit(1)).alias("_n"))
+    # Open stretches are few: each has more than so many points.  They are known by the point they start with.
+    open_ = settled(ends.withColumn("_from", F.col("a.point_idx")), "simplify-open")
+    inner = points.select(*_SEGMENT, "point_idx", "lat", "lon", "ele").join(F.broadcast(open_.select(*_SEGMENT, "_from", "a", "b")), _SEGMENT)
+    inner = inner.filter("point_idx > a.point_idx and point_idx < b.point_idx").drop("a", "b")
+    tables = [open_.select(*_SEGMENT, F.explode(F.array("a.point_idx", "b.point_idx")).alias("point_idx"))]
+    keys = [*_SEGMENT, "_from"]
+    while not open_.isEmpty():
+        measured = inner.join(F.broadcast(open_.select(*keys, "a", "b")), keys).withColumn("_score", _score(horizontal_m, vertical_m))
+        first_worst = F.struct("_score", -F.col("point_idx"))
+        worst = measured.groupBy(*keys).agg(F.max_by(place, first_worst).alias("w"), F.max("_score").alias("_top")).filter("_top > 1")
+        cuts = settled(open_.select(*keys, "a", "b").join(worst.select(*keys, "w"), keys), "simplify-cuts")
+        found = cuts.select(*_SEGMENT, "w.point_idx")
+        moved = inner.join(F.broadcast(cuts.select(*keys, "w")), keys).filter("point_idx <> w.point_idx")
+        moved = moved.withColumn("_from", F.when(F.col("point_idx") > F.col("w.point_idx"), F.col("w.point_idx")).otherwise(F.col("_from"))).drop("w")
+        inner = settled(moved, "simplify-inner")
+        halves = F.explode(F.array(F.struct(F.col("a"), F.col("w").alias("b")), F.struct(F.col("w").alias("a"), F.col("b")))).alias("h")
+        halves = cuts.select(*_SEGMENT, halves).select(*_SEGMENT, F.col("h.a.point_idx").alias("_from"), "h.a", "h.b")
+        sizes = inner.groupBy(*keys).agg((F.count(F.lit(1)) + 2).alias("_n"))
+        counted = settled(halves.join(sizes, keys), "simplify-halves")
+        small = counted.filter(F.col("_n") <= most)
+        edges = small.select(*keys, F.explode(F.array("a", "b")).alias("p")).select(*keys, "p.point_idx", "p.lat", "p.lon", "p.ele")
+        whole = inner.join(small.select(*keys), keys, "left_semi").select(*keys, "point_idx", "lat", "lon", "ele").unionByName(edges)
+        ended = _pieces(whole, keys, horizontal_m, vertical_m).select(*_SEGMENT, "point_idx")
+        tables.append(settled(found.union(ended), "simplify-kept"))
+        open_ = counted.filter(F.col("_n") > most).select(*_SEGMENT, "a", "b", "_n", "_from")
+    return reduce(DataFrame.union, tables).distinct()
+
+
+def _pieces(points: DataFrame, keys: list[str], horizontal_m: float, vertical_m: float) -> DataFrame:
+    """The kept points of stretches that each fit in a task."""
 
     def run(batches):
         held: pa.Table | None = None
 
         def ends(table: pa.Table) -> list[int]:
-            """The rows at which segments start, and the end."""
+            """The rows at which stretches start, and the end."""
             changed = np.zeros(len(table), dtype=bool)
             changed[0] = True
             for k in keys:
@@ -171,7 +217,7 @@ def simplify(points: DataFrame, horizontal_m: float = 5.0, vertical_m: float = 3
             new = pa.Table.from_batches([batch])
             held = new if held is None else pa.concat_tables([held, new])
             edges = ends(held)
-            if len(edges) > 2:  # the last segment may go on
+            if len(edges) > 2:  # the last stretch may go on
                 yield from done(held, edges[:-1])
                 held = held.slice(edges[-2])
         if held is not None:

@@ -190,7 +190,34 @@ def _thin(points: DataFrame) -> DataFrame:
     return rounded(transforms.thin(points, 200.0).select("track_id", "segment_idx", "point_idx", "lat", "lon"), 7)
 
 
-@query("simplify_tracks")
+SIMPLIFY_SQL = f"""WITH RECURSIVE {sql.POINTS},
+ordered AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY track_id, segment_idx ORDER BY point_idx) - 1 AS INTEGER) AS o,
+         CAST(count(*) OVER (PARTITION BY track_id, segment_idx) AS INTEGER) AS n FROM points),
+intervals AS (
+  SELECT DISTINCT track_id, segment_idx, 0 AS a, n - 1 AS b FROM ordered
+  UNION ALL
+  SELECT track_id, segment_idx, unnest([a, w]) AS a, unnest([w, b]) AS b FROM (
+    SELECT track_id, segment_idx, a, b, arg_max(o, {{'s': score, 'o': -o}}) AS w, max(score) AS worst FROM (
+      SELECT *, greatest(sqrt((px - vx * along) * (px - vx * along) + (py - vy * along) * (py - vy * along)) / 5,
+                         coalesce(abs(ele - (ele_a + (ele_b - ele_a) * along)) / 3, 0)) AS score
+      FROM (
+        SELECT *, CASE WHEN vx * vx + vy * vy > 0 THEN least(1, greatest(0, (px * vx + py * vy) / (vx * vx + vy * vy))) ELSE 0 END AS along FROM (
+          SELECT *, (lon_b - lon_a) * east AS vx, (lat_b - lat_a) * north AS vy, (lon - lon_a) * east AS px, (lat - lat_a) * north AS py FROM (
+            SELECT *, 111132.92 - 559.82 * cos(2 * phi) + 1.175 * cos(4 * phi) - 0.0023 * cos(6 * phi) AS north,
+                   111412.84 * cos(phi) - 93.5 * cos(3 * phi) + 0.118 * cos(5 * phi) AS east FROM (
+              SELECT i.track_id, i.segment_idx, i.a, i.b, p.o, p.lat, p.lon, p.ele, x.lat AS lat_a, x.lon AS lon_a, x.ele AS ele_a,
+                     y.lat AS lat_b, y.lon AS lon_b, y.ele AS ele_b, radians((x.lat + y.lat + p.lat) / 3) AS phi
+              FROM intervals i
+              JOIN ordered x ON x.track_id = i.track_id AND x.segment_idx = i.segment_idx AND x.o = i.a
+              JOIN ordered y ON y.track_id = i.track_id AND y.segment_idx = i.segment_idx AND y.o = i.b
+              JOIN ordered p ON p.track_id = i.track_id AND p.segment_idx = i.segment_idx AND p.o > i.a AND p.o < i.b)))))
+    GROUP BY track_id, segment_idx, a, b) WHERE worst > 1),
+kept AS (SELECT track_id, segment_idx, a AS o FROM intervals UNION SELECT track_id, segment_idx, b FROM intervals)
+SELECT track_id, segment_idx, point_idx, {r('lat', 'lon', 'ele', places=7)} FROM ordered JOIN kept USING (track_id, segment_idx, o)"""
+
+
+@query("simplify_tracks", SIMPLIFY_SQL)
 def _simplify(points: DataFrame) -> DataFrame:
     return rounded(transforms.simplify(points).select("track_id", "segment_idx", "point_idx", "lat", "lon", "ele"), 7)
 
@@ -299,7 +326,7 @@ def _geojson(points: DataFrame) -> DataFrame:
     return _geojson_digest(geojson.encode(points))
 
 
-def _geojson_digest(found: DataFrame) -> DataFrame:
+def _geojson_digest(found: DataFrame, *keys: str) -> DataFrame:
     """Numbers of lines and coordinates, and their sums (in_order: each times its place), read back from the text."""
     multi = F.get_json_object("geojson", "$.geometry.type") == "MultiLineString"
     inner = F.get_json_object("geojson", "$.geometry.coordinates")
@@ -308,7 +335,7 @@ def _geojson_digest(found: DataFrame) -> DataFrame:
     total = lambda k: F.round(F.aggregate(F.col("c"), F.lit(0.0), lambda a, x: a + x[k]), 3)
     weighed = F.transform(F.col("c"), lambda x, i: (i + 1) * (x[0] + 2 * x[1]))
     return flat.select(
-        "track_id", F.size("lines").cast("long").alias("n_lines"), F.size("c").cast("long").alias("n_coordinates"), total(0).alias("lon_sum"), total(1).alias("lat_sum"),
+        "track_id", *keys, F.size("lines").cast("long").alias("n_lines"), F.size("c").cast("long").alias("n_coordinates"), total(0).alias("lon_sum"), total(1).alias("lat_sum"),
         F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 2).alias("in_order"),
     )
 
@@ -334,6 +361,50 @@ def _reveal(points: DataFrame) -> DataFrame:
     return _geojson_digest(geojson.encode(points, 0.613))
 
 
+FRACTIONS, SPACINGS = (0.0, 0.3, 0.613, 0.85, 1.0), (20.0, 200.0)
+REVEALS_SQL = f"""
+spacings AS (SELECT unnest([{", ".join(map(str, SPACINGS))}]::DOUBLE[]) AS spacing_m),
+numbered AS (
+  SELECT *, lead(point_idx) OVER s IS NULL AS last, min(cum_start_m) OVER (PARTITION BY track_id, segment_idx) AS part_start,
+         max(cum_end_m) OVER (PARTITION BY track_id, segment_idx) AS part_end, max(cum_end_m) OVER (PARTITION BY track_id) AS total
+  FROM axis, spacings WINDOW s AS (PARTITION BY spacing_m, track_id, segment_idx ORDER BY point_idx)),
+greedy AS (
+  SELECT spacing_m, track_id, segment_idx, list_reduce(list({{'acc': leg_m, 's': spacing_m, 'p': point_idx, 'out': [point_idx]}} ORDER BY point_idx), lambda a, x: {{
+    'acc': CASE WHEN a.acc + x.acc >= x.s THEN 0 ELSE a.acc + x.acc END, 's': x.s, 'p': x.p,
+    'out': CASE WHEN a.acc + x.acc >= x.s THEN list_append(a.out, x.p) ELSE a.out END}}).out AS kept
+  FROM numbered GROUP BY spacing_m, track_id, segment_idx),
+asked AS (
+  SELECT n.*, list_contains(g.kept, n.point_idx) AS kept, fraction, total * fraction AS budget,
+         CASE WHEN leg_m > 0 AND cum_start_m <= total * fraction AND total * fraction < cum_end_m THEN (total * fraction - cum_start_m) / leg_m END AS t
+  FROM numbered n JOIN greedy g USING (spacing_m, track_id, segment_idx), (SELECT unnest([{", ".join(map(str, FRACTIONS))}]::DOUBLE[]) AS fraction)),
+revealed AS (
+  SELECT spacing_m, fraction, track_id, segment_idx, point_idx, CASE WHEN part_end > budget AND t IS NOT NULL THEN {_CUT_LAT} ELSE lat END AS lat,
+         CASE WHEN part_end > budget AND t IS NOT NULL THEN {_CUT_LON} ELSE lon END AS lon
+  FROM asked
+  WHERE budget > 0 AND CASE WHEN part_end <= budget THEN kept OR last
+    ELSE part_start < budget AND (t IS NOT NULL OR (kept AND cum_end_m <= budget AND (prev_lat IS NULL OR leg_m > 0))) END)"""
+
+
+@query(
+    "geojson_reveals",
+    f"""WITH {sql.LEGS}, {REVEALS_SQL},
+      placed AS (SELECT *, row_number() OVER (PARTITION BY spacing_m, fraction, track_id ORDER BY segment_idx, point_idx) AS i FROM revealed),
+      summed AS (SELECT spacing_m, fraction, track_id, count(DISTINCT segment_idx) AS n_lines, count(*) AS n_coordinates, {_SUMS} FROM placed GROUP BY spacing_m, fraction, track_id)
+      SELECT a.spacing_m, a.fraction, a.track_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_coordinates, 0) AS n_coordinates, coalesce(lon_sum, 0) AS lon_sum,
+             coalesce(lat_sum, 0) AS lat_sum, coalesce(in_order, 0) AS in_order
+      FROM (SELECT DISTINCT spacing_m, fraction, track_id FROM asked) a LEFT JOIN summed USING (spacing_m, fraction, track_id)""",
+)
+def _reveals(points: DataFrame) -> DataFrame:
+    """Every track revealed at several fractions from one preparation, at two spacings of which the second thins."""
+    each = F.explode(F.array(*map(F.lit, FRACTIONS)))
+    requests = points.select("track_id").distinct().select("track_id", each.alias("fraction"))
+    found = None
+    for spacing in SPACINGS:
+        rows = geojson.Reveal.of(points, spacing).encode(requests).withColumn("spacing_m", F.lit(spacing))
+        found = rows if found is None else found.union(rows)
+    return _geojson_digest(found, "fraction", "spacing_m")
+
+
 @query(
     "geojson_thinned",
     f"""WITH {sql.LEGS}, {THIN_SQL} SELECT track_id, count(DISTINCT segment_idx) AS n_lines, count(*) AS n_coordinates, {_SUMS}
