@@ -9,7 +9,7 @@ from ..functions.geodesy import distance, interpolate
 from ..functions.scalars import band_color, gradient_band
 from .sampling import sample, stretches
 from .thinning import spaced
-from .tracks import located, on_axis
+from .tracks import located
 from .transforms import thin
 
 EMPTY_COLLECTION = '{"type":"FeatureCollection","features":[]}'
@@ -94,7 +94,7 @@ class Reveal:
         """spacing_m thins the points that are drawn and nothing else: distances are of all points."""
         if spacing_m < 0:
             raise ValueError("the spacing must not be negative")
-        marked = spaced(on_axis(points), spacing_m).withColumn("c", _json(coordinate(F.col("lat"), F.col("lon"))))
+        marked = spaced(points, spacing_m).withColumn("c", _json(coordinate(F.col("lat"), F.col("lon"))))
         at = F.col("point_idx").alias("o")
         # A repeated point draws nothing on the way; a whole segment has all that thinning leaves, and its end.
         way = F.col("_kept") & (F.col("prev_lat").isNull() | (F.col("leg_m") > 0))

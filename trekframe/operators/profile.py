@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gradient_band
-from .tracks import PART, chunks_in_order, in_chunk, on_axis
+from .tracks import in_chunk, on_axis
 
 
 def profile(points: DataFrame, samples: int = 240) -> DataFrame:
@@ -18,19 +18,12 @@ def profile(points: DataFrame, samples: int = 240) -> DataFrame:
     """
     if samples < 2:
         raise ValueError("a profile needs two samples at least")
-    # What a knot knows of the track is found inside its chunk, and for a chunk's last knot over a row for each chunk.
-    placed = on_axis(points)
-    opening = placed.groupBy(*PART).agg(F.min("point_idx").alias("_opening"))
-    opening = opening.withColumn("_nth", F.row_number().over(chunks_in_order())).filter("_nth = 1").select(*PART, "_opening")
-    is_knot = (F.col("leg_m") > 0) | (F.col("point_idx") == F.col("_opening"))
-    knots = placed.join(opening, PART, "left").filter(is_knot).select(
-        *PART, "point_idx", "ele", F.col("cum_end_m").alias("d"), F.col("total_m").alias("total")
+    # A knot knows the next one of its chunk, and a chunk's last knot the first of the chunks that follow.
+    knots = on_axis(points).filter("_opening or leg_m > 0")
+    knots = knots.withColumn("_next", F.coalesce(F.lead(F.struct(F.col("cum_end_m").alias("d"), "ele")).over(in_chunk()), "_later"))
+    knots = knots.select(
+        "track_id", "segment_idx", "ele", F.col("cum_end_m").alias("d"), F.col("_next.d").alias("next_d"), F.col("_next.ele").alias("next_ele"), F.col("total_m").alias("total")
     )
-    entry = knots.groupBy(*PART).agg(F.min_by(F.struct("d", "ele"), "point_idx").alias("_entry"))
-    later = entry.select(*PART, F.lead("_entry").over(chunks_in_order()).alias("_later"))
-    inside = knots.select("*", F.lead(F.struct("d", "ele")).over(in_chunk()).alias("_next")).join(later, PART)
-    following = F.coalesce("_next", "_later")
-    knots = inside.select("track_id", "segment_idx", "ele", "d", following["d"].alias("next_d"), following["ele"].alias("next_ele"), "total")
     last = samples - 1
     step = F.col("total") / last
     first_k = F.greatest(F.lit(0), F.floor(F.col("d") / step).cast("int") - 1)

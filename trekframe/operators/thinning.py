@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tracks import PART
+from . import tracks
+from .tracks import PART, on_axis
 
 _KINDS = [pa.string(), pa.int32(), pa.int64()]
 
@@ -109,16 +110,18 @@ def _behind(placed: DataFrame, spacing_m: float) -> DataFrame:
     return found.mapInArrow(folded, "track_id string, segment_idx int, _chunk long, _behind double")
 
 
-def spaced(placed: DataFrame, spacing_m: float) -> DataFrame:
-    """placed (of tracks.on_axis) with _kept, whether a point is its segment's first or a spacing after the last kept one,
-    and _last, whether it is its segment's last."""
-    order = Window.partitionBy("track_id", "segment_idx").orderBy("_chunk")
-    ends = placed.groupBy(*PART).agg(F.max("point_idx").alias("_end"))
-    ends = ends.select(*PART, F.when(F.lead("_chunk").over(order).isNull(), F.col("_end")).alias("_end"))
-    joined = placed.join(ends, PART).withColumn("_last", F.coalesce(F.col("point_idx") == F.col("_end"), F.lit(False))).drop("_end")
+def spaced(points: DataFrame, spacing_m: float) -> DataFrame:
+    """tracks.on_axis of points with _kept: whether a point is its segment's first or a spacing after the last kept one.
+
+    Whether any segment has more than one chunk is asked first, of one column of the points.
+    """
+    placed = on_axis(points)
     if not spacing_m:
-        return joined.withColumn("_kept", F.lit(True))
-    rows = joined.join(_behind(placed, spacing_m), PART, "left").sortWithinPartitions(*PART, "point_idx")
+        return placed.withColumn("_kept", F.lit(True))
+    # Where every segment is one chunk, nothing is carried over.
+    alone = points.filter(F.col("point_idx") >= tracks.CHUNK).isEmpty()
+    carried = placed.withColumn("_behind", F.lit(None).cast("double")) if alone else placed.join(_behind(placed, spacing_m), PART, "left")
+    rows = carried.sortWithinPartitions(*PART, "point_idx")
     names = [c for c in rows.columns if c != "_behind"]
 
     def run(batches):

@@ -51,37 +51,57 @@ def dealt(points: DataFrame, chunk_points: int | None = None) -> DataFrame:
 
 
 def on_axis(points: DataFrame, chunk_points: int | None = None) -> DataFrame:
-    """located() of points dealt by chunks, with _chunk and total_m, the length of the whole track.
+    """located() of points dealt by chunks, with what they know of the whole: _chunk, total_m (length of the track), _last
+    (whether the point is its segment's last), _opening (whether it is its track's first) and _later (in the chunks that
+    follow, d and ele of the first point at which the track goes on).
 
-    A scan on two levels: what runs through a track (the point before, the distance so far) is taken from a row for each
-    chunk, and added to what the chunk itself finds.  So no task holds a track, and chunks of a track are worked on apart.
+    A scan on two levels: what runs through a track is taken from a table with a row for each chunk, and added to what the
+    chunk itself finds.  So no task holds a track, and chunks of a track are worked on apart.
     """
-    apart = dealt(points, chunk_points)
     carried = ("lat", "lon", "ele", "time_ms")
-    last = apart.groupBy(*PART).agg(F.max_by(F.struct(*carried), "point_idx").alias("_end"))
-    before = last.select(*PART, F.lag("_end").over(Window.partitionBy("track_id", "segment_idx").orderBy("_chunk")).alias("_before"))
+    apart = dealt(points, chunk_points)
     inner = apart.withColumns({"_first": F.lag("point_idx").over(in_chunk()).isNull()} | {f"_{c}": F.lag(c).over(in_chunk()) for c in carried})
-    joined = inner.join(before.filter("_before is not null"), PART, "left")
-    linked = joined.select(
-        *apart.columns, *(F.when(F.col("_first"), F.col(f"_before.{c}")).otherwise(F.col(f"_{c}")).alias(f"prev_{c}") for c in carried)
+    inner = inner.withColumn("_leg", inverse(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
+    inner = inner.withColumn("_m", F.coalesce("_leg.distance", F.lit(0.0)))
+    inner = inner.withColumn("_inside_m", F.coalesce(F.sum("_m").over(in_chunk().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+
+    # One row for each chunk: its ends, its length, and the first point at which it goes on.
+    place, goes_on = F.struct(*carried), F.when(F.col("_m") > 0, F.col("point_idx"))
+    chunks = inner.groupBy(*PART).agg(
+        F.min_by(place, "point_idx").alias("_start"), F.max_by(place, "point_idx").alias("_end"), F.max("point_idx").alias("_end_idx"), F.sum("_m").alias("_length"),
+        F.min_by(F.struct((F.col("_inside_m") + F.col("_m")).alias("d"), "ele"), goes_on).alias("_entry"),
     )
-    leg = linked.withColumn("_leg", inverse(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")))
-    measured = leg.select(
-        *linked.columns, F.coalesce("_leg.distance", F.lit(0.0)).alias("leg_m"), F.col("_leg.initial_bearing").alias("bearing")
+    in_part = Window.partitionBy("track_id", "segment_idx").orderBy("_chunk")
+    chunks = chunks.withColumns({"_before": F.lag("_end").over(in_part), "_ends_part": F.lead("_chunk").over(in_part).isNull()})
+    chunks = chunks.withColumn("_link", inverse(F.col("_before.lat"), F.col("_before.lon"), F.col("_start.lat"), F.col("_start.lon")))
+    chunks = chunks.withColumn("_link_m", F.coalesce("_link.distance", F.lit(0.0)))
+    before, grown = chunks_in_order().rowsBetween(Window.unboundedPreceding, -1), F.col("_link_m") + F.col("_length")
+    chunks = chunks.withColumns({
+        "_before_m": F.coalesce(F.sum(grown).over(before), F.lit(0.0)), "total_m": F.sum(grown).over(Window.partitionBy("track_id")),
+        "_opens_track": F.row_number().over(chunks_in_order()) == 1,
+    })
+    entered = F.when(F.col("_link_m") > 0, F.struct((F.col("_before_m") + F.col("_link_m")).alias("d"), F.col("_start.ele").alias("ele"))).when(
+        F.col("_entry").isNotNull(), F.struct((F.col("_before_m") + F.col("_link_m") + F.col("_entry.d")).alias("d"), F.col("_entry.ele").alias("ele"))
     )
-    lengths = measured.groupBy(*PART).agg(F.sum("leg_m").alias("_m"))
-    so_far = F.coalesce(F.sum("_m").over(chunks_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    offsets = lengths.select(*PART, so_far.alias("_before_m"), F.sum("_m").over(Window.partitionBy("track_id")).alias("total_m"))
-    inside = F.coalesce(F.sum("leg_m").over(in_chunk().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    placed = measured.withColumn("_inside_m", inside).join(offsets, PART).withColumn("cum_start_m", F.col("_before_m") + F.col("_inside_m"))
-    return placed.withColumn("cum_end_m", F.col("cum_start_m") + F.col("leg_m")).select(*measured.columns, "cum_start_m", "cum_end_m", "total_m")
+    backwards = Window.partitionBy("track_id").orderBy(F.desc("segment_idx"), F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_entered", entered).withColumn("_later", F.last("_entered", True).over(backwards))
+    known = chunks.select(*PART, "_before", "_link", "_link_m", "_before_m", "total_m", "_opens_track", "_later", F.when(F.col("_ends_part"), F.col("_end_idx")).alias("_end_idx"))
+
+    first, start = F.col("_first"), F.col("_before_m") + F.when(F.col("_first"), F.lit(0.0)).otherwise(F.col("_link_m") + F.col("_inside_m"))
+    leg = F.when(first, F.col("_link_m")).otherwise(F.col("_m"))
+    return inner.join(known, PART).select(
+        *apart.columns, *(F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"_{c}")).alias(f"prev_{c}") for c in carried),
+        leg.alias("leg_m"), F.when(first, F.col("_link.initial_bearing")).otherwise(F.col("_leg.initial_bearing")).alias("bearing"),
+        start.alias("cum_start_m"), (start + leg).alias("cum_end_m"), "total_m",
+        F.coalesce(F.col("point_idx") == F.col("_end_idx"), F.lit(False)).alias("_last"), (first & F.col("_opens_track")).alias("_opening"), "_later",
+    )
 
 
 def located(points: DataFrame, chunk_points: int | None = None) -> DataFrame:
     """points with the leg that arrives at each: prev_lat, prev_lon, prev_ele, prev_time_ms (null at a segment's
     start), leg_m (0 there), bearing, and cum_start_m, cum_end_m on the walking axis, which runs through a whole track
     and does not count the gaps between segments."""
-    return on_axis(points, chunk_points).drop("_chunk", "total_m")
+    return on_axis(points, chunk_points).drop("_chunk", "total_m", "_last", "_opening", "_later")
 
 
 def legs(points: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import direct_arrays, interpolate, inverse_arrays, local_deviation
 from ..sources.tables import settled
 from .thinning import spaced
-from .tracks import located, on_axis
+from .tracks import located
 
 POINT_COLUMNS = ["track_id", "segment_idx", "point_idx", "lat", "lon", "ele", "time_ms", "hacc_m"]
 
@@ -87,7 +87,7 @@ def thin(points: DataFrame, spacing_m: float = 30.0) -> DataFrame:
     spacing; chunks of a segment are thinned apart (see thinning.py)."""
     if spacing_m <= 0:
         raise ValueError("the spacing must be positive")
-    return spaced(on_axis(points), spacing_m).filter("_kept or _last").select(*points.columns)
+    return spaced(points, spacing_m).filter("_kept or _last").select(*points.columns)
 
 
 def _deviations(lat, lon, ele, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
