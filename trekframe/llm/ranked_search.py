@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -160,13 +161,13 @@ def search(documents: DataFrame, items: DataFrame, best: int = BEST) -> DataFram
     n_terms, n_bytes = terms.agg(F.count("term"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()
     n_asked = asked.count()
     passes_needed = max(1, -(-n_terms // MOST_TERMS), -(-n_bytes // MOST_TERM_BYTES))
-    postings = None
+    found = []
     for k in range(passes_needed):
         held = terms.filter(F.pmod(F.xxhash64("bytes"), F.lit(passes_needed)) == k).toArrow().to_pydict()
         wanted = spark.sparkContext.broadcast(dict(zip(held["bytes"], held["term"], strict=True)))
-        found = _found(documents, wanted, k == 0)
-        postings = found if postings is None else postings.union(found)
-    postings = written(postings, "search-postings")
+        # A table for each pass: a row's number is its task's and its place there, and tasks of a union are numbered on.
+        found.append(written(_found(documents, wanted, k == 0), "search-postings"))
+    postings = reduce(DataFrame.union, found)
     whole = postings.filter("term is null")
     count, words = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
@@ -217,7 +218,7 @@ def search(documents: DataFrame, items: DataFrame, best: int = BEST) -> DataFram
     ranked = exact.join(own, "row").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     ranked = written(ranked.select("item", "rank", "doc_id", "score"), "search-ranked")
     ids = asked.select("item", "item_id").distinct()
-    drop(terms, postings, lists, heads, tried, lined, lines, met, candidates)
+    drop(terms, *found, lists, heads, tried, lined, lines, met, candidates)
     return ranked.join(_small(ids, n_asked), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
