@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import hashlib
 import tempfile
 import uuid
 
@@ -13,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -187,8 +187,11 @@ def slices(texts: pa.Array, max_bytes: int = 1 << 20):
 
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Words whose hashes a worker keeps, and the longest of them in bytes.
-MOST_WORDS, LONGEST_KEPT = 300_000, 64
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Longest word in bytes that is hashed as a number, and the bytes of a number that words of each length have.
+_SHORT = 7
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(_SHORT + 1)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -198,19 +201,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, by words."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= LONGEST_KEPT:
-            self[word] = found
-        return found
-
-
-_hashes = _Hashes()
-
-
 def words_of(texts: list[str | None], lower: bool = True) -> tuple[list[bytes], np.ndarray]:
     """The words of all texts (A-Z lower-cased) and where each text's words start (with the end at last)."""
     words: list[bytes] = []
@@ -223,12 +213,23 @@ def words_of(texts: list[str | None], lower: bool = True) -> tuple[list[bytes],
 
 
 def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all texts' words, and where each text's words start.
+    """64-bit hashes of all texts' words, and where each text's words start (with the end at last).
 
-    A word's hash depends on its bytes alone, so equal words of different tasks have equal hashes.  It is a cryptographic
-    one, so nobody can write texts whose words collide.
+    A word's hash depends on its bytes alone, so equal words of different tasks have equal hashes.  Words of at most seven
+    bytes are mixed as one number with their length, one to one, so no two of them collide; longer ones are hashed as
+    byte strings.
     """
-    words, bounds = words_of(texts, lower)
-    if len(_hashes) > MOST_WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)), bounds
+    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    data = b" ".join(raw) + b" " * 8
+    if lower:
+        data = data.translate(_LOWER)
+    edges = np.flatnonzero(np.diff(_IS_SPACE[np.frombuffer(data, dtype=np.uint8)], prepend=True))
+    starts, ends = edges[0::2], edges[1::2]
+    sizes = ends - starts
+    eights = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))  # the eight bytes from each on
+    hashes = mix((eights[starts] & _BYTES[np.minimum(sizes, _SHORT)]) | (sizes.astype(np.uint64) << np.uint64(56)))
+    long = np.flatnonzero(sizes > _SHORT)
+    words = [data[i:j] for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    hashes[long] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    offsets = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    return hashes, np.searchsorted(starts, offsets)
