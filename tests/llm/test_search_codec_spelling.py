@@ -7,11 +7,12 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 import public_tokenizers
 import tiktoken
 
-from trekframe.llm import byte_bpe, ranked_search, spelling
+from trekframe.llm import byte_bpe, queries, ranked_search, spelling
 from trekframe.llm.common import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, rank int"
@@ -223,3 +224,23 @@ def test_spelling_of_nothing_and_of_long_texts(spark, nothing, monkeypatch):
     rows = [(i, long, None, None, 0, 0.0, "", 0) for i in (1, 1, 2, None, 3)]
     found = spelling.spelling(spark.createDataFrame(rows, SCHEMA))
     assert sorted(str(tuple(r)) for r in found.collect()) == brute_forms(brute_words(rows, 6, 5))
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op11_tput_search", "op13_trie_variants", "op9_under_conversations"])
+def test_sql_agrees(spark, name):
+    con = duckdb.connect(config={"memory_limit": "4GB"})
+    for table in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    wanted = con.sql(queries.ORACLE_SQL[name])
+    mine = queries.QUERIES[name](spark, FOLDER)
+    assert sorted(mine.columns) == sorted(wanted.columns)
+    assert sorted(str(tuple(r)) for r in mine.select(*wanted.columns).collect()) == sorted(map(str, wanted.fetchall()))
+
+
+def test_encoding_query_agrees_with_the_library(spark, tokenizer):
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet'").fetchall()
+    mine = queries.QUERIES["op12_two_tier_bpe"](spark, FOLDER)
+    assert sorted(tuple(r) for r in mine.collect()) == sorted(codec_row(tokenizer, *r) for r in texts)

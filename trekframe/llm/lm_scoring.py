@@ -221,6 +221,14 @@ def op9_whole_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, 3, 3)
 
 
+def op9_under_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean log probability of a word in every document, by the pairs of words of all conversations: most pairs are
+    unknown to those, and their words are backed off."""
+    documents, turns = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "conversations"))
+    found = scores_under(documents, turns.select("text"))
+    return found.select("doc_id", "n_words", F.round("mean", 6).alias("mean_log"))
+
+
 _WORDS = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -246,6 +254,25 @@ FROM d LEFT JOIN s ON d.r = s.r
 
 OP9_SQL = WHOLE_SQL.replace("round(s.score / s.n, 3)", "round(s.score / s.n, 6)")
 
+UNDER_SQL = _WORDS + r"""
+t AS (SELECT r, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS p FROM d),
+k AS (SELECT row_number() OVER () AS r,
+             list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM conversations),
+o AS (SELECT r, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS p FROM k),
+u AS (SELECT w, count(*) AS c FROM o GROUP BY w),
+b AS (SELECT p, w, count(*) AS c FROM o WHERE p IS NOT NULL GROUP BY p, w),
+n AS (SELECT greatest(1, count(*)) AS c FROM o),
+s AS (
+  SELECT t.r, count(*) AS n,
+         sum(CASE WHEN b.c IS NOT NULL THEN ln(b.c / f.c)
+                  ELSE ln(CASE WHEN t.p IS NULL THEN 1 ELSE 0.4 END * coalesce(u.c, 1) / (SELECT c FROM n)) END) AS score
+  FROM t LEFT JOIN u ON t.w = u.w LEFT JOIN u AS f ON t.p = f.w LEFT JOIN b ON t.p = b.p AND t.w = b.w
+  GROUP BY t.r)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(s.score / s.n, 6) AS mean_log
+FROM d LEFT JOIN s ON d.r = s.r
+"""
+
 TRIGRAM_SQL = _WORDS + r"""
 t AS (SELECT r, unnest(ws) AS w, unnest(list_prepend(NULL, ws)[1:len(ws)]) AS p,
              unnest(list_prepend(NULL, list_prepend(NULL, ws))[1:len(ws)]) AS q FROM d),

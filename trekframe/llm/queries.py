@@ -5,7 +5,16 @@ from __future__ import annotations
 from .byte_bpe import op12_two_tier_bpe
 from .exact_dedup import OP6_SQL, op6_patricia_owners
 from .language_id import op5_nearest_centroid
-from .lm_scoring import OP9_SQL, TRIGRAM_SQL, WHOLE_SQL, op9_stupid_backoff, op9_whole_backoff, op9_whole_trigrams
+from .lm_scoring import (
+    OP9_SQL,
+    TRIGRAM_SQL,
+    UNDER_SQL,
+    WHOLE_SQL,
+    op9_stupid_backoff,
+    op9_under_conversations,
+    op9_whole_backoff,
+    op9_whole_trigrams,
+)
 from .mixing import TARGETS_SQL, op8_entropy_balance, op8_targets
 from .ngram_join import OP3_SQL, op3_tiled_jaccard
 from .packing import op2_min_bin_slack
@@ -29,6 +38,7 @@ QUERIES = {
     "op9_stupid_backoff": op9_stupid_backoff,
     "op9_whole_backoff": op9_whole_backoff,
     "op9_whole_trigrams": op9_whole_trigrams,
+    "op9_under_conversations": op9_under_conversations,
     "op10_boosted_trees": op10_boosted_trees,
     "op11_tput_search": op11_tput_search,
     "op12_two_tier_bpe": op12_two_tier_bpe,
@@ -42,6 +52,7 @@ ORACLE_SQL: dict[str, str] = {
     "op9_stupid_backoff": OP9_SQL,
     "op9_whole_backoff": WHOLE_SQL,
     "op9_whole_trigrams": TRIGRAM_SQL,
+    "op9_under_conversations": UNDER_SQL,
     "op11_tput_search": OP11_SQL,
     "op13_trie_variants": OP13_SQL,
 }
