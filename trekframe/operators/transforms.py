@@ -70,15 +70,15 @@ def from_waypoints(waypoints: DataFrame, spacing_m: float = 25.0, closed: bool =
     points = waypoints.select(
         "track_id", F.lit(0).alias("segment_idx"), F.col("wpt_idx").alias("point_idx"), "lat", "lon", "ele", "time_ms", F.lit(None).cast("double").alias("hacc_m")
     )
-    if closed:
-        ends = points.groupBy("track_id").agg(
-            *(F.min_by(c, "point_idx").alias(c) for c in ("lat", "lon", "ele")), F.max("point_idx").alias("last"), F.count(F.lit(1)).alias("n")
-        )
-        back = ends.filter("n > 1").select(
-            "track_id", F.lit(0).alias("segment_idx"), (F.col("last") + 1).alias("point_idx"), "lat", "lon", "ele",
-            F.lit(None).cast("long").alias("time_ms"), F.lit(None).cast("double").alias("hacc_m"),
-        )
-        points = points.unionByName(back)
+    if closed:  # the last waypoint is followed by the first once more
+        order = Window.partitionBy("track_id").orderBy("point_idx")
+        last = F.lead("point_idx").over(order).isNull() & F.lag("point_idx").over(order).isNotNull()
+        first = [F.first(c).over(order).alias(c) for c in ("lat", "lon", "ele")]
+        back = F.struct((F.col("point_idx") + 1).alias("point_idx"), *first, F.lit(None).cast("long").alias("time_ms"))
+        own = F.struct("point_idx", "lat", "lon", "ele", "time_ms")
+        rows = points.select("track_id", "segment_idx", "hacc_m", own.alias("own"), F.when(last, back).alias("back"))
+        rows = rows.select("track_id", "segment_idx", "hacc_m", F.explode(F.array_compact(F.array("own", "back"))).alias("p"))
+        points = rows.select("track_id", "segment_idx", "p.*", "hacc_m")
     return densify(points, spacing_m)
 
 
