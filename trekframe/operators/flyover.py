@@ -46,19 +46,6 @@ def travel_ms(flight_m: Column, options: FlyoverOptions) -> Column:
     return F.greatest(F.lit(options.least_travel_ms), F.least(F.lit(options.most_travel_ms), paced)).cast("long")
 
 
-def bearing_profile(track_stretches: DataFrame, options: FlyoverOptions) -> DataFrame:
-    """track_id, idx, heading (not wrapped): smoothed bearings every 25 m of flight."""
-    totals = track_stretches.groupBy("track_id").agg(F.max("total_flight_m").alias("total"))
-    steps = F.ceil(F.col("total") / BEARING_STEP_M).cast("int")
-    asked = totals.select("track_id", F.explode(F.sequence(F.lit(0), steps)).alias("idx"))
-    found = sample(track_stretches, asked.withColumn("distance_m", F.col("idx") * F.lit(BEARING_STEP_M)), "flight")
-    order = Window.partitionBy("track_id").orderBy("idx")
-    turn = F.coalesce(shortest_delta(F.lag("bearing").over(order), F.col("bearing")), F.col("bearing"))
-    unwrapped = found.withColumn("_turn", turn).withColumn("_heading", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    half = int(options.bearing_window_m / BEARING_STEP_M + 0.5)
-    return unwrapped.select("track_id", "idx", F.avg("_heading").over(order.rowsBetween(-half, half)).alias("heading"))
-
-
 def _headed(found: DataFrame, options: FlyoverOptions) -> DataFrame:
     """Sampled frames with the heading between the two steps of the bearing profile around each; found has the rows of
     frames and steps (those with an idx).  Windows by track alone, no join."""
