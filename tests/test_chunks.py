@@ -161,3 +161,14 @@ def test_a_winding_track_is_revealed_by_its_whole_length(spark):
     points = spark.createDataFrame(rows, POINTS)
     [end] = {tuple(coordinates(geojson.encode(points, 0.5).first().geojson)[0][-1])}
     assert tuple(coordinates(geojson.encode_thinned(points, 0.5, 150.0).first().geojson)[0][-1]) == end
+
+
+def test_the_last_sample_is_the_last_points(spark):
+    """However the sums of the lengths are rounded: the point before has no height, so that its stretch has none either."""
+    rng = random.Random(5)
+    rows = [
+        (str(t), s, i, 45 + 0.1 * s + 0.0005 * i + rng.random() * 1e-4, 7 + rng.random() * 1e-3, 800.0 + t if (s, i) == (2, 5) else None, None, None)
+        for t in range(200) for s in range(3) for i in range(6)
+    ]
+    last = profile.profile(spark.createDataFrame(rows, POINTS)).filter("sample_idx = 239").collect()
+    assert {r.track_id: r.ele for r in last} == {str(t): 800.0 + t for t in range(200)}

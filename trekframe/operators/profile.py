@@ -32,7 +32,9 @@ def profile(points: DataFrame, samples: int = 240) -> DataFrame:
     at = knots.withColumn("sample_idx", F.explode(numbers)).withColumn(
         "distance_m", F.when(F.col("sample_idx") == last, F.col("total")).otherwise(F.col("total") * F.col("sample_idx") / last)
     )
-    at = at.filter("distance_m >= d and (next_d is null or distance_m < next_d)")
+    # The last sample is the last knot's: its distance and the track's length are summed in different orders.
+    inside = (F.col("distance_m") >= F.col("d")) & (F.col("next_d").isNull() | (F.col("distance_m") < F.col("next_d")))
+    at = at.filter(F.when(F.col("sample_idx") == last, F.col("next_d").isNull()).otherwise(inside))
     along = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("distance_m") - F.col("d")) / (F.col("next_d") - F.col("d"))))
     linear = F.col("ele") + (F.col("next_ele") - F.col("ele")) * along
     order = Window.partitionBy("track_id").orderBy("sample_idx")
