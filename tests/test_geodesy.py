@@ -92,6 +92,17 @@ def test_texts(spark):
     assert tuple(row) == ("400 m", "12.3 km", "328 ft", "2.00 mi", dash, "3h 40m", "40m", "+8%", "3,281 ft", "Steep climb", "#9AA0A6", "Hard", dash)
 
 
+def test_texts_round_as_printf_does(spark):
+    """Ties to even and near ties by the double's exact value; Python's % is C's printf."""
+    values = [0.5, 1.5, 816.5, 817.5, 999.5, 1250.0, 1350.0, 12250.0, 12350.0, 12450.0, 2716.23, 1e6 + 50.0, 0.3048 * 352.5, 1609.344 * 1.125, 1609.344 * 2.375, 1609.344 * 2.675, 1609.344 * 1.005]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    v = F.col("v")
+    found = rows.select("v", sc.format_distance(v), sc.format_distance(v, True), sc.format_elevation(v), sc.format_elevation(v, True), sc.format_gradient(v)).collect()
+    for x, *texts in found:
+        near, far = "%.0f m" % x if x < 1000 else "%.1f km" % (x / 1000), "%.0f ft" % (x / 0.3048) if x / 1609.344 < 0.1 else "%.2f mi" % (x / 1609.344)
+        assert [t.replace(",", "") for t in texts] == [near, far, "%.0f m" % x, "%.0f ft" % (x / 0.3048), "%+.0f%%" % x], x
+
+
 def test_times(spark):
     texts = ["2024-05-01T10:00:00Z", "2024-05-01T10:00:00", "2024-05-01T12:00:00+02:00", "2024-05-01T10:00:00.250Z", "soon", None, "2024-13-01T00:00:00Z"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -93,17 +93,31 @@ def ease_in_out_cubic(t: Column) -> Column:
 MISSING = "\N{EM DASH}"
 
 
+def _even(x: Column, places: int = 0) -> Column:
+    """x to a number of places as C's printf rounds: by the double's exact value, and a tie to the even digit (Java's formatter
+    takes the shortest digits and rounds ties up)."""
+    if not places:
+        return F.rint(x)
+    scale = 10.0**places
+    # The double in two halves whose products with the scale are exact, so that the signs of both sums are those of exact arithmetic.
+    upper = x * 134217729.0 - (x * 134217729.0 - x)
+    lower, near = (x - upper) * scale, F.rint(x * scale)
+    above, below = (upper * scale - near - 0.5) + lower, (upper * scale - near + 0.5) + lower
+    odd = F.pmod(near, F.lit(2.0)) == 1
+    return (near + F.when((above > 0) | (above == 0) & odd, 1.0).when((below < 0) | (below == 0) & odd, -1.0).otherwise(0.0)) / scale
+
+
 def format_distance(metres: Column, miles: bool = False) -> Column:
     if miles:
         far = metres / METRES_PER_MILE
-        shown = F.when(far < 0.1, F.format_string("%,.0f ft", metres / METRES_PER_FOOT)).otherwise(F.format_string("%,.2f mi", far))
+        shown = F.when(far < 0.1, F.format_string("%,.0f ft", _even(metres / METRES_PER_FOOT))).otherwise(F.format_string("%,.2f mi", _even(far, 2)))
     else:
-        shown = F.when(metres < 1000, F.format_string("%,.0f m", metres)).otherwise(F.format_string("%,.1f km", metres / 1000.0))
+        shown = F.when(metres < 1000, F.format_string("%,.0f m", _even(metres))).otherwise(F.format_string("%,.1f km", _even(metres / 1000.0, 1)))
     return F.when(finite(metres).isNull(), F.lit(MISSING)).otherwise(shown)
 
 
 def format_elevation(metres: Column, feet: bool = False) -> Column:
-    shown = F.format_string("%,.0f ft", metres / METRES_PER_FOOT) if feet else F.format_string("%,.0f m", metres)
+    shown = F.format_string("%,.0f ft", _even(metres / METRES_PER_FOOT)) if feet else F.format_string("%,.0f m", _even(metres))
     return F.when(finite(metres).isNull(), F.lit(MISSING)).otherwise(shown)
 
 
@@ -117,7 +131,7 @@ def format_duration(seconds: Column) -> Column:
 
 
 def format_gradient(percent: Column) -> Column:
-    return F.when(finite(percent).isNull(), F.lit(MISSING)).otherwise(F.format_string("%+.0f%%", percent))
+    return F.when(finite(percent).isNull(), F.lit(MISSING)).otherwise(F.format_string("%+.0f%%", _even(percent)))
 
 
 def _looked_up(name: Column, table: dict[str, str]) -> Column:
