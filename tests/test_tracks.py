@@ -4,13 +4,15 @@ import itertools
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trekframe.functions.geodesy import direct_arrays
 from trekframe.operators import dem, flyover, framing, geojson, map_style, profile, sampling, splits, tracks, transforms
+from trekframe.plans import more_queries
 from trekframe.schema import POINTS
-from trekframe.sources import catalog, gpx, tiles
+from trekframe.sources import catalog, derived, gpx, tiles
 
 
 def run_of(track, legs, spacing=100.0, grade=0.0, start=(46.0, 7.0), segment=0, timed=True, t0=1_700_000_000_000):
@@ -194,6 +196,17 @@ def test_terrain(spark, table):
     assert spark.range(1).select(dem.tiles_per_axis(F.lit(23)).alias("t")).first().t is None
 
 
+def test_tiles_are_made_once_and_few_at_a_time(table):
+    points = table([("a", 0, i, 45.9, 6.9 + i * 1e-6, None, None, None) for i in range(20)])
+    filled = dem.fill(points, more_queries._tiles_for(points))
+    assert filled.filter("filled").count() == 20
+    made = [n for n in filled._jdf.queryExecution().optimizedPlan().toString().split("\n") if "_surface" in n]
+    assert len(made) == 1
+    keys = pd.DataFrame({"zoom": 13, "x": range(100), "y": 7})
+    parts = list(derived._surface([keys]))
+    assert max(map(len, parts)) <= derived.TILES_AT_ONCE < 100 and pd.concat(parts)["x"].tolist() == list(range(100))
+
+
 def test_geojson(table):
     points = table(run_of("one", 2), run_of("two", 1), run_of("two", 1, start=(46.2, 7.0), segment=1))
     whole = {k: json.loads(r.geojson) for k, r in by_track(geojson.encode(points)).items()}

@@ -67,13 +67,14 @@ def sampled(points: DataFrame, tiles: DataFrame) -> DataFrame:
     """points (with lat, lon, zoom) with dem_ele: bilinear between four pixel centres, clamped at the tile's edge; null
     where the tile is missing or of another size, or a pixel is implausible.
 
-    Only the four pixels are read from each tile; points meet tiles by (zoom, x, y).
+    Only the four pixels are read from each tile; points meet tiles by (zoom, x, y), both dealt by it: tiles are too large to
+    be sent to all.
     """
     lat, lon, zoom = F.col("lat"), F.col("lon"), F.col("zoom")
     placed = points.withColumns({"_t": tile_for(lat, lon, zoom), "_p": pixel_within(lat, lon, zoom)})
     whole = tiles.filter(F.size("pixels") == TILE * TILE).toDF("_zoom", "_x", "_y", "_pixels")
     same = (zoom == F.col("_zoom")) & (F.col("_t.x") == F.col("_x")) & (F.col("_t.y") == F.col("_y")) & is_valid(lat, lon)
-    met = placed.join(whole, same, "left")
+    met = placed.join(whole.hint("merge"), same, "left")
     edge = lambda v: F.greatest(F.lit(0), F.least(F.lit(TILE - 1), v)).cast("int")
     cx, cy = F.col("_p.x") - 0.5, F.col("_p.y") - 0.5
     x0, y0 = F.floor(cx), F.floor(cy)

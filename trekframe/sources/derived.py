@@ -7,7 +7,6 @@ the events' order and numbers.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +42,23 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _surface(x: pd.Series, y: pd.Series) -> pd.Series:
+#: Tiles that a worker makes at a time; each has a quarter of a megabyte.
+TILES_AT_ONCE = 32
+
+
+def _surface(batches):
     down, across = np.divmod(np.arange(TILE * TILE, dtype=np.int64), TILE)
-    return pd.Series([(32768 + 800 + ((i * TILE + across) * 3 + (j * TILE + down) * 7) % 97).astype(np.int32) * 256 for i, j in zip(x, y, strict=True)])
+    for keys in batches:
+        for at in range(0, len(keys), TILES_AT_ONCE):
+            some = keys.iloc[at : at + TILES_AT_ONCE]
+            made = [(32768 + 800 + ((i * TILE + across) * 3 + (j * TILE + down) * 7) % 97).astype(np.int32) * 256 for i, j in zip(some["x"], some["y"], strict=True)]
+            yield some.assign(pixels=made)
 
 
 def surface_tiles(needed: DataFrame) -> DataFrame:
-    """dem_tiles of a terrain by formula, for distinct (zoom, x, y): 800 m and a ripple of 97 steps."""
-    return needed.select("zoom", "x", "y", _surface("x", "y").alias("pixels"))
+    """dem_tiles of a terrain by formula, for distinct (zoom, x, y): 800 m and a ripple of 97 steps.
+
+    Whole frames are mapped, so that no condition on pixels is moved in front of what finds the distinct tiles.
+    """
+    keys = needed.select("zoom", "x", "y")
+    return keys.mapInPandas(_surface, T.StructType([*keys.schema.fields, T.StructField("pixels", T.ArrayType(T.IntegerType()))]))
