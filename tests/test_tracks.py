@@ -311,6 +311,27 @@ def test_gpx_parsing(spark):
     assert sorted(r.track_id for r in found["errors"].collect()) == [f"bad{i}" for i in range(4)]
 
 
+def test_gpx_rows_are_handed_over_a_few_at_a_time(spark, monkeypatch):
+    """The frames that come out of one batch of files are bounded."""
+    monkeypatch.setattr(gpx, "ROWS_AT_ONCE", 7)
+    text = "<gpx><trk><trkseg>" + "<trkpt lat='1' lon='2'/>" * 5 + "</trkseg></trk></gpx>"
+    taken = []
+
+    class Files:
+        columns = ["path", "xml"]
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            taken.extend(run([pd.DataFrame({"path": list("abcd"), "xml": [text, "<gpx", text, text]})]))
+
+    gpx._parsed(Files())
+    assert max(map(len, taken)) <= 7
+    kinds = pd.concat(taken)[["track_id", "kind"]].value_counts().to_dict()
+    assert kinds == {(t, k): n for t in "acd" for k, n in (("point", 5), ("document", 1))} | {("b", "error"): 1}
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "iso-8859-1", "utf-8-sig"])
 def test_gpx_files_are_read_in_their_encoding(spark, tmp_path, encoding):
     declared = "" if encoding == "utf-8-sig" else f"<?xml version='1.0' encoding='{encoding}'?>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import xml.etree.ElementTree as ET
@@ -98,6 +99,8 @@ def parse(xml: str | bytes) -> dict:
     }
 
 
+#: Rows that a worker hands over at a time, however many files it was given.
+ROWS_AT_ONCE = 10_000
 _ROW = (
     "track_id string, kind string, part int, idx int, name string, lat double, lon double, ele double, time string, "
     "description string, error string"
@@ -107,22 +110,25 @@ _ROW = (
 def _parsed(files: DataFrame) -> DataFrame:
     """Rows of kind document, point, waypoint and error of files: (path, content) or (path, xml)."""
     column = "content" if "content" in files.columns else "xml"
+    names = [x.split()[0] for x in _ROW.split(", ")]
 
-    def run(frames):
+    def rows(frames):
         for frame in frames:
-            out = []
             for path, xml in zip(frame["path"], frame[column], strict=True):
                 try:
                     found = parse("" if xml is None else xml)
                 except GpxError as e:
-                    out.append((path, "error", 0, 0, None, None, None, None, None, None, str(e)))
+                    yield path, "error", 0, 0, None, None, None, None, None, None, str(e)
                     continue
-                out.append((path, "document", 0, 0, found["name"], None, None, None, None, found["description"], None))
+                yield path, "document", 0, 0, found["name"], None, None, None, None, found["description"], None
                 for part, segment in enumerate(found["segments"]):
-                    out += [(path, "point", part, i, None, *p, None, None) for i, p in enumerate(segment)]
-                out += [(path, "waypoint", 0, i, name, *p, None, None) for i, (name, p) in enumerate(found["waypoints"])]
-            names = [x.split()[0] for x in _ROW.split(", ")]
-            yield pd.DataFrame(out, columns=names)
+                    yield from ((path, "point", part, i, None, *p, None, None) for i, p in enumerate(segment))
+                yield from ((path, "waypoint", 0, i, name, *p, None, None) for i, (name, p) in enumerate(found["waypoints"]))
+
+    def run(frames):
+        left = rows(frames)
+        while some := list(itertools.islice(left, ROWS_AT_ONCE)):
+            yield pd.DataFrame(some, columns=names)
 
     return files.select("path", column).mapInPandas(run, _ROW)
 
