@@ -296,6 +296,11 @@ def test_flyover(table):
 HEAD = '<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1">'
 
 
+def test_no_window_of_a_flight_looks_at_all_later_rows_for_each_row(table):
+    plan = flyover.frames(table(run_of("a", 30)), 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
 def test_gpx_parsing(spark):
     odd = (
         f"{HEAD}<metadata><name> A </name></metadata><rte><rtept lat='1' lon='2'/></rte><TRK><name>B</name><trkpt lat='3' lon='4'><ele>7.5</ele>"

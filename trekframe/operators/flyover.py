@@ -47,23 +47,27 @@ def travel_ms(flight_m: Column, options: FlyoverOptions) -> Column:
 
 
 def _headed(found: DataFrame, options: FlyoverOptions) -> DataFrame:
-    """Sampled frames with the heading between the two steps of the bearing profile around each; found has the rows of
-    frames and steps (those with an idx).  Windows by track alone, no join."""
+    """Sampled frames (the fields of frame, with lat, lon, ele and walked_m) with the heading between the two steps of the
+    bearing profile around each; found has the rows of frames and steps (those with an idx and no frame).
+
+    Windows by track alone, no join.  Steps are most of the rows, so they carry nothing but their bearing through the sorts.
+    """
     kind = F.col("idx").isNotNull()
+    frame = F.when(~kind, F.struct("frame.*", "lat", "lon", "ele", "walked_m")).alias("frame")
+    narrow = found.select("track_id", "distance_m", "idx", "bearing", kind.alias("_step"), frame)
     steps = Window.partitionBy("track_id", "_step").orderBy("idx")
     turn = F.coalesce(shortest_delta(F.lag("bearing").over(steps), F.col("bearing")), F.col("bearing"))
-    unwrapped = found.withColumn("_step", kind).withColumn("_turn", turn)
+    unwrapped = narrow.withColumn("_turn", turn)
     unwrapped = unwrapped.withColumn("_heading", F.sum("_turn").over(steps.rowsBetween(Window.unboundedPreceding, 0)))
     half = int(options.bearing_window_m / BEARING_STEP_M + 0.5)
-    smooth = unwrapped.withColumn("_smooth", F.when(F.col("_step"), F.avg("_heading").over(steps.rowsBetween(-half, half))))
-    along = Window.partitionBy("track_id").orderBy("distance_m", F.desc("_step"), "elapsed_ms")
-    before, after = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
-    placed = smooth.withColumns(
-        {"_at": F.last("idx", True).over(before), "_from": F.last("_smooth", True).over(before), "_to": F.first("_smooth", True).over(after)}
-    ).filter(~F.col("_step"))
-    part = F.col("distance_m") / BEARING_STEP_M - F.col("_at")
-    heading = F.when(F.col("_to").isNull(), F.col("_from")).otherwise(lerp(F.col("_from"), F.col("_to"), part))
-    return placed.withColumn("heading", heading).drop("_step", "_turn", "_heading", "_smooth", "_at", "_from", "_to")
+    smooth = unwrapped.withColumn("_from", F.avg("_heading").over(steps.rowsBetween(-half, half)))
+    smooth = smooth.withColumn("_to", F.lead("_from").over(steps))
+    smooth = smooth.select("track_id", "distance_m", "_step", "frame", F.when(F.col("_step"), F.struct("idx", "_from", "_to")).alias("_met"))
+    before = Window.partitionBy("track_id").orderBy("distance_m", F.desc("_step")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = smooth.withColumn("_met", F.last("_met", True).over(before)).filter(~F.col("_step"))
+    part = F.col("distance_m") / BEARING_STEP_M - F.col("_met.idx")
+    heading = F.when(F.col("_met._to").isNull(), F.col("_met._from")).otherwise(lerp(F.col("_met._from"), F.col("_met._to"), part))
+    return placed.select("track_id", "distance_m", heading.alias("heading"), "frame.*")
 
 
 def frames(points: DataFrame, step_ms: int = 1000, options: FlyoverOptions | None = None) -> DataFrame:
@@ -77,15 +81,16 @@ def frames(points: DataFrame, step_ms: int = 1000, options: FlyoverOptions | Non
     # Frames (elapsed_ms) and the steps of the bearing profile (idx) are asked for together, so that stretches are sampled once.
     ticks = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.col("duration_ms"), F.lit(step_ms).cast("long")), F.array("duration_ms")))
     steps = F.sequence(F.lit(0), F.ceil(F.col("flight_m") / BEARING_STEP_M).cast("int"))
-    frame = lambda t: F.struct(t.alias("elapsed_ms"), F.lit(None).cast("int").alias("idx"))
+    tick = lambda t: F.struct(t.alias("elapsed_ms"), F.lit(None).cast("int").alias("idx"))
     step = lambda k: F.struct(F.lit(None).cast("long").alias("elapsed_ms"), k.alias("idx"))
-    clock = timed.withColumn("duration_ms", duration).withColumn("_w", F.explode(F.concat(F.transform(ticks, frame), F.transform(steps, step)))).select("*", "_w.*").drop("_w")
+    clock = timed.withColumn("duration_ms", duration).withColumn("_w", F.explode(F.concat(F.transform(ticks, tick), F.transform(steps, step)))).select("*", "_w.*").drop("_w")
     travelled = (F.col("elapsed_ms") - o.intro_ms) / F.col("travel_ms")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), travelled))
     phase = F.when(F.col("elapsed_ms") < o.intro_ms, "Intro").when(F.col("elapsed_ms") < o.intro_ms + F.col("travel_ms"), "Travel").otherwise("Outro")
     way = F.when(F.col("idx").isNotNull(), F.col("idx") * F.lit(BEARING_STEP_M)).otherwise(share * F.col("flight_m"))
-    asked = clock.withColumns({"phase": phase, "distance_m": way})
-    here = _headed(sample(flown, asked, "flight"), o).withColumnsRenamed({"lat": "here_lat", "lon": "here_lon"}).drop("segment_idx", "bearing", "idx")
+    frame = F.struct("elapsed_ms", phase.alias("phase"), "flight_m", "walk_m", "travel_ms", "duration_ms")
+    asked = clock.select("track_id", way.alias("distance_m"), "idx", F.when(F.col("idx").isNull(), frame).alias("frame"))
+    here = _headed(sample(flown, asked, "flight"), o).withColumnsRenamed({"lat": "here_lat", "lon": "here_lon"})
     ahead = here.withColumn("_at", F.col("distance_m")).withColumn("distance_m", F.col("_at") + o.look_ahead_m)
     if o.look_ahead_m > 0:
         seen = sample(flown, ahead.withColumnRenamed("ele", "here_ele").withColumnRenamed("walked_m", "here_walked_m"), "flight")
