@@ -172,3 +172,15 @@ def test_the_last_sample_is_the_last_points(spark):
     ]
     last = profile.profile(spark.createDataFrame(rows, POINTS)).filter("sample_idx = 239").collect()
     assert {r.track_id: r.ele for r in last} == {str(t): 800.0 + t for t in range(200)}
+
+
+def test_new_points_are_numbered_before_they_are_made(walked, small_chunks):
+    """None of them is shuffled or sorted, and numbers run on from chunk to chunk of a segment."""
+    dense = transforms.densify(walked, 5.0)
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert not {"Exchange", "Sort", "Window"} & set(plan[: plan.index("Generate")].split())
+    numbers = {}
+    for r in dense.collect():
+        numbers.setdefault((r.track_id, r.segment_idx), []).append(r.point_idx)
+    assert len(numbers) == 6 and all(sorted(n) == list(range(len(n))) for n in numbers.values())
+    assert tracks.legs(dense).agg(F.max("leg_m")).first()[0] <= 5.0 + 1e-6

@@ -157,19 +157,31 @@ def is_valid(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0), F.lit(False))  # NaN is above all numbers
 
 
-def interpolate(lat1: Column, lon1: Column, lat2: Column, lon2: Column, fraction: Column) -> Column:
-    """Struct of lat and lon on the great circle between two points; exact at both ends."""
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction))
+def arc(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """What positions between two points need to be found: a struct of both points, their unit vectors and the angle between."""
     xyz = [(F.cos(F.radians(a)) * F.cos(F.radians(o)), F.cos(F.radians(a)) * F.sin(F.radians(o)), F.sin(F.radians(a))) for a, o in ((lat1, lon1), (lat2, lon2))]
     dot = sum((p * q for p, q in zip(*xyz, strict=True)), F.lit(0.0))
     omega = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))
-    near, far = F.sin((1 - t) * omega) / F.sin(omega), F.sin(t * omega) / F.sin(omega)
-    x, y, z = (p * near + q * far for p, q in zip(*xyz, strict=True))
+    fields = {"lat1": lat1, "lon1": lon1, "lat2": lat2, "lon2": lon2, "omega": omega, "sine": F.sin(omega)}
+    fields |= {f"{c}{i}": v for i, point in enumerate(xyz, 1) for c, v in zip("xyz", point, strict=True)}
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+
+def on_arc(arc: Column, fraction: Column) -> Column:
+    """Struct of lat and lon on an arc; exact at both ends."""
+    t, omega = F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction)), arc["omega"]
+    near, far = F.sin((1 - t) * omega) / arc["sine"], F.sin(t * omega) / arc["sine"]
+    x, y, z = (arc[f"{c}1"] * near + arc[f"{c}2"] * far for c in "xyz")
     moved = F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
-    start, end = F.struct(lat1.alias("lat"), lon1.alias("lon")), F.struct(lat2.alias("lat"), lon2.alias("lon"))
+    start, end = (F.struct(arc[f"lat{i}"].alias("lat"), arc[f"lon{i}"].alias("lon")) for i in (1, 2))
     return F.when((t == 0) | (omega < 1e-12) & (t < 1), start).when(t == 1, end).otherwise(moved)
 
 
+def interpolate(lat1: Column, lon1: Column, lat2: Column, lon2: Column, fraction: Column) -> Column:
+    """Struct of lat and lon on the great circle between two points; exact at both ends."""
+    return on_arc(arc(lat1, lon1, lat2, lon2), fraction)
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres on the mean sphere."""
     up, across = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2

@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import direct_arrays, interpolate, inverse_arrays, local_deviation
+from ..functions.geodesy import arc, direct_arrays, inverse_arrays, local_deviation, on_arc
 from ..sources.tables import settled
 from .thinning import spaced
-from .tracks import located
+from .tracks import PART, on_axis
 
 POINT_COLUMNS = ["track_id", "segment_idx", "point_idx", "lat", "lon", "ele", "time_ms", "hacc_m"]
 
@@ -43,21 +43,26 @@ def merge(parts: DataFrame) -> DataFrame:
 
 def densify(points: DataFrame, spacing_m: float = 25.0) -> DataFrame:
     """Points so close that no leg is longer than the spacing.  Heights are linear where both ends have one; times and
-    accuracy stay with a segment's first point only; legs without length vanish."""
+    accuracy stay with a segment's first point only; legs without length vanish.
+
+    A point is numbered by how many all points before it become, so what is shuffled and sorted are the given points.  These
+    are dealt by chunks once more, and new ones are made last.
+    """
     if spacing_m <= 0:
         raise ValueError("the spacing must be positive")
-    on_axis = located(points)
+    first, legs = F.col("prev_lat").isNull(), F.col("leg_m") > 0
     steps = F.greatest(F.lit(1), F.ceil(F.col("leg_m") / spacing_m)).cast("int")
-    first = F.col("prev_lat").isNull()
-    numbers = F.when(first, F.array(F.lit(0))).when(F.col("leg_m") > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
-    rows = on_axis.withColumns({"_n": steps, "_first": first}).withColumn("_k", F.explode(numbers))
+    before = Window.partitionBy("track_id", "segment_idx").orderBy("point_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = on_axis(points).select(*PART, "point_idx", "lat", "lon", "ele", "time_ms", "hacc_m", "prev_lat", "prev_lon", "prev_ele", "leg_m", steps.alias("_n"))
+    made = F.when(first, F.lit(1)).when(legs, F.col("_n")).otherwise(F.lit(0))
+    rows = rows.withColumn("_before", F.coalesce(F.sum(made).over(before), F.lit(0))).repartition(*PART)
+    rows = rows.withColumns({"_arc": arc(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")), "_first": first})
+    numbers = F.when(first, F.array(F.lit(0))).when(legs, F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_k", F.explode(numbers))
     t = F.col("_k") / F.col("_n")
-    place = interpolate(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"), t)
     only_first = lambda c: F.when(F.col("_first"), F.col(c))
-    order = Window.partitionBy("track_id", "segment_idx").orderBy("_at", "_k")
-    rows = rows.withColumn("_p", place).withColumn("_at", F.col("point_idx"))
-    return rows.select(
-        "track_id", "segment_idx", (F.row_number().over(order) - 1).alias("point_idx"),
+    return rows.withColumn("_p", on_arc(F.col("_arc"), t)).select(
+        "track_id", "segment_idx", (F.col("_before") + F.greatest(F.col("_k") - 1, F.lit(0))).cast("int").alias("point_idx"),
         F.when(F.col("_first"), F.col("lat")).otherwise(F.col("_p.lat")).alias("lat"),
         F.when(F.col("_first"), F.col("lon")).otherwise(F.col("_p.lon")).alias("lon"),
         F.when(F.col("_first"), F.col("ele")).otherwise(F.col("prev_ele") + (F.col("ele") - F.col("prev_ele")) * t).alias("ele"),
