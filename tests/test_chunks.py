@@ -184,3 +184,13 @@ def test_new_points_are_numbered_before_they_are_made(walked, small_chunks):
         numbers.setdefault((r.track_id, r.segment_idx), []).append(r.point_idx)
     assert len(numbers) == 6 and all(sorted(n) == list(range(len(n))) for n in numbers.values())
     assert tracks.legs(dense).agg(F.max("leg_m")).first()[0] <= 5.0 + 1e-6
+
+
+def test_reveals_by_several_spacings_share_one_preparation(walked, small_chunks):
+    """Each gives what it gives alone, from one pass over the points, and no request prepares them again."""
+    asked = walked.select("track_id").distinct().withColumn("fraction", F.explode(F.array(F.lit(0.3), F.lit(1.0))))
+    together = geojson.Reveal.of(walked, 0.0, 80.0, 30.0)
+    both = {(r.spacing_m, r.track_id, r.fraction, r.geojson) for r in together.encode(asked).collect()}
+    alone = {(s, r.track_id, r.fraction, r.geojson) for s in (0.0, 80.0, 30.0) for r in geojson.Reveal.of(walked, s).encode(asked).collect()}
+    assert both == alone and len(both) == 4 * 2 * 3
+    assert "MapInArrow" not in together.encode(asked)._jdf.queryExecution().executedPlan().toString()

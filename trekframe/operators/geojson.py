@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import distance, interpolate
 from ..functions.scalars import band_color, gradient_band
+from ..sources.tables import settled
 from .sampling import sample, stretches
-from .thinning import spaced
+from .thinning import spaced_each
 from .tracks import located
 from .transforms import thin
 
@@ -81,33 +82,39 @@ def payload(geojson: Column) -> Column:
 class Reveal:
     """Tracks prepared for being revealed again and again: what no fraction changes is found once.
 
-    segments: a row for each segment with its start_m and end_m, its line as text when it is revealed as a whole (text),
-    and the points drawn while it is revealed in part (way: their distances and texts); ends: the stretches in which a
-    reveal can end.  Both are tables, to be written and read again where many requests follow.
+    segments: a row for each spacing and segment with its start_m and end_m, its line as text when it is revealed as a whole
+    (text), and the points drawn while it is revealed in part (way: their distances and texts); ends: the stretches in which a
+    reveal can end, which no spacing changes.  segments are written and read again; ends may be, where many requests follow.
     """
 
-    def __init__(self, segments: DataFrame, ends: DataFrame):
-        self.segments, self.ends = segments, ends
+    def __init__(self, segments: DataFrame, ends: DataFrame, spacings_m: tuple[float, ...] = (0.0,)):
+        self.segments, self.ends, self.spacings_m = segments, ends, spacings_m
 
     @classmethod
-    def of(cls, points: DataFrame, spacing_m: float = 0.0) -> Reveal:
-        """spacing_m thins the points that are drawn and nothing else: distances are of all points."""
-        if spacing_m < 0:
+    def of(cls, points: DataFrame, *spacings_m: float) -> Reveal:
+        """A spacing thins the points that are drawn and nothing else: distances are of all points.  None is 0."""
+        spacings_m = tuple(dict.fromkeys(map(float, spacings_m or (0.0,))))
+        if min(spacings_m) < 0:
             raise ValueError("the spacing must not be negative")
-        marked = spaced(points, spacing_m).withColumn("c", _json(coordinate(F.col("lat"), F.col("lon"))))
-        at = F.col("point_idx").alias("o")
-        # A repeated point draws nothing on the way; a whole segment has all that thinning leaves, and its end.
-        way = F.col("_kept") & (F.col("prev_lat").isNull() | (F.col("leg_m") > 0))
-        segments = marked.groupBy("track_id", "segment_idx").agg(
-            F.min("cum_start_m").alias("start_m"), F.max("cum_end_m").alias("end_m"),
-            F.array_sort(F.collect_list(F.when(F.col("_kept") | F.col("_last"), F.struct(at, "c")))).alias("_all"),
-            F.array_sort(F.collect_list(F.when(way, F.struct(at, F.col("cum_end_m").alias("m"), "c")))).alias("way"),
-        )
-        text = F.array_join(F.transform("_all", lambda x: x["c"]), ",")
-        return cls(segments.select("track_id", "segment_idx", "start_m", "end_m", text.alias("text"), "way"), stretches(points))
+        marked = spaced_each(points, list(spacings_m)).withColumn("c", _json(coordinate(F.col("lat"), F.col("lon"))))
+        at, drawn = F.col("point_idx").alias("o"), []
+        for i in range(len(spacings_m)):
+            kept = F.col(f"_kept_{i}")
+            # A repeated point draws nothing on the way; a whole segment has all that thinning leaves, and its end.
+            way = kept & (F.col("prev_lat").isNull() | (F.col("leg_m") > 0))
+            drawn += [
+                F.array_sort(F.collect_list(F.when(kept | F.col("_last"), F.struct(at, "c")))).alias(f"_all_{i}"),
+                F.array_sort(F.collect_list(F.when(way, F.struct(at, F.col("cum_end_m").alias("m"), "c")))).alias(f"_way_{i}"),
+            ]
+        segments = marked.groupBy("track_id", "segment_idx").agg(F.min("cum_start_m").alias("start_m"), F.max("cum_end_m").alias("end_m"), *drawn)
+        text = lambda i: F.array_join(F.transform(f"_all_{i}", lambda x: x["c"]), ",")
+        each = F.explode(F.array(*(F.struct(F.lit(s).alias("spacing_m"), text(i).alias("text"), F.col(f"_way_{i}").alias("way")) for i, s in enumerate(spacings_m))))
+        segments = segments.select("track_id", "segment_idx", "start_m", "end_m", each.alias("_s")).select("track_id", "segment_idx", "start_m", "end_m", "_s.*")
+        return cls(settled(segments, "reveal-segments"), stretches(points), spacings_m)
 
     def encode(self, requests: DataFrame) -> DataFrame:
-        """track_id, fraction and geojson for requests (track_id, fraction), once each; unknown tracks are left out.
+        """track_id, fraction and geojson for requests (track_id, fraction), once each; unknown tracks are left out.  Of several
+        spacings there is a row for each, with spacing_m.
 
         Requests meet the stretches in one ordered pass, which finds where each line ends; lines are then put together
         from the texts of the segments before and the points on the way.
@@ -120,13 +127,16 @@ class Reveal:
         met = found.filter("budget > 0").join(self.segments, "track_id").filter("end_m <= budget or start_m < budget")
         passed = F.transform(F.filter("way", lambda x: x["m"] <= F.col("budget")), lambda x: x["c"])
         part = F.array_join(F.concat(passed, F.array("end")), ",")
-        drawn = met.select("track_id", "fraction", "segment_idx", F.when(F.col("end_m") <= F.col("budget"), F.col("text")).otherwise(part).alias("line"))
-        lines = _in_order(drawn, ["track_id", "fraction"], F.col("segment_idx"), F.concat(F.lit("["), "line", F.lit("]")), "lines")
-        every = asked.select("track_id", "fraction").join(lines, ["track_id", "fraction"], "left")
+        keys = ["track_id", "fraction", "spacing_m"]
+        drawn = met.select(*keys, "segment_idx", F.when(F.col("end_m") <= F.col("budget"), F.col("text")).otherwise(part).alias("line"))
+        lines = _in_order(drawn, keys, F.col("segment_idx"), F.concat(F.lit("["), "line", F.lit("]")), "lines")
+        each = F.explode(F.array(*map(F.lit, self.spacings_m)))
+        every = asked.select("track_id", "fraction", each.alias("spacing_m")).join(lines, keys, "left")
         n, joined = F.size(F.coalesce("lines", F.array().cast("array<string>"))), F.coalesce(F.array_join("lines", ","), F.lit(""))
         one = F.concat(F.lit('{"type":"LineString","coordinates":'), joined, F.lit("}"))
         many = F.concat(F.lit('{"type":"MultiLineString","coordinates":['), joined, F.lit("]}"))
-        return every.select("track_id", "fraction", _feature(F.when(n == 1, one).otherwise(many)).alias("geojson"))
+        shown = keys if len(self.spacings_m) > 1 else keys[:2]
+        return every.select(*shown, _feature(F.when(n == 1, one).otherwise(many)).alias("geojson"))
 
 
 def encode_thinned(points: DataFrame, fraction: float, spacing_m: float) -> DataFrame:

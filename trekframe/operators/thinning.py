@@ -111,21 +111,30 @@ def _behind(placed: DataFrame, spacing_m: float) -> DataFrame:
 
 
 def spaced(points: DataFrame, spacing_m: float) -> DataFrame:
-    """tracks.on_axis of points with _kept: whether a point is its segment's first or a spacing after the last kept one.
+    """tracks.on_axis of points with _kept: whether a point is its segment's first or a spacing after the last kept one."""
+    return spaced_each(points, [spacing_m]).withColumnRenamed("_kept_0", "_kept")
+
+
+def spaced_each(points: DataFrame, spacings_m: list[float]) -> DataFrame:
+    """spaced() by several spacings in one pass: _kept_0, _kept_1 and so on.
 
     Whether any segment has more than one chunk is asked first, of one column of the points.
     """
     placed = on_axis(points)
-    if not spacing_m:
-        return placed.withColumn("_kept", F.lit(True))
+    kept = {s: f"_kept_{i}" for i, s in enumerate(spacings_m)}
+    if not any(spacings_m):
+        return placed.withColumns({c: F.lit(True) for c in kept.values()})
     # Where every segment is one chunk, nothing is carried over.
     alone = points.filter(F.col("point_idx") >= tracks.CHUNK).isEmpty()
-    carried = placed.withColumn("_behind", F.lit(None).cast("double")) if alone else placed.join(_behind(placed, spacing_m), PART, "left")
+    behinds, carried = {s: f"_behind{c}" for s, c in kept.items()}, placed
+    for s, c in behinds.items():
+        none = alone or not s
+        carried = carried.withColumn(c, F.lit(None).cast("double")) if none else carried.join(_behind(placed, s).withColumnRenamed("_behind", c), PART, "left")
     rows = carried.sortWithinPartitions(*PART, "point_idx")
-    names = [c for c in rows.columns if c != "_behind"]
+    names = [c for c in rows.columns if c not in behinds.values()]
 
     def run(batches):
-        key, behind = None, 0.0
+        key, behind = None, dict.fromkeys(kept, 0.0)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -136,19 +145,23 @@ def spaced(points: DataFrame, spacing_m: float) -> DataFrame:
             changes[0] = key != tuple(batch.column(c)[0].as_py() for c in PART)
             first = batch.column("prev_lat").is_null().to_numpy(zero_copy_only=False)
             lengths = batch.column("leg_m").to_numpy(zero_copy_only=False)
-            carried = batch.column("_behind").to_numpy(zero_copy_only=False)
-            keep = first.copy()
+            carried = {s: batch.column(c).to_numpy(zero_copy_only=False) for s, c in behinds.items()}
+            keep = {s: first.copy() if s else np.ones(n, dtype=bool) for s in kept}
             starts = np.unique(np.append(np.flatnonzero(changes), 0)).tolist()
             for a, b in zip(starts, [*starts[1:], n], strict=True):
                 run_m = np.cumsum(lengths[a:b])
-                if changes[a]:
-                    behind = 0.0 if first[a] else float(carried[a])
-                kept_at = run_m[0] if first[a] else -behind
-                for i in _chain(run_m, kept_at, spacing_m):
-                    keep[a + i] = True
-                    kept_at = run_m[i]
-                behind = float(run_m[-1] - kept_at)
+                for s in filter(None, kept):
+                    if changes[a]:
+                        behind[s] = 0.0 if first[a] else float(carried[s][a])
+                    kept_at = run_m[0] if first[a] else -behind[s]
+                    for i in _chain(run_m, kept_at, s):
+                        keep[s][a + i] = True
+                        kept_at = run_m[i]
+                    behind[s] = float(run_m[-1] - kept_at)
             key = tuple(batch.column(c)[n - 1].as_py() for c in PART)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keep)], [*names, "_kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, keep.values())], [*names, *kept.values()])
 
-    return rows.mapInArrow(run, rows.drop("_behind").schema.add("_kept", "boolean"))
+    schema = rows.drop(*behinds.values()).schema
+    for c in kept.values():
+        schema = schema.add(c, "boolean")
+    return rows.mapInArrow(run, schema)

@@ -398,10 +398,7 @@ def _reveals(points: DataFrame) -> DataFrame:
     """Every track revealed at several fractions from one preparation, at two spacings of which the second thins."""
     each = F.explode(F.array(*map(F.lit, FRACTIONS)))
     requests = points.select("track_id").distinct().select("track_id", each.alias("fraction"))
-    found = None
-    for spacing in SPACINGS:
-        rows = geojson.Reveal.of(points, spacing).encode(requests).withColumn("spacing_m", F.lit(spacing))
-        found = rows if found is None else found.union(rows)
+    found = geojson.Reveal.of(points, *SPACINGS).encode(requests)
     return _geojson_digest(found, "fraction", "spacing_m")
 
 
