@@ -143,3 +143,12 @@ def test_dedup_keeps_one_row_of_each_text(documents, rows):
     kept = deduplicate(documents)
     assert kept.columns == documents.columns
     assert sorted(norm(r.text) for r in kept.collect()) == sorted({norm(t) for _, t, *_ in rows})
+
+
+def test_candidate_pairs_grow_as_the_rows_of_a_tile(spark):
+    """A tile of one large component and some others gives few pairs for each row, or is put off as a whole."""
+    for size in (6, 60, 600):
+        rows = [(1, i, i + 1 if i < min(30, size // 2) else 0, 50, 0) for i in range(size)]
+        out = ngram_join.tiles(spark.createDataFrame(rows, "key long, rep long, comp long, n long, pos long"), ngram_join.Rule(80), ngram_join.LARGE_TILE)
+        assert out.count() <= ngram_join.PAIRS_EACH * size
+        assert out.filter("b is null").select("a").distinct().count() in (0, size)

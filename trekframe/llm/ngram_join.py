@@ -8,7 +8,8 @@ Exact and without all pairs:
 3. Size-banded tiles: a class enters the tiles of the first shingles of its set in one global order, as many as
    guarantee that two linked sets meet in a tile.  Inside a tile, pairs of different components pass only if their
    sizes lie within the band of the threshold and the places of the shared shingle leave enough overlap.
-   The order starts with hashes, but shingles of very many documents come last.  Tiles with very many components (a passage that many documents share) are put off: their shingles move to the end
+   The order starts with hashes, but shingles of very many documents come last.  Tiles with very many components (a passage that many documents share) or many pairs for each row
+   (a large group of near copies that the stars left in parts) are put off: their shingles move to the end
    of the order for the classes they touch, which meet again in tiles of rarer shingles.  Two classes that only meet
    in such a tile are both touched, so no link is lost.
    Classes of tiles that are still crowded after the last round are cut into blocks of bounded size, each of one size
@@ -47,6 +48,9 @@ LARGE_TILE = 40
 #: A shingle is a candidate for the end of the first order if one task meets it so often, and goes there if the tasks that
 #: do so meet it more often than that together.  Rare shingles first make small tiles, so that few are put off.
 CANDIDATE, COMMON = 2, 8
+#: So is one that would give more candidate pairs than this for each of its rows, so that pairs grow as rows do and not as
+#: the square of a group of near copies.
+PAIRS_EACH = 2
 #: So is one whose comparisons, or whose rows in a task's memory, would be more than this.
 TILE_WORK, TILE_ROWS = 1 << 25, 1 << 20
 #: Classes of a block of crowded tiles, about.
@@ -219,11 +223,14 @@ def _tile_pairs(t: np.ndarray, rule: Rule, large: int) -> tuple[np.ndarray, np.n
     others = np.flatnonzero(~main)
     if len(comps) > large or len(others) * len(t) > TILE_WORK:
         return None
-    a, b = [], []
+    a, b, left = [], [], PAIRS_EACH * len(t)
     for i in others.tolist():
         ok = _roomy(t["n"][i], t["pos"][i], t["n"], t["pos"], rule) & (of != of[i])
         ok[: i + 1] &= main[: i + 1]  # of two that are both not in the largest, the later row meets the earlier
         found = t["rep"][ok]
+        left -= len(found)
+        if left < 0:
+            return None
         a.append(np.full(len(found), t["rep"][i])), b.append(found)
     return np.concatenate(a), np.concatenate(b)
 
