@@ -194,3 +194,16 @@ def test_reveals_by_several_spacings_share_one_preparation(walked, small_chunks)
     alone = {(s, r.track_id, r.fraction, r.geojson) for s in (0.0, 80.0, 30.0) for r in geojson.Reveal.of(walked, s).encode(asked).collect()}
     assert both == alone and len(both) == 4 * 2 * 3
     assert "MapInArrow" not in together.encode(asked)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_last_sample_may_decide_the_dominant_band(spark):
+    """Of 239 stretches 120 are UNKNOWN, the last among them, and 119 FLAT: heights begin below the middle and end before the last point."""
+    rng = random.Random(7)
+    rows = []
+    for t in range(200):
+        for s in range(3):
+            for i, at in enumerate((0, 1, 2, 2.374, 4, 5)):
+                known = (1, 3) <= (s, i) < (2, 5)
+                rows.append((str(t), s, i, 45 + 0.1 * s + 0.0005 * at + rng.random() * 1e-6, 7.0, 800.0 if known else None, None, None))
+    bands = tracks.dominant_bands(tracks.band_fractions(profile.profile(spark.createDataFrame(rows, POINTS)))).collect()
+    assert {r.track_id: r.dominant_band for r in bands} == {str(t): "UNKNOWN" for t in range(200)}
