@@ -42,3 +42,17 @@ def test_scans_read_only_what_they_need(spark):
     plan = queries.QUERIES["track_stats"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     schema = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "props" not in schema and "event_type" not in schema
+
+
+def test_dominant_band_of_tracks_that_their_last_sample_decides(spark, tmp_path):
+    """Two tracks of events at 60 times sf0.1, by user and shift of the keys; both were FLAT, in the SQL DESCENT."""
+    con = duckdb.connect(config={"memory_limit": "4GB"})
+    some = " UNION ALL ".join(
+        f"SELECT * REPLACE (event_id + {shift} AS event_id, user_id + {shift} AS user_id) FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = {user}"
+        for user, shift in ((149, 160_000_000_000), (1329, 34_000_000))
+    )
+    con.execute(f"COPY ({some}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    wanted = con.execute(queries.ORACLE_SQL["dominant_band"]).fetchall()
+    assert sorted(wanted) == [("160000000149", "DESCENT"), ("34001329", "DESCENT")]
+    assert sorted(tuple(r) for r in queries.QUERIES["dominant_band"](spark, str(tmp_path)).collect()) == sorted(wanted)
